@@ -9,6 +9,7 @@ A document's set has its distinct 5-word shingles as 64-bit hashes. Documents wi
    component. That keeps large groups of near copies linear.
 2. Index. Sets are ordered with the most frequent shingles last (of a list of bounded length; any order is right) and
    then by hash. Two sets that link share a shingle of their prefixes, so lists hold prefixes only.
+   What is left of a list's sets is then compared with a few leaders of the list before any pair is listed.
 3. Skipping. A list is cut into blocks by size. An entry at position p of a set of size n can only link with sets of
    sizes in a range that narrows with p, so it is brought together with the blocks of that range only; the others,
    all of them at late positions, are skipped. Lists that lie in one component are skipped whole.
@@ -35,8 +36,11 @@ from .scratch import Scratch
 
 WORDS = 5
 LEVELS = 4
+LEADERS = 4
 HEAVY = 1 << 17
-FLUSH = 1 << 21
+FLUSH = 1 << 20
+#: Rows of ids that may be broadcast: about 40 bytes each. Larger tables are joined by shuffling.
+SMALL_ROWS = 1_000_000
 
 
 def _class(s: np.ndarray) -> bytes:
@@ -139,12 +143,17 @@ def _with_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["cid", "set"])
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (u, v) of classes whose sets have a Jaccard similarity of 0.8 or more, exactly."""
     pairs = scratch.table(f"{name}-pairs", pairs)
     need = pairs.select(F.col("u").alias("cid")).union(pairs.select(F.col("v").alias("cid"))).distinct()
     first = scratch.table(f"{name}-need", classes.join(need, "cid", "left_semi").select("cid", F.col("first_id").alias("_j_id")))
-    texts = docs.join(first.select("_j_id").distinct(), docs["doc_id"].eqNullSafe(F.col("_j_id")), "left_semi")
+    texts = docs.join(_small(first).select("_j_id"), docs["doc_id"].eqNullSafe(F.col("_j_id")), "left_semi")
     sets = texts.select("text").mapInArrow(lambda b: _with_sets(b, words), "cid binary, set array<bigint>")
     sets = scratch.table(f"{name}-sets", sets.join(need, "cid", "left_semi"))
     left, right = (sets.select(F.col("cid").alias(k), F.col("set").alias(f"set_{k}")) for k in "uv")
@@ -156,6 +165,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     return out
 
 
+def _open(lists: DataFrame, clusters: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The lists that reach more than one component, with the component of each class."""
+    known = _small(clusters.select(F.col("node").alias("cid"), F.col("component").alias("comp")))
+    lists = lists.join(known, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    wide = lists.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token")
+    return scratch.table(name, lists.join(wide, "token", "left_semi"))
+
+
 def _candidates(postings: DataFrame) -> DataFrame:
     """Pairs of classes of different components that share a prefix shingle, where sizes and positions allow a link."""
     block = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(1.25))).cast("int")
@@ -185,11 +202,12 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     classes = signed.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("mins").alias("mins"))
     classes = scratch.table("classes", classes)
 
-    # 1. Each class against the least of those that have a minimum hash in common with it.
+    # 1. Each class against the least of those that have a minimum hash in common with it, in its largest such group.
     keys = classes.select("cid", "n", F.posexplode("mins").alias("level", "least"))
-    leaders = keys.groupBy("level", "least").agg(F.min(F.struct("cid", "n")).alias("leader"), F.count("*").alias("size")).where("size > 1").drop("size")
+    leaders = keys.groupBy("level", "least").agg(F.min(F.struct("cid", "n")).alias("leader"), F.count("*").alias("size")).where("size > 1")
     stars = keys.join(leaders, ["level", "least"]).where("cid <> leader.cid and 5 * least(n, leader.n) >= 4 * greatest(n, leader.n)")
-    near = _verified(stars.select(F.col("cid").alias("u"), F.col("leader.cid").alias("v")).distinct(), docs, classes, words, scratch, "near")
+    stars = stars.groupBy(F.col("cid").alias("u")).agg(F.max(F.struct("size", "leader.cid"))["cid"].alias("v"))
+    near = _verified(stars, docs, classes, words, scratch, "near")
     clusters = scratch.table("clusters", components(near, scratch, "near-steps"))
 
     # 2. The order, from at most HEAVY shingles, and the lists.
@@ -202,12 +220,17 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     lists = lists.repartition("token").sortWithinPartitions("token", "cid").mapInArrow(_shared, lists.schema)
     lists = scratch.table("lists", lists)
 
-    # 3. Lists that reach more than one component.
-    lists = lists.join(clusters.select(F.col("node").alias("cid"), F.col("component").alias("comp")), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    lists = scratch.table("lists-by-component", lists)
-    wide = lists.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token")
-    lists = scratch.table("lists-open", lists.join(wide, "token", "left_semi"))
-    scratch.drop("lists", "lists-by-component")
+    # 3. Lists that reach more than one component; first each of their sets against a few leaders of the list only,
+    # which tells most answers that follow from a similar set's, then what is left.
+    lists = _open(lists, clusters, scratch, "open")
+    picked = [F.min_by("cid", F.xxhash64("cid", F.lit(k))).alias(f"leader{k}") for k in range(LEADERS)]
+    few = lists.join(lists.groupBy("token").agg(*picked), "token").select("cid", "comp", "n", F.explode(F.array(*(f"leader{k}" for k in range(LEADERS)))).alias("v")).distinct()
+    sizes = classes.select(F.col("cid").alias("v"), F.col("n").alias("n_v")).join(_small(clusters.withColumnsRenamed({"node": "v", "component": "comp_v"})), "v", "left")
+    few = few.join(sizes, "v").where("comp <> coalesce(comp_v, v) and 5 * least(n, n_v) >= 4 * greatest(n, n_v)")
+    next_to = _verified(few.select(F.col("cid").alias("u"), "v").distinct(), docs, classes, words, scratch, "next")
+    near = near.union(next_to)
+    clusters = scratch.table("clusters-2", components(near, scratch, "next-steps"))
+    lists = _open(lists.drop("comp"), clusters, scratch, "open-2")
 
     # 4. The pairs that are left.
     far = _verified(_candidates(lists), docs, classes, words, scratch, "far")
