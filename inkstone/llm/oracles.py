@@ -84,7 +84,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def _op3() -> str:
+    import re
+
+    from . import chat
+
+    control = "|".join(re.escape(c) for c in chat.CONTROLS)
+    escaped = lambda c: f"length(replace({c}, chr(92), chr(92) || chr(92))) + len(regexp_extract_all({c}, '{control}'))"
+    around = len("<|turn|><|text|><|end|>\n")
+    return rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({around} + {escaped('role')} + {escaped('text')})::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
 ORACLES = {
+    "op3_chat_format": _op3(),
     "op1_decontamination": OP1,
     "op4_license_scan": _op4(),
     "op5_url_filter": OP5,
