@@ -1,6 +1,205 @@
-"""The registered queries of the library, by name, and their SQL."""
+"""The registered queries of the library, by name, and their SQL.
+
+The test tables have no Han characters, so the queries derive Han text from `documents`: some words become phrase keys
+and the letters become characters that the configuration changes.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from itertools import cycle, islice
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from inkstone.functions import quotes, search
+from inkstone.operators import convert as conversion
+from inkstone.plans.conversion import ROUNDS, plan
+from inkstone.sources import documents
+from inkstone.sources.dictionaries import CustomSpec, apply_specs, example_slots
+
+SLOTS = example_slots()
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Configurations for which the example set has all slots.
+COMPLETE = [c for c, rounds in ROUNDS.items() if all(s in SLOTS for r in rounds for s in r)]
+WORDS = ("the", "de", "und", "la", "to", "of")
+#: Example slots of a user, for the configurations whose slots this repository lacks.
+OWN = [
+    CustomSpec.from_pairs("st_characters", dict(zip("汉字转换测试爱国书车门马", "漢字轉換測試愛國書車門馬", strict=True))),
+    CustomSpec.from_pairs("ts_characters", dict(zip("漢轉換測試愛國書車門馬", "汉转换测试爱国书车门马", strict=True))),
+    CustomSpec.from_pairs("st_phrases", {"汉字转换": "漢字轉換", "爱国书": "愛國書籍"}),
+    CustomSpec.from_pairs("ts_phrases", {"漢字轉換": "汉字转换", "愛國書籍": "爱国书"}),
+]
+OWN_SLOTS = apply_specs(SLOTS, OWN)
+CUSTOM_CONFIGS = ("s2t", "s2twp", "tw2sp", "t2s", "s2hkp")
+
+
+def alphabet(config: str, slots) -> tuple[str, list[str]]:
+    """26 characters and a few phrases that the first round of a configuration changes."""
+    pairs = plan(config, slots)[0].pairs
+    single = [k for k, v in pairs.items() if len(k) == 1 and k != v]
+    phrases = sorted((k for k, v in pairs.items() if len(k) > 1), key=lambda k: (pairs[k] == k, k)) or single
+    return "".join(islice(cycle(single), 26)), list(islice(cycle(phrases), len(WORDS)))
+
+
+def han(text: Column, config: str, slots) -> Column:
+    letters, phrases = alphabet(config, slots)
+    out = F.lower(text)
+    for word, phrase in zip(WORDS, phrases, strict=True):
+        out = F.replace(out, F.lit(f" {word} "), F.lit(phrase))
+    return F.translate(out, LETTERS, letters)
+
+
+def han_sql(config: str, slots) -> str:
+    letters, phrases = alphabet(config, slots)
+    out = "lower(text)"
+    for word, phrase in zip(WORDS, phrases, strict=True):
+        out = f"replace({out}, ' {word} ', '{phrase}')"
+    return f"translate({out}, '{LETTERS}', '{letters}')"
+
+
+def convert_sql(text: str, config: str, slots, punctuation: bool = False) -> str:
+    """Longest match, as an alternation of the keys from the longest down."""
+    for r in plan(config, slots, punctuation):
+        if r.single and all(len(v) == 1 for v in r.pairs.values()):
+            text = f"translate({text}, '{''.join(r.pairs)}', '{''.join(r.pairs.values())}')"
+            continue
+        keys = sorted(r.pairs, key=lambda k: (-len(k), k))
+        mapping = "MAP {" + ", ".join(f"'{k}': '{r.pairs[k]}'" for k in keys) + "}"
+        text = f"array_to_string(list_transform(regexp_extract_all({text}, '{'|'.join(keys)}|(?s:.)'), lambda x: coalesce(({mapping})[x], x)), '')"
+    return text
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _convert(config: str, slots):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = docs(spark, sf_dir).select("doc_id", han(F.col("text"), config, slots).alias("han"))
+        out = rows.withColumn("text", conversion.convert(spark, F.col("han"), config, slots))
+        return out.select("doc_id", "text", (F.col("text") != F.col("han")).alias("changed"))
+
+    sql = f"WITH h AS (SELECT doc_id, {han_sql(config, slots)} AS han FROM documents), c AS (SELECT doc_id, han, {convert_sql('han', config, slots)} AS text FROM h) SELECT doc_id, text, text <> han AS changed FROM c"
+    return run, sql
+
+
+def convert_t2hkp_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: documents that t2hkp changes, by language."""
+    rows = docs(spark, sf_dir).select("lang", han(F.col("text"), "t2hkp", SLOTS).alias("han"))
+    out = rows.withColumn("text", conversion.convert(spark, F.col("han"), "t2hkp", SLOTS))
+    return out.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum((F.col("text") != F.col("han")).cast("long")).alias("n_changed"))
+
+
+FLAGSHIP_SQL = f"WITH h AS (SELECT lang, {han_sql('t2hkp', SLOTS)} AS han FROM documents) SELECT lang, count(*) AS n_docs, sum(({convert_sql('han', 't2hkp', SLOTS)} <> han)::BIGINT)::BIGINT AS n_changed FROM h GROUP BY lang"
+
+
+def script_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("doc_id") % 3 == 0, han(F.col("text"), "s2t", OWN_SLOTS)).when(F.col("doc_id") % 3 == 1, han(F.col("text"), "t2s", OWN_SLOTS)).otherwise(F.col("text"))
+    return docs(spark, sf_dir).select("doc_id", conversion.script_check(text, OWN_SLOTS["st_characters"], OWN_SLOTS["ts_characters"]).alias("script"))
+
+
+def _script_sql() -> str:
+    st, ts = OWN_SLOTS["st_characters"], OWN_SLOTS["ts_characters"]
+    tr = lambda p: f"translate(told, '{''.join(p)}', '{''.join(p.values())}')"
+    return rf"""
+WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {han_sql('s2t', OWN_SLOTS)} WHEN doc_id % 3 = 1 THEN {han_sql('t2s', OWN_SLOTS)} ELSE text END AS t FROM documents),
+s AS (SELECT doc_id, substr(regexp_replace(substr(t, 1, 500), '[!-/:-@\[-`{{-~\t\n\x0B\f\r 0-9A-Za-z_著]', '', 'g'), 1, 100) AS told FROM t)
+SELECT doc_id, CASE WHEN told = '' OR told IS NULL THEN 0 WHEN {tr(ts)} <> told THEN 1 WHEN {tr(st)} <> told THEN 2 ELSE 0 END AS script FROM s
+"""
+
+
+def convert_quotation_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.translate("text", ".,", "“”")
+    return docs(spark, sf_dir).select("doc_id", conversion.convert_quotes(text, "s2t").alias("text"))
+
+
+def repair_dialog_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full stops stand for plain double marks here."""
+    return docs(spark, sf_dir).select("doc_id", quotes.repair_quotes(F.translate("text", ".", '"')).alias("text"))
+
+
+REPAIR_SQL = """
+WITH p AS (SELECT doc_id, string_split(replace(text, '.', '"'), '"') AS parts FROM documents)
+SELECT doc_id, array_to_string(list_transform(parts, lambda x, i: CASE WHEN i = 1 THEN x WHEN i % 2 = 0 THEN '“' || x ELSE '”' || x END), '') AS text FROM p
+"""
+
+
+def dialog_quote_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with wrong pairs, where a line begins with an opening mark and its full stops are closing ones."""
+    text = F.translate(F.concat(F.lit("「"), F.replace("text", F.lit("\n"), F.lit("\n“"))), ".", "”")
+    return docs(spark, sf_dir).select("doc_id", F.size(quotes.quote_issues(text)).cast("long").alias("n_issues"), quotes.first_issue(quotes.quote_issues(text))["line_number"].cast("long").alias("first_line"))
+
+
+ISSUES_SQL = r"""
+WITH l AS (SELECT doc_id, string_split('「' || replace(replace(text, chr(10), chr(10) || '“'), '.', '”'), chr(10)) AS lines FROM documents),
+b AS (SELECT doc_id, list_transform(lines, lambda x: left(trim(x, ' ' || chr(9)), 1) || right(trim(x, ' ' || chr(9)), 1)) AS ends, lines FROM l),
+n AS (SELECT doc_id, list_filter(range(1, len(ends) + 1), lambda i: length(trim(lines[i], ' ' || chr(9))) >= 2 AND (regexp_matches(ends[i], '^[”’」』][“‘「『]$') OR (regexp_matches(ends[i], '^[“‘「『][”’」』]$') AND ends[i] NOT IN ('“”', '‘’', '「」', '『』')))) AS bad FROM b)
+SELECT doc_id, len(bad)::BIGINT AS n_issues, bad[1]::BIGINT AS first_line FROM n
+"""
+
+
+def find_and_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = search.replace_all(F.col("text"), "THE ", "$a\\ ", match_case=False)
+    found = search.find_next(F.col("text"), "the", 100)
+    return docs(spark, sf_dir).select("doc_id", done["outcome"].alias("outcome"), done["text"].alias("text"), done["count"].cast("long").alias("n"), found["outcome"].alias("next_outcome"), found["start"].cast("long").alias("next_start"))
+
+
+FIND_SQL = r"""
+WITH d AS (SELECT doc_id, text, len(regexp_extract_all(text, '(?i)the ')) AS n, strpos(substr(text, least(100, length(text)) + 1), 'the') AS after, strpos(text, 'the') AS first FROM documents)
+SELECT doc_id, CASE WHEN n > 0 THEN 'FOUND' ELSE 'NO_MATCH' END AS outcome, regexp_replace(text, '(?i)the ', '$a\\ ', 'g') AS text, n::BIGINT AS n,
+  CASE WHEN after > 0 THEN 'FOUND' WHEN first > 0 THEN 'WRAPPED' ELSE 'NO_MATCH' END AS next_outcome,
+  (CASE WHEN after > 0 THEN least(100, length(text)) + after - 1 WHEN first > 0 THEN first - 1 ELSE -1 END)::BIGINT AS next_start FROM d
+"""
+
+
+def utf16_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", search.utf16_length(F.translate("text", "e", "𠀾")).cast("long").alias("n_units"))
+
+
+def go_to_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.size(F.split("text", "\n"))
+    asked = search.go_to_line(F.concat(F.lit(" "), (F.col("doc_id") % 7 - 1).cast("string")), lines)
+    return docs(spark, sf_dir).select("doc_id", asked["valid"].alias("valid"), asked["paragraph_index"].cast("long").alias("paragraph_index"), asked["message"].alias("message"))
+
+
+GO_SQL = """
+WITH d AS (SELECT doc_id, doc_id % 7 - 1 AS n, len(string_split(text, chr(10))) AS lines FROM documents),
+m AS (SELECT *, CASE WHEN n <= 0 THEN 'Line number must be positive' WHEN n > lines THEN 'Line must be between 1 and ' || lines END AS message FROM d)
+SELECT doc_id, message IS NULL AS valid, (CASE WHEN message IS NULL THEN n - 1 ELSE -1 END)::BIGINT AS paragraph_index, message FROM m
+"""
+
+
+def assemble_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line of a document is a page."""
+    return docs(spark, sf_dir).select("doc_id", documents.assemble_pages(F.split("text", "\n"), header=True).alias("text"))
+
+
+PAGES_SQL = """
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)
+SELECT doc_id, array_to_string(list_transform(p, lambda x, i: '=== [Page ' || i || '/' || len(p) || '] ===' || chr(10) || chr(10) || x || chr(10) || chr(10)), '') AS text FROM d
+"""
+
+
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", documents.html_text(F.col("html")).alias("text"))
+
+
+QUERIES: dict = {"convert_t2hkp_by_lang": convert_t2hkp_by_lang}
+ORACLES: dict[str, str] = {"convert_t2hkp_by_lang": FLAGSHIP_SQL}
+for _config in COMPLETE:
+    QUERIES[f"convert_{_config}"], ORACLES[f"convert_{_config}"] = _convert(_config, SLOTS)
+for _config in CUSTOM_CONFIGS:
+    QUERIES[f"convert_{_config}_custom"], ORACLES[f"convert_{_config}_custom"] = _convert(_config, OWN_SLOTS)
+for _f, _sql in (
+    (script_check, _script_sql()),
+    (convert_quotation_marks, "SELECT doc_id, translate(translate(text, '.,', '“”'), '“”‘’', '「」『』') AS text FROM documents"),
+    (repair_dialog_quotes, REPAIR_SQL),
+    (dialog_quote_issues, ISSUES_SQL),
+    (find_and_replace, FIND_SQL),
+    (utf16_length, "SELECT doc_id, length(text) + length(text) - length(replace(text, 'e', '')) AS n_units FROM documents"),
+    (go_to_line, GO_SQL),
+    (assemble_pages, PAGES_SQL),
+    (page_text, None),
+):
+    QUERIES[_f.__name__] = _f
+    if _sql:
+        ORACLES[_f.__name__] = _sql
