@@ -47,6 +47,12 @@ DEFAULT_RULES = (
 )
 
 
+MEASURES = (
+    "n_words word_chars n_symbols n_dup_lines n_lines n_stop_words n_repeat_words "
+    "mean_word_length symbol_ratio stop_word_ratio dup_line_ratio repeat_word_ratio"
+).split()
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with its measures, made in a row's own arrays: no shuffle, no function of the user.
 
@@ -77,13 +83,17 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = F.transform(col("starts"), lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(col("starts"), k + 1) - p, F.lit(WINDOW))))
     out = out.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"))
     ratio = lambda n, d: F.when(F.col(d) > 0, F.col(n) / F.col(d))
-    return out.withColumns({
+    out = out.withColumns({
         "mean_word_length": ratio("word_chars", "n_words"),
         "symbol_ratio": ratio("n_symbols", "n_words"),
         "stop_word_ratio": ratio("n_stop_words", "n_words"),
         "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
         "repeat_word_ratio": ratio("n_repeat_words", "n_words"),
-    }).drop("_q_hashes", "_q_fours", "_q_windows", "_q_sorted", "_q_starts")
+    })
+    # The measures leave through a generator of one row, as else a filter on them would be pushed below and the whole
+    # computation repeated within it, once for each use of each array.
+    kept = [c for c in out.columns if c not in MEASURES and not c.startswith("_q_")]
+    return out.select(*kept, F.inline(F.array(F.struct(*MEASURES))))
 
 
 def judge(docs: DataFrame, rules: Sequence[Threshold] = DEFAULT_RULES, text: str = "text") -> DataFrame:
