@@ -15,6 +15,11 @@ A document's set has its distinct 5-word shingles as 64-bit hashes. Documents wi
    all of them at late positions, are skipped. Lists that lie in one component are skipped whole.
 4. The remaining pairs are compared exactly, and the components are joined.
 
+Before two sets are brought together, their parity sketches are: bit i tells whether an odd number of the set's
+shingles falls on it. The bits in which two sketches differ are at most the shingles in which the sets differ, and a
+link allows (a + b) / 9 of those, so more differing bits rule a link out for certain. A sketch has 2 to 4 bits a
+shingle, a thirtieth of its set or less.
+
 No list, component or group is gathered in one task, and no pair within a component of step 1 is emitted; lists are
 joined by Spark, which can split a large one. Edge cases: null and empty texts have the empty set and are linked with
 nothing; a text of fewer words is one shingle; repeated rows and ids are documents of their own, and count once each; null ids
@@ -28,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .graph import components
 from .scan import SPACED, U, chunks, mix, scan, shingle_sets
@@ -48,6 +53,13 @@ def _class(s: np.ndarray) -> bytes:
     return int(mix(s, 101).sum(dtype=np.uint64)).to_bytes(8, "big") + int((mix(s, 202) ^ (s >> U(7))).sum(dtype=np.uint64)).to_bytes(8, "big")
 
 
+def _sketch(s: np.ndarray) -> list[int]:
+    """The parity of the shingles on each of 2 to 4 bits a shingle, as 64-bit words; halves folded by xor make the shorter sketch."""
+    bits = 1 << max(6, (2 * len(s) - 1).bit_length())
+    odd = np.bincount((mix(s, 303) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def _sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     for _, _, data, offsets in chunks(texts):
         yield from shingle_sets(scan(data, offsets, SPACED), words)
@@ -57,24 +69,26 @@ def _signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Re
     """A row for each document; and, with kind 1, shingles that several sets of this task have, with their number."""
     seen: set[bytes] = set()
     held: list[np.ndarray] = []
-    names = ["kind", "doc_id", "n", "cid", "mins"]
+    names = ["kind", "doc_id", "n", "cid", "mins", "sketch"]
 
     def frequent(kind: pa.DataType) -> pa.RecordBatch:
         found, n = np.unique(np.concatenate(held), return_counts=True)
         held.clear()
         found, n = found[n > 2], n[n > 2]
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), pa.nulls(len(n), kind), pa.array(n.astype(np.int64)), pa.nulls(len(n), pa.binary()), pa.array(found.astype(np.int64)[:, None].tolist(), pa.list_(pa.int64()))], names)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), pa.nulls(len(n), kind), pa.array(n.astype(np.int64)), pa.nulls(len(n), pa.binary()), pa.array(found.astype(np.int64)[:, None].tolist(), pa.list_(pa.int64())), pa.nulls(len(n), pa.list_(pa.int64()))], names)
 
     for batch in batches:
-        sizes, ids, mins = [], [], []
+        sizes, ids, mins, sketches = [], [], [], []
         for s in _sets(batch.column("text"), words):
             sizes.append(len(s))
             ids.append(cid := _class(s) if len(s) else None)
             mins.append([int(mix(s, 7 + k).min().astype(np.int64)) for k in range(LEVELS)] if len(s) else None)
-            if len(s) and cid not in seen:
+            new = len(s) > 0 and cid not in seen
+            sketches.append(_sketch(s) if new else None)
+            if new:
                 seen.add(cid)
                 held.append(s)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(mins, pa.list_(pa.int64()))], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(mins, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names)
         if sum(map(len, held)) > FLUSH:
             yield frequent(batch.column("doc_id").type)
     if held:
@@ -148,8 +162,24 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
+def _may_link(a: Column, b: Column, n: Column) -> Column:
+    """Whether the sketches a and b leave a link possible between sets of n shingles together."""
+
+    def fold(x: Column) -> Column:
+        half = F.floor(F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+    # Sets that can link differ by a quarter in size at most, so one sketch has at most twice the words of the other.
+    x, y = F.when(F.size(a) > F.size(b), fold(a)).otherwise(a), F.when(F.size(b) > F.size(a), fold(b)).otherwise(b)
+    differing = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, d: t + d)
+    return 9 * differing <= n
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (u, v) of classes whose sets have a Jaccard similarity of 0.8 or more, exactly."""
+    for k in "uv":
+        pairs = pairs.join(classes.select(F.col("cid").alias(k), F.col("n").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}")), k)
+    pairs = pairs.where(_may_link(F.col("sketch_u"), F.col("sketch_v"), F.col("size_u") + F.col("size_v"))).select("u", "v")
     pairs = scratch.table(f"{name}-pairs", pairs)
     need = pairs.select(F.col("u").alias("cid")).union(pairs.select(F.col("v").alias("cid"))).distinct()
     first = scratch.table(f"{name}-need", classes.join(need, "cid", "left_semi").select("cid", F.col("first_id").alias("_j_id")))
@@ -197,9 +227,10 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = scratch.table("signatures", docs.mapInArrow(lambda b: _signatures(b, words), f"kind int, doc_id {kind}, n bigint, cid binary, mins array<bigint>"))
-    signed = made.where("kind = 0").drop("kind")
-    classes = signed.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("mins").alias("mins"))
+    made = scratch.table("signatures", docs.mapInArrow(lambda b: _signatures(b, words), f"kind int, doc_id {kind}, n bigint, cid binary, mins array<bigint>, sketch array<bigint>"))
+    signed = made.where("kind = 0").select("doc_id", "n", "cid")
+    first_of = [F.first(c, ignorenulls=True).alias(c) for c in ("n", "mins", "sketch")]
+    classes = made.where("kind = 0 and n > 0").groupBy("cid").agg(F.min("doc_id").alias("first_id"), *first_of)
     classes = scratch.table("classes", classes)
 
     # 1. Each class against the least of those that have a minimum hash in common with it, in its largest such group.
