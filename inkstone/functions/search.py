@@ -56,3 +56,31 @@ def go_to_line(value: Column, lines: Column) -> Column:
 def utf16_length(column: Column) -> Column:
     """Length in UTF-16 units."""
     return (F.octet_length(F.encode(column, "UTF-16BE")) / 2).cast("int")
+
+
+def find_previous(column: Column, find: str, caret: Column | int, match_case: bool = True, regex: bool = False) -> Column:
+    """struct<outcome, start>: the last match that ends at or before `caret`, else, as WRAPPED, the last of the text.
+
+    Matches are those of a scan from the start; a pattern that also matches empty text isn't supported. Offsets are
+    characters from 0. Null has no match."""
+    none = F.struct(F.lit("NO_MATCH").alias("outcome"), F.lit(-1).alias("start"))
+    if not find:
+        return none
+    pattern = F.lit(_pattern(find, match_case, regex))
+    # The text between matches, and the matches, in turn: their lengths give each match its place.
+    found = F.regexp_extract_all(column, pattern, F.lit(0))
+    gaps = F.transform(F.split(column, pattern, -1), F.length)
+    lengths = F.transform(found, F.length)
+    at = F.lit(caret) if isinstance(caret, int) else caret
+    start = F.struct(F.lit(0).alias("end"), F.lit(-1).alias("before"), F.lit(-1).alias("last"))
+
+    def step(s: Column, g: Column) -> Column:
+        here, end = s["end"] + g["gap"], s["end"] + g["gap"] + g["n"]
+        return F.struct(end.alias("end"), F.when(end <= at, here).otherwise(s["before"]).alias("before"), here.alias("last"))
+
+    both = F.zip_with(F.slice(gaps, F.lit(1), F.size(lengths)), lengths, lambda a, b: F.struct(a.alias("gap"), b.alias("n")))
+    done = F.aggregate(both, start, step)
+    return F.struct(
+        F.when(done["before"] >= 0, "FOUND").when(done["last"] >= 0, "WRAPPED").otherwise("NO_MATCH").alias("outcome"),
+        F.when(done["before"] >= 0, done["before"]).when(done["last"] >= 0, done["last"]).otherwise(-1).alias("start"),
+    )

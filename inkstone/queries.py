@@ -151,6 +151,18 @@ SELECT doc_id, CASE WHEN n > 0 THEN 'FOUND' ELSE 'NO_MATCH' END AS outcome, rege
 """
 
 
+def find_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.find_previous(F.col("text"), "the", 300)
+    return docs(spark, sf_dir).select("doc_id", found["outcome"].alias("outcome"), found["start"].cast("long").alias("start"))
+
+
+PREVIOUS_SQL = """
+WITH d AS (SELECT doc_id, text, strpos(reverse(substr(text, 1, 300)), 'eht') AS before, strpos(reverse(text), 'eht') AS last FROM documents)
+SELECT doc_id, CASE WHEN before > 0 THEN 'FOUND' WHEN last > 0 THEN 'WRAPPED' ELSE 'NO_MATCH' END AS outcome,
+  (CASE WHEN before > 0 THEN least(300, length(text)) - before - 2 WHEN last > 0 THEN length(text) - last - 2 ELSE -1 END)::BIGINT AS start FROM d
+"""
+
+
 def utf16_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", search.utf16_length(F.translate("text", "e", "𠀾")).cast("long").alias("n_units"))
 
@@ -195,6 +207,7 @@ for _f, _sql in (
     (repair_dialog_quotes, REPAIR_SQL),
     (dialog_quote_issues, ISSUES_SQL),
     (find_and_replace, FIND_SQL),
+    (find_previous, PREVIOUS_SQL),
     (utf16_length, "SELECT doc_id, length(text) + length(text) - length(replace(text, 'e', '')) AS n_units FROM documents"),
     (go_to_line, GO_SQL),
     (assemble_pages, PAGES_SQL),
