@@ -72,11 +72,12 @@ def find_previous(column: Column, find: str, caret: Column | int, match_case: bo
     gaps = F.transform(F.split(column, pattern, -1), F.length)
     lengths = F.transform(found, F.length)
     at = F.lit(caret) if isinstance(caret, int) else caret
-    start = F.struct(F.lit(0).alias("end"), F.lit(-1).alias("before"), F.lit(-1).alias("last"))
+    # The caret goes through the state: a column inside a lambda could be taken for a new column of the same name.
+    start = F.struct(F.lit(0).alias("end"), F.lit(-1).alias("before"), F.lit(-1).alias("last"), at.alias("caret"))
 
     def step(s: Column, g: Column) -> Column:
         here, end = s["end"] + g["gap"], s["end"] + g["gap"] + g["n"]
-        return F.struct(end.alias("end"), F.when(end <= at, here).otherwise(s["before"]).alias("before"), here.alias("last"))
+        return F.struct(end.alias("end"), F.when(end <= s["caret"], here).otherwise(s["before"]).alias("before"), here.alias("last"), s["caret"].alias("caret"))
 
     both = F.zip_with(F.slice(gaps, F.lit(1), F.size(lengths)), lengths, lambda a, b: F.struct(a.alias("gap"), b.alias("n")))
     done = F.aggregate(both, start, step)
@@ -84,3 +85,35 @@ def find_previous(column: Column, find: str, caret: Column | int, match_case: bo
         F.when(done["before"] >= 0, "FOUND").when(done["last"] >= 0, "WRAPPED").otherwise("NO_MATCH").alias("outcome"),
         F.when(done["before"] >= 0, done["before"]).when(done["last"] >= 0, done["last"]).otherwise(-1).alias("start"),
     )
+
+
+def replace_current(column: Column, find: str, replacement: str, start: Column, end: Column, match_case: bool = True, regex: bool = False) -> Column:
+    """struct<outcome, text, start, end>: FOUND with the selection replaced if it is exactly a match of a scan from the
+    start, else NOT_COMPLETE_MATCH (NO_MATCH for nothing to find) with the text as it is and -1.
+
+    The selection may have its ends the wrong way round and is cut to the text. Groups in the replacement are taken from
+    the selection alone. A pattern that also matches empty text isn't supported. Null text has a null outcome."""
+    if not find:
+        return F.struct(F.lit("NO_MATCH").alias("outcome"), column.alias("text"), F.lit(-1).alias("start"), F.lit(-1).alias("end"))
+    pattern, cut = _pattern(find, match_case, regex), lambda x: F.greatest(F.lit(0), F.least(x, F.length(column)))
+    low, high = cut(F.least(start, end)), cut(F.greatest(start, end))
+    lengths = F.transform(F.regexp_extract_all(column, F.lit(pattern), F.lit(0)), F.length)
+    gaps = F.slice(F.transform(F.split(column, F.lit(pattern), -1), F.length), F.lit(1), F.size(lengths))
+    both = F.zip_with(gaps, lengths, lambda a, b: F.struct(a.alias("gap"), b.alias("n")))
+
+    def step(s: Column, g: Column) -> Column:
+        here, there = s["at"] + g["gap"], s["at"] + g["gap"] + g["n"]
+        found = s["hit"] | ((here == s["low"]) & (there == s["high"]))
+        return F.struct(there.alias("at"), found.alias("hit"), s["low"].alias("low"), s["high"].alias("high"))
+
+    # The selection goes through the state, as the caret does above.
+    hit = F.aggregate(both, F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), low.alias("low"), high.alias("high")), step)["hit"]
+    chosen = F.substring(column, low + 1, high - low)
+    put = F.regexp_replace(chosen, F.lit(f"^(?:{pattern})$"), F.lit(replacement)) if regex else F.lit(replacement)
+    done = F.concat(F.substring(column, F.lit(1), low), put, F.substring(column, high + 1, F.length(column)))
+    return F.struct(
+        F.when(column.isNotNull(), F.when(hit, "FOUND").otherwise("NOT_COMPLETE_MATCH")).alias("outcome"),
+        F.when(hit, done).otherwise(column).alias("text"),
+        F.when(hit, low).otherwise(-1).alias("start"),
+        F.when(hit, low + F.length(put)).otherwise(-1).alias("end"),
+    )

@@ -10,7 +10,7 @@ from itertools import cycle, islice
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from inkstone.functions import quotes, search
+from inkstone.functions import quotes, reflow, search
 from inkstone.operators import convert as conversion
 from inkstone.plans.conversion import ROUNDS, plan
 from inkstone.sources import documents
@@ -195,6 +195,28 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", documents.html_text(F.col("html")).alias("text"))
 
 
+def replace_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selection is the first `the`, or one character beside it."""
+    at = F.instr("text", "the") - 1 + F.col("doc_id") % 2
+    done = search.replace_current(F.col("text"), "the", "$1\\", at.cast("int"), (at + 3).cast("int"))
+    return docs(spark, sf_dir).select("doc_id", *(done[c].alias(c) for c in ("outcome", "text")), *(done[c].cast("long").alias(f"selected_{c}") for c in ("start", "end")))
+
+
+CURRENT_SQL = r"""
+WITH d AS (SELECT doc_id, text, strpos(text, 'the') AS place, strpos(text, 'the') > 0 AND doc_id % 2 = 0 AS hit FROM documents)
+SELECT doc_id, CASE WHEN hit THEN 'FOUND' ELSE 'NOT_COMPLETE_MATCH' END AS outcome,
+  CASE WHEN hit THEN substr(text, 1, place - 1) || '$1\' || substr(text, place + 3) ELSE text END AS text,
+  (CASE WHEN hit THEN place - 1 ELSE -1 END)::BIGINT AS selected_start, (CASE WHEN hit THEN place + 2 ELSE -1 END)::BIGINT AS selected_end FROM d
+"""
+
+
+def reflow_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Han text cut into lines of 40 characters or at its full stops."""
+    text = F.translate(han(F.col("text"), "t2hkp", SLOTS), ".", "。")
+    cut = F.regexp_replace(text, r"([^\n]{40})", "$1\n")
+    return docs(spark, sf_dir).select("doc_id", reflow.reflow_paragraphs(cut).alias("text"))
+
+
 QUERIES: dict = {"convert_t2hkp_by_lang": convert_t2hkp_by_lang}
 ORACLES: dict[str, str] = {"convert_t2hkp_by_lang": FLAGSHIP_SQL}
 for _config in COMPLETE:
@@ -208,6 +230,8 @@ for _f, _sql in (
     (dialog_quote_issues, ISSUES_SQL),
     (find_and_replace, FIND_SQL),
     (find_previous, PREVIOUS_SQL),
+    (replace_current, CURRENT_SQL),
+    (reflow_paragraphs, None),
     (utf16_length, "SELECT doc_id, length(text) + length(text) - length(replace(text, 'e', '')) AS n_units FROM documents"),
     (go_to_line, GO_SQL),
     (assemble_pages, PAGES_SQL),
