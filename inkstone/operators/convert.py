@@ -12,7 +12,8 @@ from collections.abc import Callable, Mapping
 import pandas as pd
 from pyspark.sql import Column, SparkSession, functions as F
 
-from inkstone.plans.conversion import Round, plan
+from inkstone.plans.conversion import DELIMITERS, Round, plan
+from inkstone.sources.dictionaries import units
 
 #: What an empty input becomes where `strict_empty` is asked for.
 EMPTY_MESSAGE = "Input text is null or empty"
@@ -81,6 +82,29 @@ def convert(spark: SparkSession, column: Column, config: str, slots: Mapping[str
     return out
 
 
+_SEGMENT = re.compile("[^{0}]*[{0}]|[^{0}]+".format(re.escape("".join(sorted(DELIMITERS)))))
+
+
+def replace_greedy(spark: SparkSession, column: Column, dictionaries: list[Mapping[str, str]], longest: int) -> Column:
+    """The longest key of any dictionary at each place, the earlier dictionary's on a tie, without regard to slots.
+
+    Keys of more than `longest` UTF-16 units don't count; no key matches over a delimiter, and a delimiter that follows
+    another stays as it is. Null stays null."""
+    pairs: dict[str, str] = {}
+    for entries in dictionaries:
+        for key, value in entries.items():
+            if key and units(key) <= longest:
+                pairs.setdefault(key, value)
+    shared = spark.sparkContext.broadcast(pairs)
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        replace = replacer(shared.value)
+        return texts.map(lambda t: "".join(s if s in DELIMITERS else replace(s) for s in _SEGMENT.findall(t)), na_action="ignore")
+
+    return run(column)
+
+
 def by_character(column: Column, pairs: Mapping[str, str]) -> Column:
     """Each code point alone by a character slot."""
     return translate(column, pairs)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkstone.functions import quotes, search
-from inkstone.operators.convert import EMPTY_MESSAGE, convert, replace_rare, replacer, script_check
+from inkstone.operators.convert import EMPTY_MESSAGE, convert, replace_greedy, replace_rare, replacer, script_check
 from inkstone.plans.conversion import build_round, config_name, plan
 from inkstone.sources.dictionaries import CustomSpec, apply_specs, bounds, example_slots, parse_text, read_bundle, write_bundle
 
@@ -91,3 +91,9 @@ def test_stream(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/in")
     convert_stream(spark, f"{tmp_path}/in", rows.schema, f"{tmp_path}/out", f"{tmp_path}/cp", "t2tw", SLOTS).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").collect()[0][1] == "吃"
+
+
+def test_replace_greedy(spark):
+    slots = [{"ab": "1", "c": "2", "。": "."}, {"ab": "9", "abc": "3", "a。b": "4", "abcd": "5"}]
+    texts = ("abcab", "a。b", "c。。", "abcd", "", None)
+    assert one(spark, lambda c: replace_greedy(spark, c, slots, 3), *texts) == ["31", "a.b", "2.。", "3d", "", None]
