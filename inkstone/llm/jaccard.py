@@ -15,12 +15,15 @@ A document's set has its distinct 5-word shingles as 64-bit hashes. Documents wi
    all of them at late positions, are skipped. Lists that lie in one component are skipped whole.
 4. The remaining pairs are compared exactly, and the components are joined.
 
+`link` therefore finds the links that join the components, not every link. `class_links` and `link_counts` give the
+whole join, from the same index with no pair left out as known.
+
 Before two sets are brought together, their parity sketches are: bit i tells whether an odd number of the set's
 shingles falls on it. The bits in which two sketches differ are at most the shingles in which the sets differ, and a
 link allows (a + b) / 9 of those, so more differing bits rule a link out for certain. A sketch has 2 to 4 bits a
 shingle, a thirtieth of its set or less.
 
-No list, component or group is gathered in one task, and no pair within a component of step 1 is emitted; lists are
+No list, component or group is gathered in one task, and in `link` no pair within a component of step 1 is emitted; lists are
 joined by Spark, which can split a large one. Edge cases: null and empty texts have the empty set and are linked with
 nothing; a text of fewer words is one shingle; repeated rows and ids are documents of their own, and count once each; null ids
 take part in links, but are no component's id while another id is there; an empty table gives no rows. Of the columns
@@ -218,20 +221,37 @@ def _candidates(postings: DataFrame) -> DataFrame:
     return probe.join(index, ["token", "block"]).where(ordered & fits & (F.col("comp_u") != F.col("comp_v"))).select("u", "v").distinct()
 
 
-def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) of each document.
-
-    class_id tells documents with equal sets (null without words). component_id is the smallest id that can be reached
-    by links, the document's own included.
-    """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+def _read(docs: DataFrame, doc_id: str, text: str, words: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The documents' (doc_id, text), the written signatures, those of documents alone, and the written classes."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = scratch.table("signatures", docs.mapInArrow(lambda b: _signatures(b, words), f"kind int, doc_id {kind}, n bigint, cid binary, mins array<bigint>, sketch array<bigint>"))
     signed = made.where("kind = 0").select("doc_id", "n", "cid")
     first_of = [F.first(c, ignorenulls=True).alias(c) for c in ("n", "mins", "sketch")]
     classes = made.where("kind = 0 and n > 0").groupBy("cid").agg(F.min("doc_id").alias("first_id"), *first_of)
-    classes = scratch.table("classes", classes)
+    return docs, made, signed, scratch.table("classes", classes)
+
+
+def _lists(docs: DataFrame, made: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """The lists of the prefixes' shingles that several classes have: (token, cid, n, pos)."""
+    counts = made.where("kind = 1").groupBy(F.col("mins")[0].alias("token")).agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "token").limit(HEAVY).toArrow()
+    token, n = np.asarray(top["token"]).astype(np.int64).view(np.uint64), np.asarray(top["n"]).astype(np.int64)
+    by = np.argsort(token)
+    heavy = docs.sparkSession.sparkContext.broadcast((token[by], n[by]))  # 16 bytes for each of HEAVY shingles at most
+    lists = docs.select("text").mapInArrow(lambda b: _postings(b, words, *heavy.value), "token bigint, cid binary, n int, pos int")
+    lists = lists.repartition("token").sortWithinPartitions("token", "cid").mapInArrow(_shared, lists.schema)
+    return scratch.table("lists", lists)
+
+
+def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id) of each document.
+
+    class_id tells documents with equal sets (null without words). component_id is the smallest id that can be reached
+    by links, the document's own included.
+    """
+    scratch = Scratch(docs.sparkSession)
+    docs, made, signed, classes = _read(docs, doc_id, text, words, scratch)
 
     # 1. Each class against the least of those that have a minimum hash in common with it, in its largest such group.
     keys = classes.select("cid", "n", F.posexplode("mins").alias("level", "least"))
@@ -242,14 +262,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     clusters = scratch.table("clusters", components(near, scratch, "near-steps"))
 
     # 2. The order, from at most HEAVY shingles, and the lists.
-    counts = made.where("kind = 1").groupBy(F.col("mins")[0].alias("token")).agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "token").limit(HEAVY).toArrow()
-    token, n = np.asarray(top["token"]).astype(np.int64).view(np.uint64), np.asarray(top["n"]).astype(np.int64)
-    by = np.argsort(token)
-    heavy = spark.sparkContext.broadcast((token[by], n[by]))  # 16 bytes for each of HEAVY shingles at most
-    lists = docs.select("text").mapInArrow(lambda b: _postings(b, words, *heavy.value), "token bigint, cid binary, n int, pos int")
-    lists = lists.repartition("token").sortWithinPartitions("token", "cid").mapInArrow(_shared, lists.schema)
-    lists = scratch.table("lists", lists)
+    lists = _lists(docs, made, words, scratch)
 
     # 3. Lists that reach more than one component; first each of their sets against a few leaders of the list only,
     # which tells most answers that follow from a similar set's, then what is left.
@@ -274,6 +287,35 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.hex("cid").alias("class_id"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _all_links(docs: DataFrame, doc_id: str, text: str, words: int) -> tuple[DataFrame, DataFrame]:
+    """Every link (u, v) between two classes, once; and (doc_id, n, cid) of each document."""
+    scratch = Scratch(docs.sparkSession)
+    docs, made, signed, classes = _read(docs, doc_id, text, words, scratch)
+    lists = _lists(docs, made, words, scratch)
+    # Each class as a component of its own, so that no pair counts as known.
+    return _verified(_candidates(lists.withColumn("comp", F.col("cid"))), docs, classes, words, scratch, "every"), signed
+
+
+def class_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """(class_u, class_v) of every two classes that are linked, each pair once, with class ids as in `link`.
+
+    Unlike `link`, which needs no more links than join the components, this gives the whole join. Documents of equal
+    sets share a class and have no row here. The rows, and the work for them, grow with the square of a group of near copies.
+    """
+    links, _ = _all_links(docs, doc_id, text, words)
+    return links.select(F.hex(F.least("u", "v")).alias("class_u"), F.hex(F.greatest("u", "v")).alias("class_v"))
+
+
+def link_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """(doc_id, class_id, n_links) of each document: how many other documents it is linked with, equal sets included."""
+    links, signed = _all_links(docs, doc_id, text, words)
+    sizes = signed.where("cid is not null").groupBy("cid").agg(F.count("*").alias("size"))
+    both = links.select(F.col("u").alias("cid"), F.col("v").alias("other")).union(links.select(F.col("v").alias("cid"), F.col("u").alias("other")))
+    partners = both.join(sizes.withColumnRenamed("cid", "other"), "other").groupBy("cid").agg(F.sum("size").alias("partners"))
+    found = sizes.join(partners, "cid", "left").select("cid", (F.col("size") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"))
+    return signed.join(found, "cid", "left").select("doc_id", F.hex("cid").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """`docs` with one document of each component: the one with the smallest id.
 

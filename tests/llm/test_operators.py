@@ -58,6 +58,22 @@ def test_jaccard_against_all_pairs(spark, corpus):
     assert jaccard.link(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_jaccard_every_link(spark, corpus):
+    """Links inside a group of near copies are all there, not only those that join it."""
+    base = text(random.Random(6), 150, 4000).split()
+    corpus = [*corpus, *((300 + k, " ".join([*base[: 20 * k], f"y{k}", *base[20 * k + 1 :]])) for k in range(6))]
+    docs = spark.createDataFrame(corpus, DOCS)
+    sets = [shingles(t) for _, t in corpus]
+    alike = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+    counts = jaccard.link_counts(docs).collect()
+    assert sorted((str(r["doc_id"]), r["n_links"]) for r in counts) == sorted((str(i), sum(alike(sets[k], s) for j, s in enumerate(sets) if j != k)) for k, (i, _) in enumerate(corpus))
+    name = {i: c for i, c, _ in counts}
+    classes = {name[i]: sets[k] for k, (i, _) in enumerate(corpus) if sets[k]}
+    every = sorted((a, b) for a in classes for b in classes if a < b and alike(classes[a], classes[b]))
+    assert len(every) > len({x for pair in every for x in pair})
+    assert sorted(map(tuple, jaccard.class_links(docs).collect())) == every
+
+
 def test_decontamination_against_scan(spark):
     rng = random.Random(7)
     items = [(k, text(rng, n, 30)) for k, n in enumerate((25, 12, 10, 4, 1, 0))] + [(6, None), (7, "W1, w2!")]
