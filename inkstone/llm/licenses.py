@@ -1,7 +1,9 @@
 """Licence scan by sentence rules: normalised sentences become identifiers, identifier sequences meet ordered rules.
 
-A sentence ends at a line's end or at `.`, `!`, `?` or `;` before white space. Its normal form has small letters and
-digits with single spaces. Known sentences get their identifiers by an equality lookup; the rules are tried in order on
+A sentence ends at an empty line or at `.`, `!`, `?` or `;` before white space; a line without letters and digits, as in
+a comment, is empty too. A single line end may end it or be white space within it, so both hard-wrapped sentences and
+single lines without punctuation are known. The normal form has small letters and digits with single spaces. Known sentences
+are found from left to right as whole runs of lines, of several at one place the longest; the rules are tried in order on
 a document's identifiers, and each takes away the runs that it matches, so that a later, shorter rule doesn't count
 words of an earlier one. Identifiers that no rule takes are reported too.
 
@@ -11,7 +13,7 @@ columns replace columns of the same name); an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -55,11 +57,22 @@ RULES = (
     ("CC-BY-4.0", ("CcBy4",)),
     ("Proprietary", ("AllRights",)),
 )
-BREAK = r"\n+|(?<=[.!?;])[\x20\x09-\x0D]+"
+#: Marks in normal text, which has no capitals otherwise: the end of a sentence, and of a line that may not end one.
+END, LINE = "S", "L"
 
 
-def normalise(sentence: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def normalise(text: Column) -> Column:
+    """The normal form of a text, with a mark at each end of a sentence or line and at both ends of the text."""
+    out = F.regexp_replace(F.lower(text), r"(?<=[.!?;])[\x20\x09-\x0D]+", END)
+    out = F.regexp_replace(F.replace(out, F.lit("\n"), F.lit(LINE)), f"[^a-z0-9{END}{LINE}]+", " ")
+    out = F.regexp_replace(F.concat(F.lit(END), out, F.lit(END)), f" ?([{END}{LINE}]) ?", "$1")
+    return F.regexp_replace(out, f"[{END}{LINE}]{{2,}}", END)
+
+
+def pattern(normal: Iterable[str]) -> str:
+    """A pattern of whole normal sentences, wrapped anywhere; longer ones first."""
+    wrapped = (s.replace(" ", f"[ {LINE}]") for s in sorted(normal, key=len, reverse=True))
+    return f"(?<=[{END}{LINE}])(?:{'|'.join(wrapped)})(?=[{END}{LINE}])"
 
 
 def normal_text(sentence: str) -> str:
@@ -72,13 +85,14 @@ def scan(docs: DataFrame, sentences: Mapping[str, str] = SENTENCES, rules: Seque
 
     Only documents in which some sentence is known go through the lookup and the rules.
     """
-    ids = {normal_text(s): k for k, s in sentences.items()}
+    ids = {n: k for k, s in sentences.items() if (n := normal_text(s))}
     lookup = F.create_map(*(F.lit(x) for pair in ids.items() for x in pair))
-    known = F.array(*map(F.lit, ids))
-    out = docs.withColumn("_l_sentences", F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), BREAK))
-    out = out.withColumn("_l_normal", F.transform("_l_sentences", normalise))
-    found = F.filter(F.transform("_l_normal", lambda s: F.try_element_at(lookup, s)), lambda k: k.isNotNull())
-    out = out.withColumn("sentence_ids", F.when(F.arrays_overlap("_l_normal", known), found).otherwise(F.array().cast("array<string>")))
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    # A text without the longest word of any sentence has none of them.
+    may = reduce(Column.__or__, (F.lower(body).contains(w) for w in sorted({max(s.split(), key=len) for s in ids})), F.lit(False))
+    out = docs.withColumn("_l_found", F.when(may, F.regexp_extract_all(normalise(body), F.lit(pattern(ids)), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    found = F.transform("_l_found", lambda s: F.try_element_at(lookup, F.replace(s, F.lit(LINE), F.lit(" "))))
+    out = out.withColumn("sentence_ids", F.when(F.size("_l_found") > 0, found).otherwise(F.array().cast("array<string>")))
     rest = F.concat(F.lit(","), F.array_join(F.transform("sentence_ids", lambda k: F.concat(k, F.lit(","))), ","))
     hits = []
     for name, sequence in rules:
@@ -91,4 +105,4 @@ def scan(docs: DataFrame, sentences: Mapping[str, str] = SENTENCES, rules: Seque
     none = F.array().cast("array<string>")
     out = out.withColumn("licenses", F.when(F.col("_l_any"), F.array_sort(F.array_distinct(names))).otherwise(none))
     out = out.withColumn("unmatched", F.when(F.col("_l_any"), F.filter(F.split(rest, ","), lambda x: x != "")).otherwise(none))
-    return out.drop("_l_sentences", "_l_normal", "_l_any")
+    return out.drop("_l_found", "_l_any")

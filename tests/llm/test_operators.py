@@ -174,6 +174,31 @@ def test_licenses(spark):
     assert part["licenses"] == [] and part["unmatched"] == ["BsdSource"]
 
 
+def test_licenses_wrapped(spark):
+    """Hard-wrapped sentences, plain and in comments, and single lines between unpunctuated neighbours."""
+    import textwrap
+
+    s = licenses.SENTENCES
+    gpl = [s["GplFree"], " ".join(s[k] for k in ("GplHope", "GplImplied", "GplSee"))]
+    bsd = [s["BsdRedistribution"], "1. " + s["BsdSource"], "2. " + s["BsdBinary"]]
+    mit = ["MIT License", "Copyright (c) 2020 A", s["MitPermission"], s["MitNotice"]]
+    wrap = lambda parts, mark="", end="\n": f"{end}{mark}{end}".join(textwrap.fill(x, 60, initial_indent=mark, subsequent_indent=mark) for x in parts)
+    cases = [
+        (wrap(gpl), ["GPL-3.0-or-later"], 4),
+        ("/*\r\n" + wrap(gpl, " * ").replace("\n", "\r\n") + "\r\n */", ["GPL-3.0-or-later"], 4),
+        (wrap(gpl, "# "), ["GPL-3.0-or-later"], 4),
+        (wrap(bsd, "// "), ["BSD-2-Clause"], 3),
+        ("All rights reserved.\n" + "\n".join(textwrap.fill(x, 70) for x in bsd), ["BSD-2-Clause", "Proprietary"], 4),
+        (wrap(mit), ["MIT"], 2),
+        ("a title\nReleased under the MIT License\nanother line\nAll rights\nreserved", ["MIT", "Proprietary"], 2),
+        ("Released under the\n\nMIT License", [], 0),
+        ("Released under. the MIT License\nnot all rights reserved\nall rights reserved here", [], 0),
+        ("x\n" * 50_000 + "\n" * 50_000 + " \n" * 50_000 + "Released under\nthe MIT License", ["MIT"], 1),
+    ]
+    rows = licenses.scan(spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], DOCS)).collect()
+    assert {r["doc_id"]: (r["licenses"], len(r["sentence_ids"]), r["unmatched"]) for r in rows} == {k: (c[1], c[2], []) for k, c in enumerate(cases)}
+
+
 def test_urls(spark):
     rules = [("org", "/", "allow"), ("a.org", "/x", "block"), ("a.org", "/x/y", "allow"), ("a.org", "/x", "allow"), ("com", "", "block")]
     cases = {"http://b.A.org/x/y/z": "a.org/x/y", "http://a.org/x/q?a": "a.org/x", "http://a.org/w": "org/", "http://a.org": None, "ba.org/x": None, "http://ba.org/x": "org/", "http://c.com": None, "http://c.com/": "com", "s://a.org/x\U0010ffff": "a.org/x", "": None}
