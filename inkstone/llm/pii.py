@@ -3,7 +3,9 @@
 A value that passes its validation is permuted among the values of its own format: card numbers (Luhn), IBANs (mod 97),
 social security numbers (issued ranges), telephone numbers, IPv4 addresses, calendar dates, names of mail addresses and
 quoted access tokens. Equal values get equal pseudonyms in every document, however they are punctuated; different values get
-different ones, and the key's owner can invert them. Punctuation, letter case and length of a format stay.
+different ones, and the key's owner can invert them. Two kinds of values may get another pseudonym than elsewhere, as
+they couldn't be inverted otherwise: dates with the month first, and card numbers and IBANs that would form another
+valid number with what stands next to them. Punctuation, letter case and length of a format stay.
 
 Edge cases: a null text stays null; what fails its validation stays as it is; repeated rows, null ids and extra columns
 pass through; an empty table gives an empty result. A value in a format of one value only stays.
@@ -135,17 +137,26 @@ DAYS = datetime.date(2100, 1, 1).toordinal() - FIRST
 
 
 def _date(s: str, p: Permutation, back: bool) -> str | None:
-    """yyyy-mm-dd, yyyy/mm/dd, or dd.mm.yyyy, dd/mm/yyyy, dd-mm-yyyy with two digits each; from 1900 to 2099."""
-    parts = re.split(r"[-/.]", s)
-    first = len(parts[0]) == 4
-    try:
-        day = datetime.date(*(int(x) for x in (parts if first else parts[::-1]))).toordinal() - FIRST
-    except ValueError:
-        return None
-    if not 0 <= day < DAYS:
-        return None
-    new = datetime.date.fromordinal(FIRST + p.apply(day, DAYS, "date", back))
-    return _refill(s, new.strftime("%Y%m%d") if first else new.strftime("%d%m%Y"))
+    """yyyy-mm-dd, yyyy/mm/dd, or dd.mm.yyyy, dd/mm/yyyy, dd-mm-yyyy with two digits each; from 1900 to 2099.
+
+    What is no date with the day first may be one with the month first. Those have days over 12 and stay such dates, or
+    they couldn't be told from the others."""
+    a, b, c = (int(x) for x in re.split(r"[-/.]", s))
+    first = re.match(r"\d{4}", s) is not None
+    forms = (("%Y%m%d", (a, b, c)),) if first else (("%d%m%Y", (c, b, a)), ("%m%d%Y", (c, a, b)))
+    for form, parts in forms:
+        try:
+            day = datetime.date(*parts).toordinal() - FIRST
+        except ValueError:
+            continue
+        if not 0 <= day < DAYS:
+            return None
+        while True:
+            day = p.apply(day, DAYS, "date", back)
+            new = datetime.date.fromordinal(FIRST + day)
+            if form != "%m%d%Y" or new.day > 12:
+                return _refill(s, new.strftime(form))
+    return None
 
 
 #: Tried in this order at each place of a text.
@@ -162,6 +173,22 @@ FORMATS = {
 _PATTERN = re.compile("|".join(f"(?P<{k}>{p.replace('?P<value>', '?P<secret_value>')})" for k, (p, _) in FORMATS.items()))
 
 
+#: Lengths of IBANs by country, of the registry.
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
+#: Card numbers as they are usually set: in one, or in groups of 4-4-4-4-3, 4-4-4-4, 4-6-5 and 4-6-4.
+_CARD_FORMS = [re.compile(x + r"(?!\w)") for x in (r"\d{13,19}", r"\d{4}(?:[ -]\d{4}){3}[ -]\d{3}", r"\d{4}(?:[ -]\d{4}){3}", r"\d{4}[ -]\d{6}[ -]\d{5}", r"\d{4}[ -]\d{6}[ -]\d{4}")]
+#: No card number or IBAN, with a character before and after it, is as long.
+REACH = 64
+_GROUP_END = re.compile(r"(?<=\d)(?=[ -])")
 #: Whatever any format needs; texts without it are left at once.
 _NEEDED = re.compile(r"[0-9@]|[=:]\s*[\"']")
 _SKIP = re.compile(r"\w*\W?")
@@ -175,19 +202,59 @@ class Pseudonymiser:
     def _one(self, kind: str, value: str, back: bool) -> str | None:
         return FORMATS[kind][1](value, self.permutation, back)
 
-    def spans(self, text: str, back: bool = False) -> list[tuple[int, int, str, str]]:
-        """(start, end, kind, pseudonym) of each value, in order."""
-        out, at = [], 0
+    def _place(self, kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
+        """The place of the valid value in text[a:b]; None if none begins at `a`.
+
+        Another number or word may follow a card number or IBAN. The country's length and the usual forms of card
+        numbers come first, then the longest, then what ends at a group before."""
+        valid = lambda x, y: self.one(kind, text[x:y], False) is not None
+        if kind == "iban":
+            n, size = IBAN_LENGTHS.get(text[a : a + 2]), 0
+            for e in range(a, b):
+                size += text[e] != " "
+                if size == n:
+                    if not re.match(r"\w", text[e + 1 : e + 2]) and valid(a, e + 1):
+                        return a, e + 1
+                    break
+        elif kind == "card":
+            for form in _CARD_FORMS:
+                if (m := form.match(text, a)) and valid(a, m.end()):
+                    return a, m.end()
+            groups = [m.start() for m in _GROUP_END.finditer(text, a, b)]
+            # A number in its usual form that begins after a shorter one isn't to be cut. After a space it is found on its own.
+            for g in groups:
+                for form in _CARD_FORMS:
+                    if (m := form.match(text, g + 1)) and valid(g + 1, m.end()):
+                        return (g + 1, m.end()) if text[g] == "-" else None
+            return next(((a, e) for e in (b, *reversed(groups)) if valid(a, e)), None)
+        return (a, b) if valid(a, b) else None
+
+    def _next(self, text: str, at: int) -> tuple[int, int, str, int] | None:
+        """(start, end, kind, where to go on) of the first value from `at`."""
         while m := _PATTERN.search(text, at):
             kind = m.lastgroup if m.lastgroup != "secret_value" else "secret"
             a, b = m.span("secret_value" if kind == "secret" else kind)
-            new = self.one(kind, text[a:b], back)
-            if new is None:
-                # Not valid in this format; another may still begin within.
-                at = max(_SKIP.match(text, m.start()).end(), m.start() + 1)
-                continue
-            out.append((a, b, kind, new))
-            at = m.end()
+            if (place := self._place(kind, text, a, b)) is not None:
+                return *place, kind, place[1] + m.end() - b if kind == "secret" else place[1]
+            # Not valid in this format; another may still begin within.
+            at = max(_SKIP.match(text, m.start()).end(), m.start() + 1)
+        return None
+
+    def spans(self, text: str, back: bool = False) -> list[tuple[int, int, str, str]]:
+        """(start, end, kind, pseudonym) of each value, in order."""
+        out, at = [], 0
+        while found := self._next(text, at):
+            a, e, kind, after = found
+            new = self.one(kind, text[a:e], back)
+            if kind in ("card", "iban"):
+                # The permutation is walked until its number is found at this place, not a longer or earlier one.
+                start = max(at, a - REACH)
+                low = max(start - 1, 0)
+                before, behind = text[low:a], text[e : e + REACH]
+                while (self._next(before + new + behind, start - low) or ())[:3] != (a - low, e - low, kind):
+                    new = self.one(kind, new, back)
+            out.append((a, e, kind, new))
+            at = after
         return out
 
     def text(self, text: str, back: bool = False) -> tuple[str, list[str]]:

@@ -147,6 +147,31 @@ def test_pseudonyms(spark):
     assert sorted(p.apply(k, 1000, "t") for k in range(1000)) == list(range(1000))
 
 
+def test_pseudonyms_with_neighbours():
+    """Valid numbers are found with other numbers and words on both sides, and inverted."""
+    own, rng = pii.Pseudonymiser(b"k"), random.Random(8)
+    values = ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111", "3782 822463 10005", "ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "BE68539007547034"]
+    for value in values:
+        for after in ("", " 12/27", " 12 items", " BIC", " EUR 50", " 123", " 7 8 9", "-99", ", 12", " 2024-02-29", " ABCD 1234"):
+            for before in ("", "12 ", "no 5, ", "EUR 50 ", "AB12 "):
+                t = f"{before}{value}{after}"
+                out, kinds = own.text(t)
+                assert value not in out and {"card", "iban"} & set(kinds), t
+                assert own.text(out, back=True)[0] == t, (t, out)
+    for _ in range(500):
+        body = "".join(rng.choices("0123456789", k=15))
+        digits = body + str(pii.luhn(body))
+        card = digits if rng.random() < 0.5 else " ".join(digits[k : k + 4] for k in range(0, 16, 4))
+        t = f"{rng.choice(['', '12 ', '123 4567 ', '12-', '1 23-'])}{card}{rng.choice([' 12/27', ' 123', ' 12 34', ' 1', ' 5678 9'])}"
+        out, _ = own.text(t)
+        assert card not in out and own.text(out, back=True)[0] == t, (t, out)
+    for t in ("12/31/2024", "02-29-2024", "12.25.1999"):
+        out, kinds = own.text(t)
+        assert kinds == ["date"] and out != t and int(out[3:5]) > 12 and own.text(out, back=True)[0] == t
+    for t in ("13/31/2024", "02/30/2024", "4111 1111 1111 1112 12", "BE68 5390 0754 7035 EUR"):
+        assert own.text(t) == (t, [])
+
+
 def test_chat(spark):
     filters = {"escape": chat.escape}
     run = lambda s, **n: "".join(t for t, _ in chat.compile_template(s, filters)(**n))
