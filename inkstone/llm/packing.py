@@ -114,24 +114,25 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, do
 def pack(pieced: DataFrame, size: int = SIZE, group_pieces: int = GROUP_PIECES, n_pieces: int | None = None) -> DataFrame:
     """`pieced` with sequence_id and offset. `n_pieces`: how many rows it has, counted here if it isn't given.
 
-    The groups are dealt by a hash of the piece, so that they are alike and come out the same after a lost executor.
+    The pieces are written once to the shared folder with a number for each row. The groups are dealt by a hash of that
+    number, so that they are alike whatever rows repeat, and come out the same after a lost executor.
     """
-    groups = max(1, round((pieced.count() if n_pieces is None else n_pieces) / group_pieces))
+    from .scratch import Scratch
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieced.schema.fields)
+    numbered = Scratch(pieced.sparkSession).table("pieces", pieced.withColumn("_p_row", F.monotonically_increasing_id()))
+    groups = max(1, round((numbered.count() if n_pieces is None else n_pieces) / group_pieces))
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=False, kind="stable")
+        frame = frame.sort_values(["length", "doc_id", "piece", "ids_crc32", "_p_row"], ascending=False, kind="stable")
         sequence, offset, _ = best_fit_decreasing(frame["length"].to_numpy(), size)
         frame = frame.assign(sequence_id=sequence * groups + frame["_p_group"].to_numpy(), offset=offset)
-        return frame.drop(columns="_p_group")
+        return frame.drop(columns=["_p_group", "_p_row"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieced.schema.fields)
-    dealt = pieced.withColumn("_p_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = numbered.withColumn("_p_group", F.pmod(F.xxhash64("_p_row"), F.lit(groups)))
     return dealt.groupBy("_p_group").applyInPandas(place, f"{fields}, sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, with_ids: bool = True, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Documents tokenised, cut and packed. The pieces without ids are written once to the shared folder, as their
-    number is needed before they are dealt; with `with_ids` the ids are written with them."""
-    from .scratch import Scratch
-
-    return pack(Scratch(docs.sparkSession).table("pieces", pieces(docs, tokenizer, size, end, with_ids=with_ids)), size, group_pieces)
+    """Documents tokenised, cut and packed; `pack` writes the pieces, with their ids if `with_ids`."""
+    return pack(pieces(docs, tokenizer, size, end, with_ids=with_ids), size, group_pieces)

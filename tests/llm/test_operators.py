@@ -117,6 +117,15 @@ def test_packing(spark):
     assert packing.pack_documents(spark.createDataFrame([], DOCS), path).count() == 0
 
 
+def test_packing_groups_are_bounded(spark):
+    """Rows that repeat don't all fall into one group."""
+    columns = ["cast(null as bigint) doc_id", "0 piece", "cast(0 as bigint) start", "cast(1 as bigint) length", "cast(5 as bigint) ids_crc32"]
+    rows = packing.pack(spark.range(3000).selectExpr(*columns), 8, group_pieces=100).toPandas()
+    n = (rows.sequence_id % 30).value_counts()
+    assert len(rows) == 3000 and len(n) == 30 and n.max() < 200
+    assert rows.groupby("sequence_id").length.sum().max() == 8 and not rows.duplicated(["sequence_id", "offset"]).any()
+
+
 def test_best_fit_is_tightest():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 101, 500)
