@@ -1,8 +1,9 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by the nearest labelled examples: cosine of supervised TF-IDF weights over a block-max inverted index.
 
 Features are words (runs of letters and digits, in small letters) and the 6 byte n-grams of each. Of those that the
 examples have, the ones that tell the labels apart best make the vocabulary; a feature's weight is tf-idf times how far
-it tells them apart. The index has, for each feature and block of examples, the examples' weights and their maximum. For a
+it tells them apart. So this isn't the plain TF-IDF cosine over all features: the nearest are exact for these weights, and
+a word that too few examples have, even if only toxic ones do, is left out. The index has, for each feature and block of examples, the examples' weights and their maximum. For a
 document, blocks are visited by the bound that the maxima give, until no block left can hold a nearer example than the k
 found, so the k nearest are exact. Their labels, weighted by nearness and joined with the prior rate, make the score,
 and the nearest examples are its evidence.
