@@ -5,7 +5,8 @@ disjoint, so a sweep over the sorted keys needs a stack only: a rule's opening r
 puts back the rule that it was nested in. The rule for a key is what is on top there. A url has one key for its host
 and one for each domain above it, as rules hold for subdomains.
 
-Edge cases: a null url, or one without `://`, has an empty host and path and the default verdict. Rules that repeat a
+Edge cases: a null url, or one without `://`, has an empty host and path and the default verdict. No rule holds
+for a url with an empty path, not even one with an empty path itself. Rules that repeat a
 host and path count once, as block if any of them blocks. Repeated rows stay; extra columns pass through; null ids are
 ids like others. Of rules from different domains above a host the one with the longest text wins, then the longer host.
 """
