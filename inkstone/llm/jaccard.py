@@ -317,11 +317,14 @@ def link_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """`docs` with one document of each component: the one with the smallest id.
+    """`docs` with one row of each component: the one with the smallest id, rows without an id last.
 
-    Documents without words or without an id all stay. An id names a document: of rows that repeat it one stays.
+    Rows without words all stay. Each row is a document of its own, whatever ids repeat or are missing; of rows alike in
+    id and component the first stays.
     """
-    found = link(docs, doc_id, text, words).where("n_shingles > 0").select(F.col("component_id").alias(doc_id)).distinct()
-    open_rows = F.coalesce(F.col(text).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]") & F.col(doc_id).isNotNull()
-    kept = docs.where(open_rows).join(found, doc_id, "left_semi").dropDuplicates([doc_id])
-    return kept.unionByName(docs.where(~open_rows))
+    rows = Scratch(docs.sparkSession).table("rows", docs.withColumn("_j_row", F.monotonically_increasing_id()))
+    ids = rows.select(F.col("_j_row").alias("doc_id"), F.struct(F.col(doc_id).isNull(), doc_id, "_j_row").alias("place"))
+    found = link(rows, "_j_row", text, words).where("n_shingles > 0").select("doc_id", "component_id").join(ids, "doc_id")
+    kept = found.groupBy("component_id").agg(F.min("place")["_j_row"].alias("_j_row")).select("_j_row")
+    open_rows = F.coalesce(F.col(text).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return rows.where(open_rows).join(kept, "_j_row", "left_semi").unionByName(rows.where(~open_rows)).drop("_j_row")

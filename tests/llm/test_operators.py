@@ -74,6 +74,15 @@ def test_jaccard_every_link(spark, corpus):
     assert sorted(map(tuple, jaccard.class_links(docs).collect())) == every
 
 
+def test_keep_one_by_row(spark):
+    """Ids that repeat with different texts lose no group, and near copies without ids are one."""
+    rng = random.Random(12)
+    a, b, c, d = (text(rng, 60, 4000) for _ in range(4))
+    rows = [(0, a), (1, a), (1, b), (5, b), (1, c), (1, c), (None, d), (None, d + " x"), (None, None), (7, ""), (7, ""), (None, a)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(map(str, map(tuple, kept[:]))) in [sorted(map(str, [(0, a), (1, b), (1, c), (None, x), (None, None), (7, ""), (7, "")])) for x in (d, d + " x")]
+
+
 def test_decontamination_against_scan(spark):
     rng = random.Random(7)
     items = [(k, text(rng, n, 30)) for k, n in enumerate((25, 12, 10, 4, 1, 0))] + [(6, None), (7, "W1, w2!")]
