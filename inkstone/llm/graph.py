@@ -12,7 +12,7 @@ def _stars(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    large = large.where("u > v").distinct()
+    large = large.where("u > v").repartition("u", "v").distinct()
     least = large.groupBy("u").agg(F.min("v").alias("m"))
     small = large.join(least, "u")
     return small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()
@@ -22,7 +22,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, component) of every node of `edges` (u, v): component is the least node that can be reached.
 
     Ids may be of any ordered type. Loops and repeated edges do no harm; no edges, no rows. A hub's edges are joined
-    with one row, so Spark can split them; nothing is gathered by node but a minimum. The number of steps grows with
+    with one row and then dealt by both ends, so Spark can split them; nothing is gathered by node but a minimum. The number of steps grows with
     the logarithm of the longest path; each step is written to the shared folder.
     """
     now, seen, step = edges.select("u", "v").where("u <> v"), None, 0

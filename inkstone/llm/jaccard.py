@@ -3,31 +3,35 @@
 A document's set has its distinct 5-word shingles as 64-bit hashes. Documents with equal sets are one class, told by a
 128-bit hash of the set, and only classes are compared.
 
-1. Answers from similar sets. Classes that agree on one of a few minimum hashes are compared with the least class of
-   their group, exactly. Classes that are linked so form components, each around sets whose answers are then known:
-   two members of a component are not searched or compared again, as their link adds nothing to what links the
-   component. That keeps large groups of near copies linear.
-2. Index. Sets are ordered with the most frequent shingles last (of a list of bounded length; any order is right) and
-   then by hash. Two sets that link share a shingle of their prefixes, so lists hold prefixes only.
-   What is left of a list's sets is then compared with a few leaders of the list before any pair is listed.
-3. Skipping. A list is cut into blocks by size. An entry at position p of a set of size n can only link with sets of
-   sizes in a range that narrows with p, so it is brought together with the blocks of that range only; the others,
-   all of them at late positions, are skipped. Lists that lie in one component are skipped whole.
-4. The remaining pairs are compared exactly, and the components are joined.
+1. Order. Every shingle falls on one of COUNTERS counters, which count over all documents; sets are ordered by their
+   shingles' counters, rarest first, and then by hash. Counters are summed by Spark and have a fixed size, so what is
+   broadcast doesn't grow; any order gives the same links, a good one gives short lists.
+2. Index. Two sets that link share a shingle of their prefixes, so lists hold prefixes only, and only shingles that
+   several classes have.
+3. Answers from similar sets. Each class of a list is compared with a few leaders of the list: the class at the earliest
+   position, which has the fewest shingles of its own and so is the likeliest to be similar to the others, and some
+   chosen by hash. Classes that are linked so form components, whose members need no comparison with each other: they
+   follow from the leader's. This is linear in the list, and is done ROUNDS times, each on the lists that still reach
+   several components.
+4. Skipping. What is left, the classes outside the component of a list's first leader, looks for its partners. An
+   entry at position p of a set of size n can only link with sets of sizes in a range that narrows with p, so it is brought
+   together with the blocks of that range only; later positions are skipped. Lists within one component are skipped whole.
+5. Whatever pairs come out are compared exactly, and the components are joined.
+
+A pair comes out of steps 3 and 4 only if its parity sketches allow a link: bit i of a sketch tells whether an odd number
+of the set's shingles falls on it. The bits in which two sketches differ are at most the shingles in which the sets
+differ, and a link allows (a + b) / 9 of those, so more differing bits rule a link out for certain. It is the condition of
+the list joins, so such pairs are never rows. Lists have sketches of 512 bits, which tell little for sets of over a thousand
+shingles; pairs that come out are told by longer ones, of 2 to 4 bits a shingle, before their sets are brought together.
 
 `link` therefore finds the links that join the components, not every link. `class_links` and `link_counts` give the
 whole join, from the same index with no pair left out as known.
 
-Before two sets are brought together, their parity sketches are: bit i tells whether an odd number of the set's
-shingles falls on it. The bits in which two sketches differ are at most the shingles in which the sets differ, and a
-link allows (a + b) / 9 of those, so more differing bits rule a link out for certain. A sketch has 2 to 4 bits a
-shingle, a thirtieth of its set or less.
-
-No list, component or group is gathered in one task, and in `link` no pair within a component of step 1 is emitted; lists are
-joined by Spark, which can split a large one. Edge cases: null and empty texts have the empty set and are linked with
-nothing; a text of fewer words is one shingle; repeated rows and ids are documents of their own, and count once each; null ids
-take part in links, but are no component's id while another id is there; an empty table gives no rows. Of the columns
-of `docs`, only id and text are read, so others may clash.
+No list, component or group is gathered in one task: frequent shingles' postings are dealt by class too, minima are combined
+before the shuffle, and lists are joined by Spark, which can split a large one. Edge cases: null and empty texts have the
+empty set and are linked with nothing; a text of fewer words is one shingle; repeated rows and ids are documents of their
+own, and count once each; null ids take part in links, but are no component's id while another id is there; an empty table
+gives no rows. Of the columns of `docs`, only id and text are read, so others may clash.
 """
 
 from __future__ import annotations
@@ -43,24 +47,37 @@ from .scan import SPACED, U, chunks, mix, scan, shingle_sets
 from .scratch import Scratch
 
 WORDS = 5
-LEVELS = 4
-LEADERS = 4
-HEAVY = 1 << 17
-FLUSH = 1 << 20
+ROUNDS = 2
+#: Leaders of a list that are chosen by hash, besides the first.
+LEADERS = 2
+COUNTERS = 1 << 19
+#: Counters in a row of counts, and so the most that a task sums at a time.
+PART = 1 << 11
+SKETCH = 8
+#: Postings of shingles with a higher counter are dealt by class too.
+FREQUENT = 500
+SALTS = 64
+#: Classes that a task remembers as sent; what it forgets is sent again and dropped later.
+REMEMBERED = 1 << 17
 #: Rows of ids that may be broadcast: about 40 bytes each. Larger tables are joined by shuffling.
 SMALL_ROWS = 1_000_000
 
+SKETCHES = [f"s{k}" for k in range(SKETCH)]
+
 
 def _class(s: np.ndarray) -> bytes:
     """128 bits that tell a set."""
     return int(mix(s, 101).sum(dtype=np.uint64)).to_bytes(8, "big") + int((mix(s, 202) ^ (s >> U(7))).sum(dtype=np.uint64)).to_bytes(8, "big")
 
 
+def _parity(s: np.ndarray, bits: int) -> np.ndarray:
+    odd = np.bincount((mix(s, 303) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _sketch(s: np.ndarray) -> list[int]:
     """The parity of the shingles on each of 2 to 4 bits a shingle, as 64-bit words; halves folded by xor make the shorter sketch."""
-    bits = 1 << max(6, (2 * len(s) - 1).bit_length())
-    odd = np.bincount((mix(s, 303) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+    return _parity(s, 1 << max(6, (2 * len(s) - 1).bit_length())).tolist()
 
 
 def _sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -68,61 +85,81 @@ def _sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
         yield from shingle_sets(scan(data, offsets, SPACED), words)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """A row for each document; and, with kind 1, shingles that several sets of this task have, with their number."""
-    seen: set[bytes] = set()
-    held: list[np.ndarray] = []
-    names = ["kind", "doc_id", "n", "cid", "mins", "sketch"]
+def _new(cid: bytes, seen: set[bytes]) -> bool:
+    if cid in seen:
+        return False
+    if len(seen) >= REMEMBERED:
+        seen.clear()
+    seen.add(cid)
+    return True
 
-    def frequent(kind: pa.DataType) -> pa.RecordBatch:
-        found, n = np.unique(np.concatenate(held), return_counts=True)
-        held.clear()
-        found, n = found[n > 2], n[n > 2]
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), pa.nulls(len(n), kind), pa.array(n.astype(np.int64)), pa.nulls(len(n), pa.binary()), pa.array(found.astype(np.int64)[:, None].tolist(), pa.list_(pa.int64())), pa.nulls(len(n), pa.list_(pa.int64()))], names)
 
+def _signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """A row for each document, with the sketch of a class that is new to this task; and at the end, with a part, the task's counters."""
+    seen: set[bytes] = set()
+    counts = np.zeros(COUNTERS, np.int64)
+    names, kind = ["part", "counts", "doc_id", "n", "cid", "sketch", *SKETCHES], None
     for batch in batches:
-        sizes, ids, mins, sketches = [], [], [], []
+        sizes, ids, sketches, short, held = [], [], [], [], []
         for s in _sets(batch.column("text"), words):
             sizes.append(len(s))
             ids.append(cid := _class(s) if len(s) else None)
-            mins.append([int(mix(s, 7 + k).min().astype(np.int64)) for k in range(LEVELS)] if len(s) else None)
-            new = len(s) > 0 and cid not in seen
-            sketches.append(_sketch(s) if new else None)
-            if new:
-                seen.add(cid)
+            if cid is not None and _new(cid, seen):
+                sketches.append(_sketch(s))
+                short.append(_parity(s, 64 * SKETCH))
                 held.append(s)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(mins, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names)
-        if sum(map(len, held)) > FLUSH:
-            yield frequent(batch.column("doc_id").type)
-    if held:
-        yield frequent(batch.column("doc_id").type)
+            else:
+                sketches.append(None)
+                short.append(np.zeros(SKETCH, np.int64))
+        if held:
+            counts += np.bincount((np.concatenate(held) & U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        kind, n = batch.column("doc_id").type, len(sizes)
+        blank = np.array([x is None for x in sketches], bool)
+        grid = np.array(short, np.int64).reshape(n, SKETCH)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), *(pa.array(grid[:, k].copy(), mask=blank) for k in range(SKETCH))], names)
+    if kind is not None and counts.any():
+        parts = [p for p in range(COUNTERS // PART) if counts[p * PART : (p + 1) * PART].any()]
+        # As short a type as holds a part's counts; its width tells the type.
+        short = [own.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if own.max() <= np.iinfo(t).max)).tobytes() for own in (counts[p * PART : (p + 1) * PART] for p in parts)]
+        n = len(parts)
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(short, pa.binary()), pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), *(pa.nulls(n, pa.int64()) for _ in SKETCHES)], names)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of each part's counts; all rows of a part are in this task."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            own = total.setdefault(part, np.zeros(PART, np.int64))
+            own += np.frombuffer(counts, f"<u{len(counts) // PART}").astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "counts"])
 
 
-def _postings(batches: Iterator[pa.RecordBatch], words: int, heavy: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The prefix of each set that is new to this task: (shingle, class, size, position)."""
+def _postings(batches: Iterator[pa.RecordBatch], words: int, counters: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The prefix of each set that is new to this task: (shingle, salt, class, size, position)."""
     seen: set[bytes] = set()
     for batch in batches:
         out: list[tuple] = []
         for s in _sets(batch.column("text"), words):
-            if not len(s) or (cid := _class(s)) in seen:
+            if not len(s) or not _new(cid := _class(s), seen):
                 continue
-            seen.add(cid)
-            at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1) if len(heavy) else np.zeros(len(s), np.int64)
-            late = heavy[at] == s if len(heavy) else np.zeros(len(s), bool)
-            order = np.concatenate([s[~late], s[late][np.argsort(rank[at[late]], kind="stable")]]) if late.any() else s
+            count = counters[(s & U(COUNTERS - 1)).astype(np.int64)]
             # A set of size n links only with sets that hold at least 4/5 of it.
-            out.append((order[: len(s) - (4 * len(s) + 4) // 5 + 1], cid, len(s)))
+            order = np.argsort(count, kind="stable")[: len(s) - (4 * len(s) + 4) // 5 + 1]
+            salt = np.where(count[order] > FREQUENT, 1 + cid[0] % SALTS, 0)
+            out.append((s[order], cid, len(s), salt))
         if not out:
             continue
         n = np.array([len(x[0]) for x in out])
         cids = np.repeat(np.frombuffer(b"".join(x[1] for x in out), "V16"), n)
         binary = pa.Array.from_buffers(pa.binary(), len(cids), [None, pa.py_buffer(np.arange(len(cids) + 1, dtype=np.int32) * 16), pa.py_buffer(cids.tobytes())])
         place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out]).astype(np.int64)), binary, pa.array(np.repeat(np.array([x[2] for x in out], np.int32), n)), pa.array(place.astype(np.int32))], ["token", "cid", "n", "pos"])
+        columns = [np.concatenate([x[0] for x in out]).astype(np.int64), np.concatenate([x[3] for x in out]).astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), binary, pa.array(np.repeat(np.array([x[2] for x in out], np.int32), n)), pa.array(place.astype(np.int32))], ["token", "salt", "cid", "n", "pos"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token and class, those of tokens with more than one class; repeated rows once.
+    """Of rows sorted by token and class, those of tokens with more than one class, or with a salt; repeated rows once.
 
     Only the first row of a list is held back from one batch to the next, however long the list."""
     held: pa.RecordBatch | None = None  # the last row so far
@@ -131,18 +168,19 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         joint = pa.Table.from_batches([held, batch] if held else [batch]).combine_chunks()
-        token = joint["token"].to_numpy()
+        token, salt = joint["token"].to_numpy(), joint["salt"].to_numpy()
         cid = np.frombuffer(b"".join(joint["cid"].to_pylist()), "V16").view("u8").reshape(-1, 2)
-        same = token[1:] == token[:-1]
+        same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
         again = same & (cid[1:] == cid[:-1]).all(axis=1)
         keep = np.concatenate([[True], ~again])
-        joint, token = joint.filter(pa.array(keep)), token[keep]
-        twin = np.zeros(len(token), bool)
-        twin[1:] |= token[1:] == token[:-1]
-        twin[:-1] |= token[1:] == token[:-1]
+        joint, token, salt = joint.filter(pa.array(keep)), token[keep], salt[keep]
+        same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
+        twin = salt > 0
+        twin[1:] |= same
+        twin[:-1] |= same
+        last = bool(twin[-1]) or (told and len(token) == 1)
         if told and held is not None:
             twin[0] = False
-        last = bool(twin[-1]) or (told and len(token) == 1)
         if twin.any():
             yield from joint.filter(pa.array(twin)).to_batches()
         told, held = last, joint.slice(len(token) - 1).combine_chunks().to_batches()[0]
@@ -153,8 +191,7 @@ def _with_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Rec
     for batch in batches:
         ids, sets = [], []
         for s in _sets(batch.column("text"), words):
-            if len(s) and (cid := _class(s)) not in seen:
-                seen.add(cid)
+            if len(s) and _new(cid := _class(s), seen):
                 ids.append(cid)
                 sets.append(s.astype(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["cid", "set"])
@@ -178,6 +215,13 @@ def _may_link(a: Column, b: Column, n: Column) -> Column:
     return 9 * differing <= n
 
 
+def _allows(a: str, b: str) -> Column:
+    """Whether sizes and sketches of the sides a and b (name endings) allow a link."""
+    n, m = F.col(f"n{a}"), F.col(f"n{b}")
+    differing = sum((F.bit_count(F.col(f"{s}{a}").bitwiseXOR(F.col(f"{s}{b}"))) for s in SKETCHES), F.lit(0))
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * differing <= n + m)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (u, v) of classes whose sets have a Jaccard similarity of 0.8 or more, exactly."""
     for k in "uv":
@@ -188,7 +232,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     first = scratch.table(f"{name}-need", classes.join(need, "cid", "left_semi").select("cid", F.col("first_id").alias("_j_id")))
     texts = docs.join(_small(first).select("_j_id"), docs["doc_id"].eqNullSafe(F.col("_j_id")), "left_semi")
     sets = texts.select("text").mapInArrow(lambda b: _with_sets(b, words), "cid binary, set array<bigint>")
-    sets = scratch.table(f"{name}-sets", sets.join(need, "cid", "left_semi"))
+    sets = scratch.table(f"{name}-sets", sets.join(first.select("cid"), "cid", "left_semi"))
     left, right = (sets.select(F.col("cid").alias(k), F.col("set").alias(f"set_{k}")) for k in "uv")
     both = pairs.join(left, "u").join(right, "v")
     common = F.size(F.array_intersect("set_u", "set_v"))
@@ -198,50 +242,73 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     return out
 
 
-def _open(lists: DataFrame, clusters: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The lists that reach more than one component, with the component of each class."""
-    known = _small(clusters.select(F.col("node").alias("cid"), F.col("component").alias("comp")))
-    lists = lists.join(known, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    wide = lists.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token")
-    return scratch.table(name, lists.join(wide, "token", "left_semi"))
+def _open(lists: DataFrame, clusters: DataFrame | None, scratch: Scratch, name: str) -> DataFrame:
+    """The lists that reach more than one component, with each class's component and, as `_1`, the list's first leader.
 
+    That is the class at the earliest position; as a row it costs each list one minimum, combined before the shuffle."""
+    if clusters is not None:
+        known = _small(clusters.select(F.col("node").alias("cid"), F.col("component").alias("known")))
+        lists = lists.join(known, "cid", "left").withColumn("comp", F.coalesce("known", "comp")).drop("known")
+    leader = [F.min_by(F.struct("cid", "comp", "n", *SKETCHES), F.struct("pos", "n", "cid")).alias("leader")]
+    leader += [F.min_by(F.struct("cid", "comp", "n", *SKETCHES), F.xxhash64("cid", F.lit(f"{name}{k}"))).alias(f"leader{k}") for k in range(LEADERS)]
+    wide = lists.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), *leader).where("a < b").drop("a", "b")
+    return scratch.table(name, lists.join(wide, "token"))
 
-def _candidates(postings: DataFrame) -> DataFrame:
-    """Pairs of classes of different components that share a prefix shingle, where sizes and positions allow a link."""
+
+def _followers(lists: DataFrame) -> DataFrame:
+    """Pairs (u, v) of a class and a leader of one of its lists in another component, where sizes and sketches allow a link."""
+    every = ["leader", *(f"leader{k}" for k in range(LEADERS))]
+    rows = lists.select("cid", "comp", "n", *SKETCHES, F.explode(F.array(*every)).alias("l"))
+    rows = rows.select("cid", "comp", "n", *SKETCHES, F.col("l.cid").alias("v"), F.col("l.comp").alias("comp_1"), *(F.col(f"l.{c}").alias(f"{c}_1") for c in ["n", *SKETCHES]))
+    return rows.where((F.col("comp") != F.col("comp_1")) & _allows("", "_1")).select(F.col("cid").alias("u"), "v").distinct()
+
+
+def _candidates(lists: DataFrame, every: bool) -> DataFrame:
+    """Pairs of classes of different components that share a prefix shingle, where sizes, positions and sketches allow a link.
+
+    Classes of the component of a list's first leader don't look for partners, unless `every` pair is asked for; the others find them."""
     block = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(1.25))).cast("int")
     n, left = F.col("n"), F.col("n") - F.col("pos")
-    index = postings.select("token", F.col("cid").alias("v"), F.col("comp").alias("comp_v"), F.col("n").alias("n_v"), left.alias("left_v"), block(n).alias("block"))
-    # The larger set of a pair looks for the smaller: 4 n <= 5 m, and 4 (n + m) <= 9 left, as what is common to both
-    # lies at its place or later.
-    low = F.ceil(4 * n / 5)
-    high = F.least(n, F.floor(9 * left / 4) - n)
-    probe = postings.where(high >= low).select("token", F.col("cid").alias("u"), F.col("comp").alias("comp_u"), F.col("n").alias("n_u"), left.alias("left_u"), F.explode(F.sequence(block(low) - 1, block(high) + 1)).alias("block"))
-    ordered = (F.col("n_u") > F.col("n_v")) | ((F.col("n_u") == F.col("n_v")) & (F.col("u") > F.col("v")))
-    fits = (5 * F.col("n_v") >= 4 * F.col("n_u")) & (9 * F.least("left_u", "left_v") >= 4 * (F.col("n_u") + F.col("n_v")))
-    return probe.join(index, ["token", "block"]).where(ordered & fits & (F.col("comp_u") != F.col("comp_v"))).select("u", "v").distinct()
+    main = F.lit(False) if every else F.col("comp") == F.col("leader.comp")
+    row = ["token", "cid", "comp", "n", left.alias("left"), main.alias("main"), *SKETCHES]
+    side = lambda df, end: df.withColumnsRenamed({c: f"{c}{end}" for c in ["cid", "comp", "n", "left", "main", *SKETCHES]})
+    index = side(lists.select(*row, block(n).alias("block")), "_v")
+    # 4 n <= 5 m, 4 m <= 5 n, and 4 (n + m) <= 9 left, as what is common to both lies at its place or later.
+    low, high = F.ceil(4 * n / 5), F.least(F.floor(5 * n / 4), F.floor(9 * left / 4) - n)
+    probe = side(lists.where((high >= low) & ~main).select(*row, F.explode(F.sequence(block(low), block(high))).alias("block")), "_u")
+    once = F.col("main_v") | (F.struct("n_u", "cid_u") > F.struct("n_v", "cid_v"))
+    fits = 9 * F.least("left_u", "left_v") >= 4 * (F.col("n_u") + F.col("n_v"))
+    return probe.join(index, ["token", "block"]).where(once & fits & (F.col("comp_u") != F.col("comp_v")) & _allows("_u", "_v")).select(F.col("cid_u").alias("u"), F.col("cid_v").alias("v")).distinct()
 
 
 def _read(docs: DataFrame, doc_id: str, text: str, words: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The documents' (doc_id, text), the written signatures, those of documents alone, and the written classes."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = scratch.table("signatures", docs.mapInArrow(lambda b: _signatures(b, words), f"kind int, doc_id {kind}, n bigint, cid binary, mins array<bigint>, sketch array<bigint>"))
-    signed = made.where("kind = 0").select("doc_id", "n", "cid")
-    first_of = [F.first(c, ignorenulls=True).alias(c) for c in ("n", "mins", "sketch")]
-    classes = made.where("kind = 0 and n > 0").groupBy("cid").agg(F.min("doc_id").alias("first_id"), *first_of)
+    sketches = ", ".join(f"{s} bigint" for s in SKETCHES)
+    made = scratch.table("signatures", docs.mapInArrow(lambda b: _signatures(b, words), f"part int, counts binary, doc_id {kind}, n bigint, cid binary, sketch array<bigint>, {sketches}"))
+    signed = made.where("part is null").select("doc_id", "n", "cid")
+    first_of = [F.first(c, ignorenulls=True).alias(c) for c in ("n", "sketch", *SKETCHES)]
+    classes = made.where("part is null and n > 0").groupBy("cid").agg(F.min("doc_id").alias("first_id"), *first_of)
     return docs, made, signed, scratch.table("classes", classes)
 
 
-def _lists(docs: DataFrame, made: DataFrame, words: int, scratch: Scratch) -> DataFrame:
-    """The lists of the prefixes' shingles that several classes have: (token, cid, n, pos)."""
-    counts = made.where("kind = 1").groupBy(F.col("mins")[0].alias("token")).agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "token").limit(HEAVY).toArrow()
-    token, n = np.asarray(top["token"]).astype(np.int64).view(np.uint64), np.asarray(top["n"]).astype(np.int64)
-    by = np.argsort(token)
-    heavy = docs.sparkSession.sparkContext.broadcast((token[by], n[by]))  # 16 bytes for each of HEAVY shingles at most
-    lists = docs.select("text").mapInArrow(lambda b: _postings(b, words, *heavy.value), "token bigint, cid binary, n int, pos int")
-    lists = lists.repartition("token").sortWithinPartitions("token", "cid").mapInArrow(_shared, lists.schema)
-    return scratch.table("lists", lists)
+def _lists(docs: DataFrame, made: DataFrame, classes: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """The lists of the prefixes' shingles that several classes have: (token, cid, n, pos), the sketch and, as component, the class."""
+    spark = docs.sparkSession
+    # COUNTERS / PART rows of 8 * PART bytes come to the driver, and 4 * COUNTERS bytes are broadcast, whatever the input.
+    parts = made.where("part is not null").select("part", "counts").repartition("part").mapInArrow(_summed, "part int, counts binary").toArrow()
+    counters = np.zeros(COUNTERS, np.int64)
+    for part, counts in zip(parts["part"].to_pylist(), parts["counts"].to_pylist(), strict=True):
+        counters[part * PART : (part + 1) * PART] = np.frombuffer(counts, "<i8")
+    order = spark.sparkContext.broadcast(np.minimum(counters, 2**31 - 1).astype(np.int32))
+    lists = docs.select("text").mapInArrow(lambda b: _postings(b, words, order.value), "token bigint, salt int, cid binary, n int, pos int")
+    lists = lists.repartition("token", "salt").sortWithinPartitions("token", "salt", "cid").mapInArrow(_shared, lists.schema)
+    lists = scratch.table("prefixes", lists.drop("salt"))
+    lists = lists.join(classes.select("cid", *SKETCHES), "cid").withColumn("comp", F.col("cid"))
+    lists = scratch.table("lists", lists)
+    scratch.drop("prefixes")
+    return lists
 
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
@@ -252,34 +319,23 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     """
     scratch = Scratch(docs.sparkSession)
     docs, made, signed, classes = _read(docs, doc_id, text, words, scratch)
-
-    # 1. Each class against the least of those that have a minimum hash in common with it, in its largest such group.
-    keys = classes.select("cid", "n", F.posexplode("mins").alias("level", "least"))
-    leaders = keys.groupBy("level", "least").agg(F.min(F.struct("cid", "n")).alias("leader"), F.count("*").alias("size")).where("size > 1")
-    stars = keys.join(leaders, ["level", "least"]).where("cid <> leader.cid and 5 * least(n, leader.n) >= 4 * greatest(n, leader.n)")
-    stars = stars.groupBy(F.col("cid").alias("u")).agg(F.max(F.struct("size", "leader.cid"))["cid"].alias("v"))
-    near = _verified(stars, docs, classes, words, scratch, "near")
-    clusters = scratch.table("clusters", components(near, scratch, "near-steps"))
-
-    # 2. The order, from at most HEAVY shingles, and the lists.
-    lists = _lists(docs, made, words, scratch)
-
-    # 3. Lists that reach more than one component; first each of their sets against a few leaders of the list only,
-    # which tells most answers that follow from a similar set's, then what is left.
-    lists = _open(lists, clusters, scratch, "open")
-    picked = [F.min_by("cid", F.xxhash64("cid", F.lit(k))).alias(f"leader{k}") for k in range(LEADERS)]
-    few = lists.join(lists.groupBy("token").agg(*picked), "token").select("cid", "comp", "n", F.explode(F.array(*(f"leader{k}" for k in range(LEADERS)))).alias("v")).distinct()
-    sizes = classes.select(F.col("cid").alias("v"), F.col("n").alias("n_v")).join(_small(clusters.withColumnsRenamed({"node": "v", "component": "comp_v"})), "v", "left")
-    few = few.join(sizes, "v").where("comp <> coalesce(comp_v, v) and 5 * least(n, n_v) >= 4 * greatest(n, n_v)")
-    next_to = _verified(few.select(F.col("cid").alias("u"), "v").distinct(), docs, classes, words, scratch, "next")
-    near = near.union(next_to)
-    clusters = scratch.table("clusters-2", components(near, scratch, "next-steps"))
-    lists = _open(lists.drop("comp"), clusters, scratch, "open-2")
-
-    # 4. The pairs that are left.
-    far = _verified(_candidates(lists), docs, classes, words, scratch, "far")
-    links = near.union(far)
-    joined = components(links, scratch, "all-steps")
+    lists = _open(_lists(docs, made, classes, words, scratch), None, scratch, "open")
+    scratch.drop("lists")
+    now, links, joined = "open", None, None
+    for k in range(ROUNDS):
+        found = _verified(_followers(lists), docs, classes, words, scratch, f"round{k}")
+        if joined is not None and found.isEmpty():
+            break
+        links = found if links is None else links.union(found)
+        joined = scratch.table(f"clusters{k}", components(links, scratch, f"steps{k}"))
+        leaders = [c for c in lists.columns if c.startswith("leader")]
+        lists = _open(lists.drop(*leaders), joined, scratch, f"open{k}")
+        scratch.drop(now)
+        now = f"open{k}"
+    far = _verified(_candidates(lists, every=False), docs, classes, words, scratch, "far")
+    scratch.drop(now)
+    if not far.isEmpty():
+        joined = components(links.union(far), scratch, "all-steps")
     least = classes.select("cid", "first_id").join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     roots = least.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = least.join(roots, "component").select("cid", "component_id")
@@ -291,9 +347,9 @@ def _all_links(docs: DataFrame, doc_id: str, text: str, words: int) -> tuple[Dat
     """Every link (u, v) between two classes, once; and (doc_id, n, cid) of each document."""
     scratch = Scratch(docs.sparkSession)
     docs, made, signed, classes = _read(docs, doc_id, text, words, scratch)
-    lists = _lists(docs, made, words, scratch)
+    lists = _lists(docs, made, classes, words, scratch)
     # Each class as a component of its own, so that no pair counts as known.
-    return _verified(_candidates(lists.withColumn("comp", F.col("cid"))), docs, classes, words, scratch, "every"), signed
+    return _verified(_candidates(lists, every=True), docs, classes, words, scratch, "every"), signed
 
 
 def class_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
