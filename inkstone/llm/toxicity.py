@@ -1,17 +1,20 @@
-"""Toxicity by the nearest labelled examples: cosine of supervised TF-IDF weights over a block-max inverted index.
-
-Features are words (runs of letters and digits, in small letters) and the 6 byte n-grams of each. Of those that the
-examples have, the ones that tell the labels apart best make the vocabulary; a feature's weight is tf-idf times how far
-it tells them apart. So this isn't the plain TF-IDF cosine over all features: the nearest are exact for these weights, and
-a word that too few examples have, even if only toxic ones do, is left out. The index has, for each feature and block of examples, the examples' weights and their maximum. For a
-document, blocks are visited by the bound that the maxima give, until no block left can hold a nearer example than the k
-found, so the k nearest are exact. Their labels, weighted by nearness and joined with the prior rate, make the score,
+"""Toxicity by the nearest labelled examples: cosine of weighted TF-IDF vectors over a block-max inverted index.
+
+Features are words (runs of letters and digits, in small letters); all that the examples have are kept. A feature's weight is (1 + log tf) * idf, times how far the feature tells the labels apart, and
+how surely: `log_odds * s**POWER / (s**POWER + SURE**POWER)`, where s is the log odds by its standard error. With idf alone the nearest
+examples are those with the same common words: see the README for figures. Nothing is cut, so a word that few examples
+have counts where a text has none of more certain ones.
+
+The index has, for each feature and block of examples, the examples' weights and their maximum. For a document, blocks
+are visited by the bound that the maxima give, until no block left can hold a nearer example than the k found, so the k
+nearest are exact. Their labels, weighted by the square of the cosine and joined with the prior rate, make the score,
 and the nearest examples are its evidence.
 
-The index is built in the driver from at most `limit` labelled rows and is broadcast; its size is bounded by `limit` and
-`vocabulary`. Edge cases: a document without known features, such as a null or empty text, gets the rate of label 1 among
-examples without features; without examples all scores are 0; repeated rows, null ids and extra columns pass through
-(result columns replace columns of the same name); an empty table gives no rows. Of equally near examples the first counts.
+The index is built in the driver from a labelled sample, bounded in rows and characters, and is broadcast. Edge cases: a
+document without known features, such as a null or empty text, gets the rate of label 1 among examples without features,
+joined with the prior rate; without examples all scores are 0; repeated rows, null ids and extra columns pass through
+(result columns replace columns of the same name); an empty table gives no rows. Of equally near examples the first
+counts. A text of any length is read whole, in the memory of its features.
 """
 
 from __future__ import annotations
@@ -24,47 +27,57 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .labelled import grams, held_out, sample
+from .labelled import held_out, sample
 from .scan import ALNUM, chunks, scan
 
 LIMIT = 6000
-VOCABULARY = 2048
 NEAREST = 15
 BLOCK = 64
-GRAM = 6
+SURE = 3.3
+POWER = 12
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, document) of every feature of a chunk."""
     w = scan(data, offsets, ALNUM)
-    h, word = grams(data, w, GRAM)
-    return np.concatenate([w.hash, h]), np.concatenate([w.doc, w.doc[word]])
+    return w.hash, w.doc
 
 
 def _lower(texts: pa.Array) -> pa.Array:
     return pc.utf8_lower(pc.fill_null(texts, ""))
 
 
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges one after the other, and the range of each."""
+    n = end - start
+    own = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + start[own], own
+
+
 @dataclass
 class Index:
-    vocabulary: np.ndarray  # sorted hashes
+    features: np.ndarray  # sorted hashes
     weight: np.ndarray  # of each feature
-    cells: np.ndarray  # weights of a block's examples for a feature; row 0 is empty
-    cell: np.ndarray  # row of `cells` for (feature, block)
-    most: np.ndarray  # the largest weight of (feature, block)
-    label: np.ndarray
-    example: np.ndarray  # rows of the sample
+    label: np.ndarray  # by place of an example
+    example: np.ndarray  # rows of the sample, by place
     prior: float
-    blank: float  # rate of label 1 among examples without features
+    blank: float  # rate of label 1 among examples without features, joined with the prior
+    # Entries are pairs of a feature and a block of places, by feature; each has its postings (place, weight) in a row.
+    entry: np.ndarray  # first entry of each feature
+    block: np.ndarray
+    most: np.ndarray  # the largest weight of an entry
+    posting: np.ndarray  # first posting of each entry
+    place: np.ndarray
+    value: np.ndarray
 
     def vectors(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(features, weights) of each text, of length one."""
         for a, b, data, offsets in chunks(_lower(texts)):
             h, doc = features(data, offsets)
-            at = np.minimum(np.searchsorted(self.vocabulary, h), max(len(self.vocabulary) - 1, 0))
-            hit = self.vocabulary[at] == h if len(self.vocabulary) else np.zeros(len(h), bool)
-            key, n = np.unique(doc[hit] * (len(self.vocabulary) + 1) + at[hit], return_counts=True)
-            own, term = np.divmod(key, len(self.vocabulary) + 1)
+            at = np.minimum(np.searchsorted(self.features, h), max(len(self.features) - 1, 0))
+            hit = self.features[at] == h if len(self.features) else np.zeros(len(h), bool)
+            key, n = np.unique(doc[hit] * (len(self.features) + 1) + at[hit], return_counts=True)
+            own, term = np.divmod(key, len(self.features) + 1)
             w = (1 + np.log(n)) * self.weight[term] if len(key) else np.zeros(0)
             cut = np.searchsorted(own, np.arange(b - a + 1))
             for x, z in zip(cut[:-1], cut[1:], strict=True):
@@ -72,13 +85,19 @@ class Index:
 
     def nearest(self, term: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(places, similarities) of the k nearest examples, exactly; only those with something in common."""
-        bound = w @ self.most[term]
-        order = np.argsort(-bound, kind="stable")
+        entry, own = _ranges(self.entry[term], self.entry[term + 1])
+        block = self.block[entry]
+        bound = np.bincount(block, w[own] * self.most[entry], len(self.label) // BLOCK) * (1 + 1e-9)
+        by = np.argsort(block, kind="stable")
+        entry, own = entry[by], own[by]
+        cut = np.searchsorted(block[by], np.arange(len(bound) + 1))
         place, near = np.zeros(0, np.int64), np.zeros(0)
-        for b in order:
+        for b in np.argsort(-bound, kind="stable"):
             if bound[b] <= 0 or (len(near) >= k and bound[b] < near[-1]):
                 break
-            found = w @ self.cells[self.cell[term, b]]
+            here = slice(cut[b], cut[b + 1])
+            posting, of = _ranges(self.posting[entry[here]], self.posting[entry[here] + 1])
+            found = np.bincount(self.place[posting] - b * BLOCK, w[own[here]][of] * self.value[posting], BLOCK)
             has = np.flatnonzero(found > 0)
             place, near = np.concatenate([place, has + b * BLOCK]), np.concatenate([near, found[has]])
             top = np.lexsort((place, -near))[:k]
@@ -94,48 +113,48 @@ class Index:
         return float(score), self.example[place[:3]].tolist(), near[:3].tolist()
 
 
-def build(rows: list[tuple[str, int]], vocabulary: int = VOCABULARY) -> Index:
+def weights(n: int, n1: int, df: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """The weight of features that `df` of `n` examples have, and `ones` of the `n1` examples with label 1."""
+    a, b, c, d = ones + 0.5, df - ones + 0.5, n1 - ones + 0.5, n - n1 - (df - ones) + 0.5
+    odds = np.abs(np.log(a * d / (b * c)))
+    sure = (odds / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)) ** POWER
+    return np.log(1 + n / np.maximum(df, 1)) * odds * sure / (sure + SURE**POWER)
+
+
+def build(rows: list[tuple[str, int]]) -> Index:
     label = np.array([y for _, y in rows], float)
     texts = pa.array([t for t, _ in rows], pa.string())
-    hashes, docs, at = [], [], 0
-    for a, b, data, offsets in chunks(_lower(texts)):
+    hashes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, _, data, offsets in chunks(_lower(texts)):
         h, doc = features(data, offsets)
         pair = np.unique(np.rec.fromarrays([h, doc + a], names="h,d"))
         hashes.append(pair.h)
         docs.append(pair.d)
-        at = b
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-    found, number, df = np.unique(h, return_inverse=True, return_counts=True)
-    ones = np.bincount(number, label[doc], len(found))
-    n1, n0 = label.sum(), len(label) - label.sum()
-    # How far a feature tells the labels apart: the log odds ratio by its standard error, smoothed.
-    a, b = ones + 0.5, df - ones + 0.5
-    odds = np.log(a / (n1 - ones + 0.5)) - np.log(b / (n0 - (df - ones) + 0.5))
-    apart = np.abs(odds) / np.sqrt(1 / a + 1 / b + 1 / (n1 - ones + 0.5) + 1 / (n0 - (df - ones) + 0.5))
-    strong = np.flatnonzero((apart > 3.3) & (df >= 4))
-    chosen = np.sort(strong[np.argsort(-apart[strong], kind="stable")[:vocabulary]])
-    index = Index(found[chosen], np.log(1 + len(label) / np.maximum(df[chosen], 1)) * np.abs(odds[chosen]), np.zeros((1, BLOCK), np.float32), np.zeros((len(chosen), 0), np.int32), np.zeros((len(chosen), 0)), np.zeros(0), np.zeros(0, np.int64), float(label.mean()) if len(label) else 0.0, 0.0)
+    doc = np.concatenate(docs)
+    found, number, df = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    ones = np.bincount(number, label[doc], len(found)) if len(doc) else np.zeros(0)
+    none, zero = np.zeros(0, np.int64), np.zeros(0)
+    prior = float(label.mean()) if len(label) else 0.0
+    index = Index(found, weights(len(label), int(label.sum()), df, ones), zero, none, prior, 0.0, none, none, zero, none, none, zero)
     rated = list(index.vectors(texts))
     empty = np.array([not len(t) for t, _ in rated], bool)
-    index.blank = float((label[empty].sum() + index.prior) / (empty.sum() + 1)) if len(label) else 0.0
+    index.blank = float((label[empty].sum() + prior) / (empty.sum() + 1)) if len(label) else 0.0
     own = [k for k in range(len(rated)) if not empty[k]]
     # Examples with the same strongest feature lie together, which makes the blocks' bounds tight.
     own.sort(key=lambda k: (int(rated[k][0][np.argmax(rated[k][1])]), k))
     blocks = -(-len(own) // BLOCK)
     index.label, index.example = np.zeros(blocks * BLOCK), np.zeros(blocks * BLOCK, np.int64)
-    index.cell, index.most = np.zeros((len(chosen), blocks), np.int32), np.zeros((len(chosen), blocks))
-    cells = [np.zeros(BLOCK, np.float32)]
-    for place, k in enumerate(own):
-        index.label[place], index.example[place] = label[k], k
-        block = place // BLOCK
-        for t, w in zip(*rated[k], strict=True):
-            if not index.cell[t, block]:
-                index.cell[t, block] = len(cells)
-                cells.append(np.zeros(BLOCK, np.float32))
-            cells[index.cell[t, block]][place % BLOCK] = w
-            index.most[t, block] = max(index.most[t, block], np.float32(w))
-    index.cells = np.stack(cells)
+    index.label[: len(own)], index.example[: len(own)] = label[own], own
+    term = np.concatenate([rated[k][0] for k in own]) if own else none
+    place = np.repeat(np.arange(len(own)), [len(rated[k][0]) for k in own])
+    value = np.concatenate([rated[k][1] for k in own]).astype(np.float32) if own else np.zeros(0, np.float32)
+    by = np.lexsort((place, term))
+    term, index.place, index.value = term[by], place[by], value[by]
+    new = np.flatnonzero(np.diff(term * max(blocks, 1) + index.place // BLOCK, prepend=-1)) if len(term) else none
+    index.posting = np.append(new, len(term))
+    index.block = index.place[new] // BLOCK
+    index.most = np.maximum.reduceat(index.value, new) if len(new) else zero
+    index.entry = np.searchsorted(term[new], np.arange(len(found) + 1))
     return index
 
 

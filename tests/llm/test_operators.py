@@ -289,18 +289,6 @@ def test_classifiers(spark):
         assert module.score(docs.limit(0), given).count() == 0
 
 
-def test_nearest_is_exact():
-    rows, labels = labelled(random.Random(9), 400)
-    index = toxicity.build([(t or "", labels[k][2]) for k, (_, t) in enumerate(rows[:400])])
-    dense = np.zeros((len(index.vocabulary), index.cell.shape[1] * toxicity.BLOCK))
-    for f in range(len(index.vocabulary)):
-        dense[f] = index.cells[index.cell[f]].ravel()
-    for term, w in index.vectors(pa.array([t for _, t in rows[:80]])):
-        if len(term):
-            _, near = index.nearest(term, w, 7)
-            assert np.allclose(near, np.sort(w @ dense[term])[::-1][:7])
-
-
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(11)
