@@ -1,10 +1,12 @@
 """Chat formatting: a small sandboxed template language, compiled to Python closures.
 
-The language has text, `{{ expression }}`, `{% for name in expression %}`, `{% if %}`/`{% elif %}`/`{% else %}`,
-`{% set name = expression %}` and `{% generation %}`, each block ended by `{% end… %}`. Expressions have strings,
-integers, true, false, none, names, `a.b` and `a['b']` on mappings, `+`, `==`, `!=`, `and`, `or`, `not`, parentheses and
-`| filter` with the filters given to the compiler. There are no calls and no attributes of Python objects, so a
-template can reach nothing but its data. A template is parsed to a syntax tree, constant parts are folded, and each
+The language has text, `{{ expression }}`, `{# comment #}`, `{% for name in expression %}`, `{% if %}`/`{% elif %}`/`{% else %}`,
+`{% set name = expression %}` and `{% generation %}`, each block ended by `{% end… %}`; a `-` at a tag's edge drops the white
+space beside it. Expressions have strings, integers, true, false, none, names, `a.b` and `a['b']` on mappings, `a[0]` on lists,
+`+`, `==`, `!=`, `<`, `<=`, `>`, `>=`, `in`, `not in`, `and`, `or`, `not`, parentheses and `| filter`: `trim`, `upper`, `lower`,
+`length` and those given to the compiler. A loop's name and `loop` hold within the loop only. There are no calls and no
+attributes of Python objects, so a template can reach nothing but its data; nesting is limited to DEPTH, and a value that a
+template makes to LONGEST characters. A template is parsed to a syntax tree, constant parts are folded, and each
 node becomes a closure that yields (text, under a generation marker) pieces. `for` takes its items one by one with one
 item looked ahead (for `loop.last`), so a conversation of any length is rendered in the memory of a turn.
 
@@ -27,6 +29,12 @@ from pyspark.sql import DataFrame, functions as F
 Pieces = Iterator[tuple[str, bool]]
 
 
+#: Levels of blocks and of expressions.
+DEPTH = 50
+#: Characters of a string that `+` makes.
+LONGEST = 1 << 26
+
+
 class TemplateError(ValueError):
     pass
 
@@ -67,7 +75,7 @@ class Generation:
     body: list = field(default_factory=list)
 
 
-_TOKEN = re.compile(r"""\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|[-+.|()\[\]=]))""", re.S)
+_TOKEN = re.compile(r"""\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[-+.|()\[\]=<>]))""", re.S)
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 
 
@@ -86,7 +94,7 @@ class _Expression:
     """Recursive descent over the tokens of one tag."""
 
     def __init__(self, source: str):
-        self.tokens, self.at = _tokens(source), 0
+        self.tokens, self.at, self.depth = _tokens(source), 0, 0
 
     def take(self, *values: str) -> bool:
         if self.tokens[self.at][0] in ("op", "name") and self.tokens[self.at][1] in values:
@@ -106,43 +114,65 @@ class _Expression:
         self.need("end")
         return out
 
+    def deeper(self, part: Callable[[], tuple]) -> tuple:
+        self.depth += 1
+        if self.depth > DEPTH:
+            raise TemplateError("nested too deeply")
+        out = part()
+        self.depth -= 1
+        return out
+
     def either(self) -> tuple:
-        left = self.both()
+        return self.deeper(self._either)
+
+    def _either(self) -> tuple:
+        left, n = self.both(), 0
         while self.take("or"):
-            left = ("or", left, self.both())
+            left, n = ("or", left, self.both()), self.chained(n)
         return left
 
+    def chained(self, n: int) -> int:
+        """A chain of operators is as deep a tree as it is long."""
+        if n >= DEPTH:
+            raise TemplateError("too long a chain")
+        return n + 1
+
     def both(self) -> tuple:
-        left = self.negated()
+        left, n = self.negated(), 0
         while self.take("and"):
-            left = ("and", left, self.negated())
+            left, n = ("and", left, self.negated()), self.chained(n)
         return left
 
     def negated(self) -> tuple:
-        return ("not", self.negated()) if self.take("not") else self.compared()
+        return ("not", self.deeper(self.negated)) if self.take("not") else self.compared()
 
     def compared(self) -> tuple:
         left = self.sum()
-        for op in ("==", "!="):
+        for op in ("==", "!=", "<=", ">=", "<", ">", "in"):
             if self.take(op):
                 return (op, left, self.sum())
+        if self.take("not"):
+            if not self.take("in"):
+                raise TemplateError("in expected")
+            return ("not", ("in", left, self.sum()))
         return left
 
     def sum(self) -> tuple:
-        left = self.filtered()
+        left, n = self.filtered(), 0
         while self.take("+"):
-            left = ("+", left, self.filtered())
+            left, n = ("+", left, self.filtered()), self.chained(n)
         return left
 
     def filtered(self) -> tuple:
-        left = self.reached()
+        left, n = self.reached(), 0
         while self.take("|"):
-            left = ("filter", left, self.need("name"))
+            left, n = ("filter", left, self.need("name")), self.chained(n)
         return left
 
     def reached(self) -> tuple:
-        left = self.atom()
+        left, n = self.atom(), 0
         while True:
+            n = self.chained(n)
             if self.take("."):
                 left = ("get", left, ("const", self.need("name")))
             elif self.take("["):
@@ -170,18 +200,31 @@ class _Expression:
         raise TemplateError(f"not expected: {value!r}")
 
 
+_INSIDE = r"""(?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|(?!-?[%}]\}).)*"""
+_TAG = re.compile(r"\{\{-?(" + _INSIDE + r")-?\}\}|\{%-?(" + _INSIDE + r")-?%\}|\{#-?.*?-?#\}", re.S)
+
+
 def parse(source: str) -> list:
     """The syntax tree of a template."""
     root: list = []
     stack: list[tuple[str, list]] = [("", root)]
-    at = 0
-    for m in re.finditer(r"\{\{(.*?)\}\}|\{%(.*?)%\}", source, re.S):
-        if m.start() > at:
-            stack[-1][1].append(Text(source[at : m.start()]))
-        at = m.end()
+    at, bare = 0, False
+
+    def text(end: int, strip: bool) -> None:
+        own = source[at:end].lstrip() if bare else source[at:end]
+        if own := own.rstrip() if strip else own:
+            stack[-1][1].append(Text(own))
+
+    for m in _TAG.finditer(source):
+        text(m.start(), m[0][2] == "-")
+        at, bare = m.end(), m[0][-3] == "-"
         if m[1] is not None:
             stack[-1][1].append(Output(_Expression(m[1]).whole()))
             continue
+        if m[2] is None:
+            continue
+        if len(stack) > DEPTH:
+            raise TemplateError("nested too deeply")
         word, _, rest = m[2].strip().partition(" ")
         here = stack[-1][1]
         if word == "set":
@@ -211,23 +254,47 @@ def parse(source: str) -> list:
             raise TemplateError(f"not expected: {m[2].strip()!r}")
     if len(stack) > 1:
         raise TemplateError(f"{stack[-1][0]} without end")
-    if source[at:]:
-        root.append(Text(source[at:]))
+    text(len(source), False)
     return root
 
 
+def _joined(a: Any, b: Any) -> Any:
+    if isinstance(a, int) and isinstance(b, int):
+        return a + b
+    a, b = _shown(a), _shown(b)
+    if len(a) + len(b) > LONGEST:
+        raise TemplateError("a string is too long")
+    return a + b
+
+
+def _ordered(test: Callable[[Any, Any], bool]) -> Callable[[Any, Any], bool]:
+    """Of two numbers or two strings; anything else has no order."""
+    return lambda a, b: isinstance(a, int | str) and isinstance(b, int | str) and isinstance(a, str) == isinstance(b, str) and test(a, b)
+
+
 _OPERATORS: dict[str, Callable] = {
-    "+": lambda a, b: a + b if isinstance(a, int) and isinstance(b, int) else _shown(a) + _shown(b),
+    "+": _joined,
     "==": lambda a, b: a == b,
     "!=": lambda a, b: a != b,
+    "<": _ordered(lambda a, b: a < b),
+    "<=": _ordered(lambda a, b: a <= b),
+    ">": _ordered(lambda a, b: a > b),
+    ">=": _ordered(lambda a, b: a >= b),
+    "in": lambda a, b: isinstance(a, str) and a in b if isinstance(b, str) else isinstance(b, Mapping | list | tuple) and a in b,
 }
 
 
+def _length(value: Any) -> int:
+    return len(value) if isinstance(value, str | Mapping | list | tuple) else 0
+
+
 def _shown(value: Any) -> str:
     return "" if value is None else str(value)
 
 
 def _get(value: Any, key: Any) -> Any:
+    if isinstance(value, list | tuple) and isinstance(key, int):
+        return value[key] if -len(value) <= key < len(value) else None
     return value.get(key) if isinstance(value, Mapping) else None
 
 
@@ -239,7 +306,7 @@ def _fold(e: tuple, filters: Mapping[str, Callable[[str], str]]) -> tuple:
         if e[2] not in filters:
             raise TemplateError(f"no filter {e[2]!r}")
         inner = _fold(e[1], filters)
-        return ("const", filters[e[2]](_shown(inner[1]))) if inner[0] == "const" else ("filter", inner, e[2])
+        return ("const", _evaluator(("filter", inner, e[2]), filters)({})) if inner[0] == "const" else ("filter", inner, e[2])
     parts = [_fold(x, filters) for x in e[1:]]
     if all(x[0] == "const" for x in parts):
         return ("const", _evaluator((e[0], *parts), filters)({}))
@@ -254,6 +321,8 @@ def _evaluator(e: tuple, filters: Mapping[str, Callable[[str], str]]) -> Callabl
         return lambda scope, n=e[1]: scope.get(n)
     if kind == "filter":
         inner, f = _evaluator(e[1], filters), filters[e[2]]
+        if f is _length:
+            return lambda scope: f(inner(scope))
         return lambda scope: f(_shown(inner(scope)))
     parts = [_evaluator(x, filters) for x in e[1:]]
     if kind == "not":
@@ -347,19 +416,25 @@ def _closure(node: Any, filters: Mapping, marked: bool) -> Callable[[dict], Piec
     def loop(scope: dict) -> Pieces:
         rest = iter(items(scope) or ())
         end = object()
+        before = {n: scope.get(n, end) for n in (node.name, "loop")}
         now, k = next(rest, end), 0
         while now is not end:
             after = next(rest, end)
             scope |= {node.name: now, "loop": {"index": k + 1, "index0": k, "first": k == 0, "last": after is end}}
             yield from body(scope)
             now, k = after, k + 1
+        for n, was in before.items():
+            if was is end:
+                scope.pop(n, None)
+            else:
+                scope[n] = was
 
     return loop
 
 
 def compile_template(source: str, filters: Mapping[str, Callable[[str], str]] | None = None) -> Callable[..., Pieces]:
     """A function of the template's names that yields (text, under a generation marker)."""
-    filters = filters or {}
+    filters = {"trim": str.strip, "upper": str.upper, "lower": str.lower, "length": _length, **(filters or {})}
     run = _block(fold(parse(source), filters), filters, False)
     return lambda **names: run(dict(names))
 
@@ -397,23 +472,26 @@ def turns(pieces: Iterable[tuple[str, bool]]) -> Iterator[tuple[str, str, list[t
         raise ValueError("a turn without its end")
 
 
-def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Any]]:
+def _conversations(batches: Iterator[pa.RecordBatch], kind: list[pa.DataType]) -> Iterator[list[Any]]:
+    """The rows; the type of the ids is put into `kind` before the first."""
     for batch in batches:
+        kind[:] = [batch.column("conv_id").type]
         yield from zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True)
 
 
 def _render(batches: Iterator[pa.RecordBatch], template: str, with_text: bool) -> Iterator[pa.RecordBatch]:
     """Rows sorted by conversation and turn; memory is that of a turn, or of a conversation's text if it is asked for."""
     render = compile_template(template, {"escape": escape})
-    rows = _conversations(batches)
-    row = next(rows, None)
-    kind, out = None, []
+    kind: list[pa.DataType] = []
+    rows = _conversations(batches, kind)
+    row, out = next(rows, None), []
+    same = lambda a, b: a == b or (a != a and b != b)  # noqa: E731  not a number is one id
     while row is not None:
         conv = row[0]
 
         def messages() -> Iterator[dict]:
             nonlocal row
-            while row is not None and row[0] == conv:
+            while row is not None and same(row[0], conv):
                 now = {"role": row[1] or "", "text": row[2] or ""}
                 row = next(rows, None)
                 yield now
@@ -431,7 +509,7 @@ def _render(batches: Iterator[pa.RecordBatch], template: str, with_text: bool) -
         out.append((conv, n, every.hexdigest(), loss_chars, loss.hexdigest(), chars, *["".join(kept)] * with_text))
         if len(out) >= 1000 or row is None:
             names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", *["formatted"] * with_text]
-            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), *[pa.string()] * with_text]
+            types = [kind[0], pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), *[pa.string()] * with_text]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
             out = []
 
@@ -443,7 +521,7 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE, wit
     under the generation markers, unescaped; formatted_chars. Rows go through a task one by one in order, so that a
     conversation of any length needs the memory of a turn only when `with_text` is false.
     """
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint" + ", formatted string" * with_text
+    schema = f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint" + ", formatted string" * with_text
     return ordered.select("conv_id", "role", "text").mapInArrow(lambda b: _render(b, template, with_text), schema)

@@ -3,9 +3,11 @@
 A sentence ends at an empty line or at `.`, `!`, `?` or `;` before white space; a line without letters and digits, as in
 a comment, is empty too. A single line end may end it or be white space within it, so both hard-wrapped sentences and
 single lines without punctuation are known. The normal form has small letters and digits with single spaces. Known sentences
-are found from left to right as whole runs of lines, of several at one place the longest; the rules are tried in order on
-a document's identifiers, and each takes away the runs that it matches, so that a later, shorter rule doesn't count
-words of an earlier one. Identifiers that no rule takes are reported too.
+are found from left to right as whole runs of lines, of several at one place the longest. Unknown sentences don't count, so
+a rule's sentences may stand at any distance. The rules are tried in order on a document's identifiers, and each takes the
+runs that it matches, so that a later, shorter rule doesn't count words of an earlier one; what stood on both sides of a
+taken run doesn't become neighbours. Identifiers that no rule takes are reported too. The plan has one fold over the rules
+and one pattern of the sentences, so it grows in proportion to both.
 
 Edge cases: a null or empty text has no sentences; repeated rows, null ids and extra columns pass through (result
 columns replace columns of the same name); an empty table gives an empty result. Work stays in a row: no shuffle.
@@ -40,6 +42,32 @@ SENTENCES = {
     "BsdSource": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "BsdBinary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "AllRights": "All rights reserved.",
+    "BsdNeither": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "Mpl2Subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "Mpl2Copy": "If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "Gpl2Free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "Lgpl21Free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AgplFree": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "IscPermission": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "ZlibAsIs": "This software is provided 'as-is', without any express or implied warranty.",
+    "ZlibPermission": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "BslUnder": "Distributed under the Boost Software License, Version 1.0.",
+    "UnlicensePublic": "This is free and unencumbered software released into the public domain.",
+    "Cc0Waived": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "Epl2Available": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "ApacheReleased": "Released under the Apache License, Version 2.0.",
+    "BsdReleased": "Released under the BSD License.",
+    "GplReleased": "Released under the GNU General Public License, version 3.",
+    "Lgpl3Under": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AgplUnder": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "MplUnder": "Licensed under the Mozilla Public License, version 2.0.",
+    "Cc0Under": "Licensed under CC0 1.0.",
+    "CcByNd4": "Licensed under CC BY-ND 4.0.",
+    "CcByNcSa4": "Licensed under CC BY-NC-SA 4.0.",
+    "CcByNcNd4": "Licensed under CC BY-NC-ND 4.0.",
+    "CcBySaWork": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CcByWork": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "PublicDomain": "This work is in the public domain.",
 }
 #: Rules in order, (licence, sequence of identifiers).
 RULES = (
@@ -51,14 +79,43 @@ RULES = (
     ("MIT", ("MitLicensed",)),
     ("Apache-2.0", ("Apache2The", "Apache2May", "Apache2Copy")),
     ("Apache-2.0", ("Apache2Licensed",)),
+    ("BSD-3-Clause", ("BsdRedistribution", "BsdSource", "BsdBinary", "BsdNeither")),
     ("BSD-2-Clause", ("BsdRedistribution", "BsdSource", "BsdBinary")),
     ("CC-BY-NC-4.0", ("CcByNc4",)),
     ("CC-BY-SA-4.0", ("CcBySa4",)),
     ("CC-BY-4.0", ("CcBy4",)),
     ("Proprietary", ("AllRights",)),
+    ("MPL-2.0", ("Mpl2Subject", "Mpl2Copy")),
+    ("MPL-2.0", ("Mpl2Subject",)),
+    ("MPL-2.0", ("MplUnder",)),
+    ("GPL-2.0-or-later", ("Gpl2Free", "GplHope", "GplImplied", "GplSee")),
+    ("GPL-2.0-or-later", ("Gpl2Free",)),
+    ("LGPL-2.1-or-later", ("Lgpl21Free",)),
+    ("LGPL-3.0", ("Lgpl3Under",)),
+    ("AGPL-3.0-or-later", ("AgplFree", "GplHope", "GplImplied")),
+    ("AGPL-3.0-or-later", ("AgplFree",)),
+    ("AGPL-3.0", ("AgplUnder",)),
+    ("ISC", ("IscPermission",)),
+    ("Zlib", ("ZlibAsIs", "ZlibPermission")),
+    ("BSL-1.0", ("BslUnder",)),
+    ("Unlicense", ("UnlicensePublic",)),
+    ("CC0-1.0", ("Cc0Waived",)),
+    ("CC0-1.0", ("Cc0Under",)),
+    ("EPL-2.0", ("Epl2Available",)),
+    ("Apache-2.0", ("ApacheReleased",)),
+    ("BSD", ("BsdReleased",)),
+    ("GPL-3.0", ("GplReleased",)),
+    ("CC-BY-ND-4.0", ("CcByNd4",)),
+    ("CC-BY-NC-SA-4.0", ("CcByNcSa4",)),
+    ("CC-BY-NC-ND-4.0", ("CcByNcNd4",)),
+    ("CC-BY-SA-4.0", ("CcBySaWork",)),
+    ("CC-BY-4.0", ("CcByWork",)),
+    ("Public-Domain", ("PublicDomain",)),
 )
 #: Marks in normal text, which has no capitals otherwise: the end of a sentence, and of a line that may not end one.
 END, LINE = "S", "L"
+#: Stands among identifiers where a rule took a run.
+TAKEN = "|"
 
 
 def normalise(text: Column) -> Column:
@@ -93,16 +150,18 @@ def scan(docs: DataFrame, sentences: Mapping[str, str] = SENTENCES, rules: Seque
     out = docs.withColumn("_l_found", F.when(may, F.regexp_extract_all(normalise(body), F.lit(pattern(ids)), F.lit(0))).otherwise(F.array().cast("array<string>")))
     found = F.transform("_l_found", lambda s: F.try_element_at(lookup, F.replace(s, F.lit(LINE), F.lit(" "))))
     out = out.withColumn("sentence_ids", F.when(F.size("_l_found") > 0, found).otherwise(F.array().cast("array<string>")))
+    # Each identifier stands between commas of its own, so matches that touch each other all count; TAKEN stays where one was.
     rest = F.concat(F.lit(","), F.array_join(F.transform("sentence_ids", lambda k: F.concat(k, F.lit(","))), ","))
-    hits = []
-    for name, sequence in rules:
-        # Each identifier stands between commas of its own, so matches that touch each other all count.
-        run = ",,".join(sequence)
-        hits.append((name, rest.contains(f",{run},")))
-        rest = F.replace(rest, F.lit(f",{run},"), F.lit(""))
-    out = out.withColumn("_l_any", F.size("sentence_ids") > 0)
-    names = F.filter(F.array(*(F.when(hit, F.lit(name)) for name, hit in hits)).cast("array<string>"), lambda x: x.isNotNull())
     none = F.array().cast("array<string>")
-    out = out.withColumn("licenses", F.when(F.col("_l_any"), F.array_sort(F.array_distinct(names))).otherwise(none))
-    out = out.withColumn("unmatched", F.when(F.col("_l_any"), F.filter(F.split(rest, ","), lambda x: x != "")).otherwise(none))
-    return out.drop("_l_found", "_l_any")
+    table = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(f",{',,'.join(sequence)},").alias("run")) for name, sequence in rules)) if rules else None
+
+    def step(state: Column, rule: Column) -> Column:
+        hit = F.contains(state["rest"], rule["run"])
+        names = F.when(hit, F.concat(state["names"], F.array(rule["name"]))).otherwise(state["names"])
+        return F.struct(F.replace(state["rest"], rule["run"], F.lit(f",{TAKEN},")).alias("rest"), names.alias("names"))
+
+    start = F.struct(rest.alias("rest"), none.alias("names"))
+    out = out.withColumn("_l_state", F.when(F.size("sentence_ids") > 0, F.aggregate(table, start, step) if rules else start))
+    out = out.withColumn("licenses", F.coalesce(F.array_sort(F.array_distinct("_l_state.names")), none))
+    out = out.withColumn("unmatched", F.coalesce(F.filter(F.split("_l_state.rest", ","), lambda x: ~x.isin("", TAKEN)), none))
+    return out.drop("_l_found", "_l_state")

@@ -27,23 +27,24 @@ FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN items USING (doc_id)
 def _op4() -> str:
     ids = {licenses.normal_text(s): k for k, s in licenses.SENTENCES.items()}
     values = ", ".join(f"('{s}', '{k}')" for s, k in ids.items())
-    steps, rest = [], "',' || array_to_string(list_transform(ids, lambda k: k || ','), ',')"
-    marks = []
-    for name, sequence in licenses.RULES:
-        run = f"',{',,'.join(sequence)},'"
-        marks.append(f"CASE WHEN contains({rest}, {run}) THEN '{name}' END")
-        steps.append(run)
-        rest = f"replace({rest}, {run}, '')"
+    # Rule by rule over positions: whatever a rule's sequence covers is marked as taken.
+    steps = []
+    for k, (name, sequence) in enumerate(licenses.RULES):
+        n, wanted = len(sequence), "[" + ", ".join(f"'{x}'" for x in sequence) + "]"
+        at = f"list_filter(range(greatest(1, j - {n - 1}), j + 1), lambda i: ids[i:i + {n - 1}] = {wanted})"
+        taken = f"list_transform(range(1, len(ids) + 1), lambda j: CASE WHEN len({at}) > 0 THEN '|' ELSE ids[j] END)"
+        hit = f"len(list_filter(range(1, len(ids) + 1), lambda i: ids[i:i + {n - 1}] = {wanted})) > 0"
+        steps.append(f"r{k + 1} AS (SELECT doc_id, every_id, {taken} AS ids, CASE WHEN {hit} THEN list_append(names, '{name}') ELSE names END AS names FROM r{k})")
     return rf"""
 WITH known(s, k) AS (VALUES {values}),
 cut AS (SELECT doc_id, unnest(list_transform(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?;])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')))) AS s,
         unnest(range(1, 1 + len(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?;])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), '\n+')))) AS p FROM documents),
 found AS (SELECT doc_id, list(k ORDER BY p) AS ids FROM cut JOIN known USING (s) GROUP BY doc_id),
-every AS (SELECT doc_id, coalesce(ids, []) AS ids FROM documents LEFT JOIN found USING (doc_id))
-SELECT doc_id, len(ids)::BIGINT AS n_known, array_to_string(ids, ',') AS sentence_ids,
-  CASE WHEN len(ids) = 0 THEN '' ELSE array_to_string(list_sort(list_distinct(list_filter([{", ".join(marks)}], lambda x: x IS NOT NULL))), ',') END AS licenses,
-  CASE WHEN len(ids) = 0 THEN '' ELSE array_to_string(list_filter(string_split({rest}, ','), lambda x: x <> ''), ',') END AS unmatched
-FROM every
+r0 AS (SELECT doc_id, ids AS every_id, ids, []::VARCHAR[] AS names FROM found),
+{(',' + chr(10)).join(steps)}
+SELECT doc_id, coalesce(len(every_id), 0)::BIGINT AS n_known, coalesce(array_to_string(every_id, ','), '') AS sentence_ids,
+  coalesce(array_to_string(list_sort(list_distinct(names)), ','), '') AS licenses, coalesce(array_to_string(list_filter(ids, lambda x: x <> '|'), ','), '') AS unmatched
+FROM documents LEFT JOIN r{len(licenses.RULES)} USING (doc_id)
 """
 
 

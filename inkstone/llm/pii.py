@@ -7,6 +7,10 @@ different ones, and the key's owner can invert them. Two kinds of values may get
 they couldn't be inverted otherwise: dates with the month first, and card numbers and IBANs that would form another
 valid number with what stands next to them. Punctuation, letter case and length of a format stay.
 
+Digits of any script count as the digits that they are, so a value set in full-width digits gets the pseudonym of the
+same value in ASCII, written in the script of each place; where a pseudonym's digits are at other places (IPv4 addresses), in
+the script of the value's first digit.
+
 Edge cases: a null text stays null; what fails its validation stays as it is; repeated rows, null ids and extra columns
 pass through; an empty table gives an empty result. A value in a format of one value only stays.
 """
@@ -16,6 +20,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -194,6 +199,19 @@ _NEEDED = re.compile(r"[0-9@]|[=:]\s*[\"']")
 _SKIP = re.compile(r"\w*\W?")
 
 
+#: Decimal digits that aren't ASCII.
+_OTHER_DIGIT = re.compile(r"[^\D0-9]")
+
+
+def _in_script(was: str, new: str) -> str:
+    """`new`, with its digits in the scripts of those of `was`."""
+    zero = lambda c: ord(c) - unicodedata.decimal(c)
+    if [c.isdecimal() for c in was] != [c.isdecimal() for c in new]:
+        first = next((c for c in was if c.isdecimal()), "0")
+        return "".join(chr(zero(first) + int(c)) if c.isdecimal() else c for c in new)
+    return "".join(chr(zero(a) + int(b)) if a.isdecimal() and b.isdecimal() else b for a, b in zip(was, new, strict=True))
+
+
 class Pseudonymiser:
     def __init__(self, key: bytes):
         self.permutation = Permutation(key)
@@ -258,11 +276,13 @@ class Pseudonymiser:
         return out
 
     def text(self, text: str, back: bool = False) -> tuple[str, list[str]]:
-        if not _NEEDED.search(text):
+        # Whatever stands in another script's digits is looked up in ASCII digits; places stay the same.
+        flat = text if text.isascii() else _OTHER_DIGIT.sub(lambda m: str(unicodedata.decimal(m[0])), text)
+        if not _NEEDED.search(flat):
             return text, []
         parts, at, kinds = [], 0, []
-        for a, b, kind, new in self.spans(text, back):
-            parts += [text[at:a], new]
+        for a, b, kind, new in self.spans(flat, back):
+            parts += [text[at:a], new if flat is text or flat[a:b] == text[a:b] else _in_script(text[a:b], new)]
             kinds.append(kind)
             at = b
         return "".join(parts) + text[at:], kinds

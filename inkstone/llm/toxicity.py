@@ -33,6 +33,8 @@ from .scan import ALNUM, chunks, scan
 LIMIT = 6000
 NEAREST = 15
 BLOCK = 64
+#: Blocks that are visited together.
+GROUP = 8
 SURE = 3.3
 POWER = 12
 
@@ -69,6 +71,10 @@ class Index:
     posting: np.ndarray  # first posting of each entry
     place: np.ndarray
     value: np.ndarray
+    # Features that at least every third block has, as rows of their own: their entries and postings aren't above.
+    row: np.ndarray  # of each feature; -1 for the others
+    row_most: np.ndarray  # (block, row)
+    row_value: np.ndarray  # (block, row, place within it)
 
     def vectors(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(features, weights) of each text, of length one."""
@@ -85,21 +91,28 @@ class Index:
 
     def nearest(self, term: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(places, similarities) of the k nearest examples, exactly; only those with something in common."""
+        row = self.row[term]
+        often = row >= 0
+        row, w_often, term, w = row[often], w[often].astype(np.float32), term[~often], w[~often]
         entry, own = _ranges(self.entry[term], self.entry[term + 1])
-        block = self.block[entry]
-        bound = np.bincount(block, w[own] * self.most[entry], len(self.label) // BLOCK) * (1 + 1e-9)
-        by = np.argsort(block, kind="stable")
-        entry, own = entry[by], own[by]
-        cut = np.searchsorted(block[by], np.arange(len(bound) + 1))
+        block, blocks = self.block[entry], len(self.row_most)
+        # The rounding of single precision is far below the allowance.
+        bound = (np.bincount(block, w[own] * self.most[entry], blocks) + self.row_most[:, row] @ w_often) * (1 + 1e-4)
+        order = np.argsort(-bound, kind="stable")
         place, near = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(near) >= k and bound[b] < near[-1]):
+        for at in range(0, blocks, GROUP):
+            group = order[at : at + GROUP]
+            group = group[(bound[group] > 0) & (bound[group] >= (near[-1] if len(near) >= k else 0))]
+            if not len(group):
                 break
-            here = slice(cut[b], cut[b + 1])
+            slot = np.full(blocks, -1)
+            slot[group] = np.arange(len(group))
+            here = np.flatnonzero(slot[block] >= 0)
             posting, of = _ranges(self.posting[entry[here]], self.posting[entry[here] + 1])
-            found = np.bincount(self.place[posting] - b * BLOCK, w[own[here]][of] * self.value[posting], BLOCK)
+            found = np.bincount(slot[block[here]][of] * BLOCK + self.place[posting] % BLOCK, w[own[here]][of] * self.value[posting], len(group) * BLOCK)
+            found = found + (w_often @ self.row_value[group[:, None], row]).ravel()
             has = np.flatnonzero(found > 0)
-            place, near = np.concatenate([place, has + b * BLOCK]), np.concatenate([near, found[has]])
+            place, near = np.concatenate([place, group[has // BLOCK] * BLOCK + has % BLOCK]), np.concatenate([near, found[has]])
             top = np.lexsort((place, -near))[:k]
             place, near = place[top], near[top]
         return place, near
@@ -135,7 +148,7 @@ def build(rows: list[tuple[str, int]]) -> Index:
     ones = np.bincount(number, label[doc], len(found)) if len(doc) else np.zeros(0)
     none, zero = np.zeros(0, np.int64), np.zeros(0)
     prior = float(label.mean()) if len(label) else 0.0
-    index = Index(found, weights(len(label), int(label.sum()), df, ones), zero, none, prior, 0.0, none, none, zero, none, none, zero)
+    index = Index(found, weights(len(label), int(label.sum()), df, ones), zero, none, prior, 0.0, none, none, zero, none, none, zero, np.full(len(found), -1), np.zeros((0, 0), np.float32), np.zeros((0, 0, BLOCK), np.float32))
     rated = list(index.vectors(texts))
     empty = np.array([not len(t) for t, _ in rated], bool)
     index.blank = float((label[empty].sum() + prior) / (empty.sum() + 1)) if len(label) else 0.0
@@ -149,7 +162,16 @@ def build(rows: list[tuple[str, int]]) -> Index:
     place = np.repeat(np.arange(len(own)), [len(rated[k][0]) for k in own])
     value = np.concatenate([rated[k][1] for k in own]).astype(np.float32) if own else np.zeros(0, np.float32)
     by = np.lexsort((place, term))
-    term, index.place, index.value = term[by], place[by], value[by]
+    term, place, value = term[by], place[by], value[by]
+    pair = np.unique(term * max(blocks, 1) + place // BLOCK) if len(term) else none
+    often = np.flatnonzero(3 * np.bincount(pair // max(blocks, 1), minlength=len(found)) >= blocks) if blocks > 1 else none
+    index.row[often] = np.arange(len(often))
+    row = index.row[term]
+    grid = np.zeros((len(often), blocks * BLOCK), np.float32)
+    grid[row[row >= 0], place[row >= 0]] = value[row >= 0]
+    index.row_value = np.ascontiguousarray(grid.reshape(len(often), blocks, BLOCK).swapaxes(0, 1))
+    index.row_most = index.row_value.max(axis=2, initial=0)
+    term, index.place, index.value = term[row < 0], place[row < 0], value[row < 0]
     new = np.flatnonzero(np.diff(term * max(blocks, 1) + index.place // BLOCK, prepend=-1)) if len(term) else none
     index.posting = np.append(new, len(term))
     index.block = index.place[new] // BLOCK
