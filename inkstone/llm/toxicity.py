@@ -20,7 +20,6 @@ counts. A text of any length is read whole, in the memory of its features.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -56,25 +55,45 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + start[own], own
 
 
-@dataclass
 class Index:
-    features: np.ndarray  # sorted hashes
-    weight: np.ndarray  # of each feature
-    label: np.ndarray  # by place of an example
-    example: np.ndarray  # rows of the sample, by place
-    prior: float
-    blank: float  # rate of label 1 among examples without features, joined with the prior
-    # Entries are pairs of a feature and a block of places, by feature; each has its postings (place, weight) in a row.
-    entry: np.ndarray  # first entry of each feature
-    block: np.ndarray
-    most: np.ndarray  # the largest weight of an entry
-    posting: np.ndarray  # first posting of each entry
-    place: np.ndarray
-    value: np.ndarray
-    # Features that at least every third block has, as rows of their own: their entries and postings aren't above.
-    row: np.ndarray  # of each feature; -1 for the others
-    row_most: np.ndarray  # (block, row)
-    row_value: np.ndarray  # (block, row, place within it)
+    """Examples by place, and their postings (feature, place, weight), which are what is broadcast.
+
+    Each task lays them out for the search: features that at least every second block has as rows over all places, the others
+    as entries, pairs of a feature and a block of places, each with its postings in a row."""
+
+    def __init__(self, features: np.ndarray, weight: np.ndarray, prior: float):
+        self.features, self.weight, self.prior = features, weight, prior  # sorted hashes, and their weights
+        self.blank = 0.0  # rate of label 1 among examples without features, joined with the prior
+        self.label, self.example = np.zeros(0), np.zeros(0, np.int64)  # by place: the label, and the row of the sample
+        self.raw = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32)
+
+    def __getstate__(self) -> dict:
+        return {k: self.__dict__[k] for k in ("features", "weight", "prior", "blank", "label", "example", "raw")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.arrange()
+
+    def arrange(self) -> None:
+        term, place, value = self.raw
+        term, blocks = term.astype(np.int64), len(self.label) // BLOCK
+        by = np.lexsort((place, term))
+        term, place, value = term[by], place[by].astype(np.int64), value[by]
+        new = np.flatnonzero(np.diff(term * max(blocks, 1) + place // BLOCK, prepend=-1)) if len(term) else np.zeros(0, np.int64)
+        often = np.flatnonzero(2 * np.bincount(term[new], minlength=len(self.features)) >= blocks) if blocks > 1 else new[:0]
+        self.row = np.full(len(self.features), -1)  # of each feature; -1 for those with entries
+        self.row[often] = np.arange(len(often))
+        row = self.row[term]
+        grid = np.zeros((blocks, len(often), BLOCK), np.float32)
+        dense = row >= 0
+        grid[place[dense] // BLOCK, row[dense], place[dense] % BLOCK] = value[dense]
+        self.row_value, self.row_most = grid, grid.max(axis=2, initial=0)
+        term, self.place, self.value = term[~dense], place[~dense], value[~dense]
+        new = np.flatnonzero(np.diff(term * max(blocks, 1) + self.place // BLOCK, prepend=-1)) if len(term) else np.zeros(0, np.int64)
+        self.posting = np.append(new, len(term))  # the first of each entry
+        self.block = self.place[new] // BLOCK
+        self.most = np.maximum.reduceat(self.value, new) if len(new) else np.zeros(0)  # the largest weight of an entry
+        self.entry = np.searchsorted(term[new], np.arange(len(self.features) + 1))  # the first of each feature
 
     def vectors(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(features, weights) of each text, of length one."""
@@ -146,9 +165,8 @@ def build(rows: list[tuple[str, int]]) -> Index:
     doc = np.concatenate(docs)
     found, number, df = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
     ones = np.bincount(number, label[doc], len(found)) if len(doc) else np.zeros(0)
-    none, zero = np.zeros(0, np.int64), np.zeros(0)
     prior = float(label.mean()) if len(label) else 0.0
-    index = Index(found, weights(len(label), int(label.sum()), df, ones), zero, none, prior, 0.0, none, none, zero, none, none, zero, np.full(len(found), -1), np.zeros((0, 0), np.float32), np.zeros((0, 0, BLOCK), np.float32))
+    index = Index(found, weights(len(label), int(label.sum()), df, ones), prior)
     rated = list(index.vectors(texts))
     empty = np.array([not len(t) for t, _ in rated], bool)
     index.blank = float((label[empty].sum() + prior) / (empty.sum() + 1)) if len(label) else 0.0
@@ -158,25 +176,10 @@ def build(rows: list[tuple[str, int]]) -> Index:
     blocks = -(-len(own) // BLOCK)
     index.label, index.example = np.zeros(blocks * BLOCK), np.zeros(blocks * BLOCK, np.int64)
     index.label[: len(own)], index.example[: len(own)] = label[own], own
-    term = np.concatenate([rated[k][0] for k in own]) if own else none
-    place = np.repeat(np.arange(len(own)), [len(rated[k][0]) for k in own])
-    value = np.concatenate([rated[k][1] for k in own]).astype(np.float32) if own else np.zeros(0, np.float32)
-    by = np.lexsort((place, term))
-    term, place, value = term[by], place[by], value[by]
-    pair = np.unique(term * max(blocks, 1) + place // BLOCK) if len(term) else none
-    often = np.flatnonzero(3 * np.bincount(pair // max(blocks, 1), minlength=len(found)) >= blocks) if blocks > 1 else none
-    index.row[often] = np.arange(len(often))
-    row = index.row[term]
-    grid = np.zeros((len(often), blocks * BLOCK), np.float32)
-    grid[row[row >= 0], place[row >= 0]] = value[row >= 0]
-    index.row_value = np.ascontiguousarray(grid.reshape(len(often), blocks, BLOCK).swapaxes(0, 1))
-    index.row_most = index.row_value.max(axis=2, initial=0)
-    term, index.place, index.value = term[row < 0], place[row < 0], value[row < 0]
-    new = np.flatnonzero(np.diff(term * max(blocks, 1) + index.place // BLOCK, prepend=-1)) if len(term) else none
-    index.posting = np.append(new, len(term))
-    index.block = index.place[new] // BLOCK
-    index.most = np.maximum.reduceat(index.value, new) if len(new) else zero
-    index.entry = np.searchsorted(term[new], np.arange(len(found) + 1))
+    if own:
+        place = np.repeat(np.arange(len(own), dtype=np.int32), [len(rated[k][0]) for k in own])
+        index.raw = np.concatenate([rated[k][0] for k in own]).astype(np.int32), place, np.concatenate([rated[k][1] for k in own]).astype(np.float32)
+    index.arrange()
     return index
 
 
