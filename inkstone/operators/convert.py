@@ -7,7 +7,7 @@ Arrow-batched function over a broadcast of their pairs. No conversion shuffles;
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession, functions as F
@@ -22,53 +22,65 @@ EMPTY_MESSAGE = "Input text is null or empty"
 def replacer(pairs: Mapping[str, str]) -> Callable[[str], str]:
     """A function that replaces, from left to right, the longest key at each place.
 
-    A pattern of the keys' first characters finds the places, so text without them is passed over at once.
+    Only first characters of keys of several characters are stopped at; what lies between matches of those has single code
+    points to replace at most, and is translated in one go.
     """
-    by_first: dict[str, list[int]] = {}
+    single = {ord(k): v for k, v in pairs.items() if len(k) == 1}
+    by_first: dict[str, set[int]] = {}
     for key in pairs:
-        by_first.setdefault(key[0], []).append(len(key))
-    sizes = {c: sorted(set(n), reverse=True) for c, n in by_first.items()}
-    if not sizes:
-        return lambda text: text
+        if len(key) > 1:
+            by_first.setdefault(key[0], set()).add(len(key))
+    if not by_first:
+        return lambda text: text.translate(single)
+    sizes = {c: sorted(n, reverse=True) for c, n in by_first.items()}
     first = re.compile("[" + "".join(map(re.escape, sorted(sizes))) + "]")
 
     def replace(text: str) -> str:
-        out, done, at = [], 0, 0
-        while m := first.search(text, at):
+        out, done = [], 0
+        for m in first.finditer(text):
             at = m.start()
+            if at < done:
+                continue
             for n in sizes[text[at]]:
                 value = pairs.get(text[at : at + n])
-                if value is not None:
-                    out += (text[done:at], value)
-                    at = done = at + n
+                if value is not None and at + n <= len(text):
+                    out += (text[done:at].translate(single), value)
+                    done = at + n
                     break
-            else:
-                at += 1
-        return "".join(out) + text[done:] if out else text
+        return "".join(out) + text[done:].translate(single)
 
     return replace
 
 
 def translate(column: Column, pairs: Mapping[str, str]) -> Column:
-    """`column` with code points replaced; pairs from or to anything but one code point go through `replace`."""
-    plain = {k: v for k, v in pairs.items() if len(k) == 1 and len(v) == 1 and k != v}
-    return F.translate(column, "".join(plain), "".join(plain.values())) if plain else column
+    """`column` with keys replaced: Spark's own `translate` where all are code points for code points, else as in `replacer`."""
+    pairs = {k: v for k, v in pairs.items() if k and not (len(k) == 1 and k == v)}
+    if any(len(k) != 1 or len(v) != 1 for k, v in pairs.items()):
+        return _matching(lambda: pairs)(column)
+    return F.translate(column, "".join(pairs), "".join(pairs.values())) if pairs else column
 
 
 def _native(r: Round) -> bool:
     return r.single and all(len(v) == 1 for v in r.pairs.values())
 
 
-def _matcher(spark: SparkSession, r: Round):
-    shared = spark.sparkContext.broadcast(r.pairs)
+def _matching(pairs: Callable[[], Mapping[str, str]]):
+    made: list[Callable[[str], str]] = []  # once in a task
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(replacer(shared.value), na_action="ignore")
+        if not made:
+            made.append(replacer(pairs()))
+        return texts.map(made[0], na_action="ignore")
 
     return run
 
 
+def _matcher(spark: SparkSession, r: Round):
+    shared = spark.sparkContext.broadcast(r.pairs)
+    return _matching(lambda: shared.value)
+
+
 def convert(spark: SparkSession, column: Column, config: str, slots: Mapping[str, Mapping[str, str]], punctuation: bool = False, strict_empty: bool = False) -> Column:
     """`column` in the script of `config`. Null stays null and empty stays empty, unless `strict_empty`."""
     out = column
@@ -145,3 +157,39 @@ def replace_rare(column: Column, entries: list[tuple[str, str, str]], level: str
 def normalise_compatibility(column: Column, pairs: Mapping[str, str]) -> Column:
     """Compatibility ideographs by their unified ones; null becomes empty."""
     return translate(F.coalesce(column, F.lit("")), pairs)
+
+
+def convert_text(spark: SparkSession, column: Column, config: str, slots: Mapping[str, Mapping[str, str]], punctuation: bool = False, compatibility: Mapping[str, str] | None = None, rare: list[tuple[str, str, str]] | None = None, level: str = "all", custom_rare: Mapping[str, str] | None = None) -> Column:
+    """The whole chain: compatibility ideographs first, if pairs for them are given, then the conversion, then rare ideographs."""
+    out = normalise_compatibility(column, compatibility) if compatibility is not None else column
+    out = convert(spark, out, config, slots, punctuation)
+    return replace_rare(out, rare or [], level, custom_rare) if rare is not None or custom_rare is not None else out
+
+
+def parse_compatibility(lines: Iterable[str]) -> dict[str, str]:
+    """Pairs of a compatibility table: code point, tab, code point; blank lines and those that begin with # are comments.
+
+    Anything but one code point on a side is an error that names the line."""
+    out: dict[str, str] = {}
+    for number, line in enumerate(lines, 1):
+        parts = line.lstrip("\ufeff").strip().split("\t")
+        if parts == [""] or parts[0].startswith("#"):
+            continue
+        if len(parts) < 2 or len(parts[0]) != 1 or len(parts[1]) != 1:
+            raise ValueError(f"line {number}: one code point, tab, one code point expected: {line!r}")
+        out[parts[0]] = parts[1]
+    return out
+
+
+def parse_rare(lines: Iterable[str]) -> list[tuple[str, str, str]]:
+    """Entries of a table of rare ideographs: rare, tab, fallback, tab, extension (B to I, or ExtB to ExtI)."""
+    out = []
+    for number, line in enumerate(lines, 1):
+        parts = [x.strip() for x in line.lstrip("\ufeff").strip().split("\t")]
+        if parts == [""] or parts[0].startswith("#"):
+            continue
+        ext = parts[2].upper().removeprefix("EXT").strip() if len(parts) > 2 else ""
+        if len(parts) < 3 or not parts[0] or not parts[1] or len(ext) != 1 or ext not in LEVELS:
+            raise ValueError(f"line {number}: rare, tab, fallback, tab, extension expected: {line!r}")
+        out.append((parts[0], parts[1], ext))
+    return out

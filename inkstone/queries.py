@@ -29,7 +29,7 @@ OWN = [
     CustomSpec.from_pairs("ts_phrases", {"漢字轉換": "汉字转换", "愛國書籍": "爱国书"}),
 ]
 OWN_SLOTS = apply_specs(SLOTS, OWN)
-CUSTOM_CONFIGS = ("s2t", "s2twp", "tw2sp", "t2s", "s2hkp")
+CUSTOM_CONFIGS = ("s2t", "s2tw", "s2twp", "tw2s", "tw2sp", "t2s", "s2hk", "s2hkp", "hk2s", "hk2sp")
 
 
 def alphabet(config: str, slots) -> tuple[str, list[str]]:
@@ -92,6 +92,29 @@ def convert_t2hkp_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 FLAGSHIP_SQL = f"WITH h AS (SELECT lang, {han_sql('t2hkp', SLOTS)} AS han FROM documents) SELECT lang, count(*) AS n_docs, sum(({convert_sql('han', 't2hkp', SLOTS)} <> han)::BIGINT)::BIGINT AS n_changed FROM h GROUP BY lang"
 
 
+#: Example tables of a user for the ends of the chain: compatibility ideographs, and rare ideographs with their extensions.
+COMPATIBILITY = {"\uf900": "\u8c48", "\uf901": "\u66f4", "\uf902": "\u8eca", "\uf903": "\u8cc8", "\uf904": "\u6ed1"}
+RARE = [("\U0002003e", "漢", "B"), ("\U0002a700", "車", "C"), ("\U0002b740", "測", "D")]
+CHAIN_TEXT = "\uf900\uf901\uf902\uf903\uf904\U0002003e\U0002a700\U0002b740汉字转换测试爱国书车门马“”‘"
+
+
+def convert_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compatibility ideographs, s2t with punctuation, and rare ideographs from extension C on, in this order."""
+    han_text = F.translate("text", "abcdefghijklmnopqrstuvw", CHAIN_TEXT)
+    rows = docs(spark, sf_dir).select("doc_id", han_text.alias("han"))
+    out = conversion.convert_text(spark, F.col("han"), "s2t", OWN_SLOTS, True, COMPATIBILITY, RARE, "C")
+    return rows.select("doc_id", out.alias("text"))
+
+
+CHAIN_SQL = f"""
+WITH h AS (SELECT doc_id, translate(text, 'abcdefghijklmnopqrstuvw', '{CHAIN_TEXT}') AS han FROM documents),
+c AS (SELECT doc_id, translate(han, '\uf900\uf901\uf902\uf903\uf904', '\u8c48\u66f4\u8eca\u8cc8\u6ed1') AS text FROM h),
+p AS (SELECT doc_id, replace(replace(text, '汉字转换', '漢字轉換'), '爱国书', '愛國書籍') AS text FROM c),
+s AS (SELECT doc_id, translate(text, '汉字转换测试爱国书车门马“”‘', '漢字轉換測試愛國書車門馬「」『') AS text FROM p)
+SELECT doc_id, translate(text, '\U0002a700\U0002b740', '車測') AS text FROM s
+"""
+
+
 def script_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.col("doc_id") % 3 == 0, han(F.col("text"), "s2t", OWN_SLOTS)).when(F.col("doc_id") % 3 == 1, han(F.col("text"), "t2s", OWN_SLOTS)).otherwise(F.col("text"))
     return docs(spark, sf_dir).select("doc_id", conversion.script_check(text, OWN_SLOTS["st_characters"], OWN_SLOTS["ts_characters"]).alias("script"))
@@ -224,6 +247,7 @@ for _config in COMPLETE:
 for _config in CUSTOM_CONFIGS:
     QUERIES[f"convert_{_config}_custom"], ORACLES[f"convert_{_config}_custom"] = _convert(_config, OWN_SLOTS)
 for _f, _sql in (
+    (convert_chain, CHAIN_SQL),
     (script_check, _script_sql()),
     (convert_quotation_marks, "SELECT doc_id, translate(translate(text, '.,', '“”'), '“”‘’', '「」『』') AS text FROM documents"),
     (repair_dialog_quotes, REPAIR_SQL),

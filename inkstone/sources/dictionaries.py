@@ -32,7 +32,8 @@ def slot_name(text: str) -> str:
 
 
 def parse_text(lines: Iterable[str]) -> dict[str, str]:
-    """Pairs of a text dictionary: key, tab, value and other candidates, of which the first counts.
+    """Pairs of a text dictionary: key, tab, value and other candidates, of which the first counts;
+    blanks before it are skipped.
 
     Blank lines and those that begin with # or // are comments; a byte order mark may open the first line; lines
     without a key or value are skipped; a later line replaces an earlier one of the same key.
@@ -43,7 +44,7 @@ def parse_text(lines: Iterable[str]) -> dict[str, str]:
         if not line or line.startswith(("#", "//")):
             continue
         key, tab, rest = line.partition("\t")
-        value = re.split("[ \t]+", rest)[0] if tab else ""
+        value = re.split("[ \t]+", rest.lstrip(" \t"))[0] if tab else ""
         if key and value:
             pairs[key] = value
     return pairs

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkstone.functions import quotes, search
-from inkstone.operators.convert import EMPTY_MESSAGE, convert, replace_greedy, replace_rare, replacer, script_check
+from inkstone.operators.convert import EMPTY_MESSAGE, convert, convert_text, normalise_compatibility, parse_compatibility, parse_rare, replace_greedy, replace_rare, replacer, script_check, translate
 from inkstone.plans.conversion import build_round, config_name, plan
 from inkstone.sources.dictionaries import CustomSpec, apply_specs, bounds, example_slots, parse_text, read_bundle, write_bundle
 
@@ -97,3 +97,42 @@ def test_replace_greedy(spark):
     slots = [{"ab": "1", "c": "2", "。": "."}, {"ab": "9", "abc": "3", "a。b": "4", "abcd": "5"}]
     texts = ("abcab", "a。b", "c。。", "abcd", "", None)
     assert one(spark, lambda c: replace_greedy(spark, c, slots, 3), *texts) == ["31", "a.b", "2.。", "3d", "", None]
+
+
+def test_values_of_any_length(spark):
+    """No pair is dropped, whatever its lengths, and a value isn't replaced again."""
+    pairs = {"a": "xy", "b": "z", "cd": "a", "q": ""}
+    assert one(spark, lambda c: translate(c, pairs), "abcdq", "c", None) == ["xyza", "c", None]
+    assert one(spark, lambda c: normalise_compatibility(c, pairs), "a", None) == ["xy", ""]
+    assert one(spark, lambda c: translate(c, {"a": "a"}), "a") == ["a"]
+
+
+def test_replacer_against_scan():
+    """Against a scan of every place, with keys that overlap, are each other's parts, and stand at a text's end."""
+    import random
+
+    rng = random.Random(3)
+    for _ in range(200):
+        pairs = {"".join(rng.choices("abcd", k=rng.choice((1, 1, 2, 3, 4)))): "".join(rng.choices("abXY", k=rng.randrange(3))) for _ in range(rng.randrange(8))}
+        text = "".join(rng.choices("abcde", k=40))
+        out, at = "", 0
+        while at < len(text):
+            n = next((n for n in (4, 3, 2, 1) if at + n <= len(text) and text[at : at + n] in pairs), 0)
+            out, at = out + (pairs[text[at : at + n]] if n else text[at]), at + max(n, 1)
+        assert replacer(pairs)(text) == out
+
+
+def test_chain_and_tables(spark):
+    assert parse_compatibility(["# x", "", "\u8c48\t\u5c82"]) == {"\u8c48": "\u5c82"}
+    assert parse_rare(["# x", "\U0002003e\ta\tExtB", "\U0002a700\tb\tc"]) == [("\U0002003e", "a", "B"), ("\U0002a700", "b", "C")]
+    for f, bad in ((parse_compatibility, "ab\tc"), (parse_compatibility, "a"), (parse_rare, "a\tb"), (parse_rare, "a\tb\tZ")):
+        with pytest.raises(ValueError, match="line 1"):
+            f([bad])
+    # Compatibility first, so that the conversion sees its result; rare ideographs last, so that they see the conversion's.
+    slots = {"tw_variants": {"\u4e01": "\U0002003e"}, "tw_variants_phrases": {}}
+    made = lambda c: convert_text(spark, c, "t2tw", slots, compatibility={"\uf900": "\u4e01"}, rare=[("\U0002003e", "z", "B")])
+    assert one(spark, made, "\uf900\u4e01", None) == ["zz", ""]
+
+
+def test_blanks_before_a_value():
+    assert parse_text(["c\t d e", "f\t\tg", "h\t "]) == {"c": "d", "f": "g"}
