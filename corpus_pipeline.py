@@ -49,7 +49,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL can't express the pseudonyms and the packing; the tests hold the pipeline against a brute-force version.
+#: SQL can't express the pseudonyms and the packing; a test compares the documents it keeps with those expected.
 ORACLE_SQL = None
 
 
