@@ -97,5 +97,20 @@ def first_issue(issues: Column) -> Column:
     return F.try_element_at(issues, F.lit(1))
 
 
+#: The summary's sentences.
+NO_ISSUES = "No suspicious dialog quote issues found."
+ISSUES = """ suspicious dialog quote line(s).
+
+Hint:
+The actual typo is often a missing, extra, reversed, or mixed dialog quote.
+It may appear on the reported line or a few lines above it.
+Fix the source text and validate again."""
+
+
+def summary(issues: Column) -> Column:
+    """What there is to say of the issues of a text."""
+    return F.when(is_valid(issues), NO_ISSUES).otherwise(F.concat(F.lit("Found "), F.size(issues).cast("string"), F.lit(ISSUES)))
+
+
 def is_valid(issues: Column) -> Column:
     return F.size(issues) == 0

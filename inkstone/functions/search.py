@@ -1,8 +1,9 @@
-"""Find, replace and line navigation as column functions, with Java patterns inside Spark."""
+"""Find, replace and line navigation as column functions, with Java patterns inside Spark. Places are characters, not UTF-16 units."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession, functions as F
 
 
 def _pattern(find: str, match_case: bool, regex: bool) -> str:
@@ -28,14 +29,104 @@ def find_next(column: Column, find: str, caret: Column | int = 0, match_case: bo
     """struct<outcome, start>: the first match at or after `caret` (characters from 0), else, as WRAPPED, the first."""
     if not find:
         return F.struct(F.lit("NO_MATCH").alias("outcome"), F.lit(-1).alias("start"))
-    pattern = F.lit(_pattern(find, match_case, regex))
-    at = F.greatest(F.lit(0), F.least(F.lit(caret) if isinstance(caret, int) else caret, F.length(column)))
-    after = F.regexp_instr(F.substring(column, at + 1, F.length(column)), pattern)
-    first = F.regexp_instr(column, pattern)
-    return F.struct(
-        F.when(after > 0, "FOUND").when(first > 0, "WRAPPED").otherwise("NO_MATCH").alias("outcome"),
-        F.when(after > 0, at + after - 1).when(first > 0, first - 1).otherwise(-1).alias("start"),
-    )
+    found = find_match(column, find, caret, match_case=match_case, regex=regex)
+    return F.struct(found["outcome"].alias("outcome"), found["start"].alias("start"))
+
+
+#: Noncharacters that stand around matches while their places are counted; texts can't have them otherwise.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
+
+
+def _sizes(column: Column, pattern: str) -> tuple[Column, Column]:
+    """(characters before the first match of a scan, array<struct<n, gap>> of the matches: their own, and up to the next one)."""
+    marked = F.regexp_replace(column, F.lit(pattern), F.lit(f"{_OPEN}$0{_CLOSE}"))
+    parts = F.split(marked, _OPEN, -1)
+    match = lambda p: F.instr(p, _CLOSE) - 1
+    sizes = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.struct(match(p).alias("n"), (F.length(p) - match(p) - 1).alias("gap")))
+    return F.length(F.element_at(parts, 1)), sizes
+
+
+def _once(value: Column, use) -> Column:
+    """`use` of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+_NO_PLACES = "array<struct<start:int,end:int>>"
+
+
+def matches(column: Column, find: str, match_case: bool = True, regex: bool = False) -> Column:
+    """array<struct<start, end>> of all matches of a scan from the start, those of empty text too; characters from 0.
+
+    U+FDD0 and U+FDD1, noncharacters that no text should have, mark the matches and don't count in places. Null has none."""
+    first, sizes = _sizes(column, _pattern(find, match_case, regex))
+    empty = F.from_json(F.lit("[]"), _NO_PLACES)
+
+    def step(s: Column, x: Column) -> Column:
+        here = F.struct(s["at"].alias("start"), (s["at"] + x["n"]).alias("end"))
+        return F.struct((s["at"] + x["n"] + x["gap"]).alias("at"), F.concat(s["found"], F.array(here)).alias("found"))
+
+    done = F.aggregate(sizes, F.struct(first.alias("at"), empty.alias("found")), step)["found"]
+    return F.coalesce(done, empty)
+
+
+def pattern_error(find: str, match_case: bool = True, regex: bool = False) -> str | None:
+    """What is wrong with a pattern, as Java tells it; none if nothing is."""
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(_pattern(find, match_case, regex))
+    except IllegalArgumentException as e:
+        return str(e).splitlines()[0]
+    return None
+
+
+def find_match(column: Column, find: str, caret: Column | int = 0, selection: tuple[Column, Column] | None = None, skip_empty: bool = False, backwards: bool = False, match_case: bool = True, regex: bool = False) -> Column:
+    """struct<outcome, start, end, error> of the next match, or with `backwards` of the one before; characters from 0.
+
+    It looks from the selection's end (its start, backwards), or from the caret if nothing is selected. FOUND is a match at or
+    after that place, with the whole text seen by anchors and lookbehind; WRAPPED the first before it. Backwards, FOUND
+    is the last match of a scan from the start that ends at or before it, and isn't empty there; WRAPPED the last of the text.
+    `skip_empty` passes over an empty match at the place itself. NO_MATCH and INVALID_PATTERN (with the error) have -1. Null has
+    no match."""
+
+    def told(outcome: Column, start: Column, end: Column, error: str | None = None) -> Column:
+        return F.struct(outcome.alias("outcome"), start.alias("start"), end.alias("end"), F.lit(error).cast("string").alias("error"))
+
+    none = F.lit(-1)
+    if not find:
+        return told(F.lit("NO_MATCH"), none, none)
+    if (error := pattern_error(find, match_case, regex)) is not None:
+        return told(F.lit("INVALID_PATTERN"), none, none, error)
+    at = F.lit(caret) if isinstance(caret, int) else caret
+    if selection is not None:
+        at = F.when(selection[0] != selection[1], selection[0 if backwards else 1]).otherwise(at)
+    at = F.greatest(F.lit(0), F.least(at, F.length(column))).cast("int")
+    first, sizes = _sizes(column, _pattern(find, match_case, regex))
+    # What a scan has seen of the matches: the place goes through the state, as a column inside a lambda could be taken for a
+    # new column of the same name. `near` is the last match before the place (forwards the first one), `last` the last of all.
+    nothing = F.struct(none.alias("start"), none.alias("end"))
+
+    def step(s: Column, x: Column) -> Column:
+        here, end = s["at"], s["at"] + x["n"]
+        empty = (here == s["place"]) & (end == s["place"])
+        own = F.struct(here.alias("start"), end.alias("end"))
+        counts = (end <= s["place"]) & ~empty if backwards else (s["near"]["start"] < 0) & (here < s["place"] + int(skip_empty)) & (~empty | F.lit(not skip_empty))
+        last = F.when(empty, s["last"]).otherwise(own) if skip_empty else own
+        return F.struct((end + x["gap"]).alias("at"), s["place"].alias("place"), F.when(counts, own).otherwise(s["near"]).alias("near"), last.alias("last"))
+
+    seen = F.aggregate(sizes, F.struct(first.alias("at"), at.alias("place"), nothing.alias("near"), nothing.alias("last")), step, lambda s: F.struct(s["near"].alias("near"), s["last"].alias("last")))
+    seen = F.coalesce(seen, F.struct(nothing.alias("near"), nothing.alias("last")))
+    if backwards:
+        chosen = lambda s: F.when(s["near"]["start"] >= 0, s["near"]).otherwise(s["last"])
+        return _once(seen, lambda s: told(F.when(s["near"]["start"] >= 0, "FOUND").when(s["last"]["start"] >= 0, "WRAPPED").otherwise("NO_MATCH"), chosen(s)["start"], chosen(s)["end"]))
+    since = at + 1 if skip_empty else at
+    # All of the text up to a match, the least that begins at or after the place; groups keep their numbers.
+    ahead = F.concat(F.lit(r"\A(?s:.{"), since.cast("string"), F.lit("}.*?)(?=" + _pattern(find, match_case, regex) + ")"))
+    there = F.coalesce(F.call_function("regexp_like", column, ahead), F.lit(False)) & ((at < F.length(column)) | F.lit(not skip_empty))
+    start = F.length(F.call_function("regexp_extract", column, ahead, F.lit(0)))
+    through = F.concat(F.lit(r"\A(?s:.{"), start.cast("string"), F.lit("})(?:" + _pattern(find, match_case, regex) + ")"))
+    end = F.length(F.call_function("regexp_extract", column, through, F.lit(0)))
+    found = F.when(there, F.struct(F.lit("FOUND").alias("outcome"), start.alias("start"), end.alias("end")))
+    wrapped = _once(seen, lambda s: F.struct(F.when(s["near"]["start"] >= 0, "WRAPPED").otherwise("NO_MATCH").alias("outcome"), s["near"]["start"].alias("start"), s["near"]["end"].alias("end")))
+    return _once(F.coalesce(found, wrapped), lambda r: told(r["outcome"], r["start"], r["end"]))
 
 
 def go_to_line(value: Column, lines: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable, Mapping
 import pandas as pd
 from pyspark.sql import Column, SparkSession, functions as F
 
-from inkstone.plans.conversion import DELIMITERS, Round, plan
+from inkstone.plans.conversion import DELIMITERS, Round, config_or_default, plan
 from inkstone.sources.dictionaries import units
 
 #: What an empty input becomes where `strict_empty` is asked for.
@@ -94,6 +94,12 @@ def convert(spark: SparkSession, column: Column, config: str, slots: Mapping[str
     return out
 
 
+def convert_once(spark: SparkSession, column: Column, config: str | None, slots: Mapping[str, Mapping[str, str]]) -> Column:
+    """`column` in the script of `config`, or of the default configuration if there is none of that name; null and empty
+    become a message."""
+    return convert(spark, column, config_or_default(config), slots, strict_empty=True)
+
+
 _SEGMENT = re.compile("[^{0}]*[{0}]|[^{0}]+".format(re.escape("".join(sorted(DELIMITERS)))))
 
 
@@ -134,6 +140,19 @@ def script_check(column: Column, st_characters: Mapping[str, str], ts_characters
     return F.when(column.isNull() | (told == ""), 0).when(translate(told, ts_characters) != told, 1).when(translate(told, st_characters) != told, 2).otherwise(0)
 
 
+def script_check_converting(spark: SparkSession, column: Column, slots: Mapping[str, Mapping[str, str]]) -> Column:
+    """As `script_check`, but of the first 50 UTF-16 units that tell of the whole text, and by whole conversions, so that
+    phrases count too. A character cut in two at the end counts as none."""
+    told = F.regexp_replace(F.coalesce(column, F.lit("")), _PASSED_OVER, "")
+    head = F.substring(told, 1, 50)
+    # Characters that take two units move the cut forward.
+    units_of = lambda c: F.when(c > "\uffff", 2).otherwise(1)
+    parts = F.filter(F.split(head, ""), lambda c: c != "")
+    kept = F.aggregate(parts, F.struct(F.lit("").alias("text"), F.lit(0).alias("n")), lambda s, c: F.struct(F.when(s["n"] + units_of(c) <= 50, F.concat(s["text"], c)).otherwise(s["text"]).alias("text"), (s["n"] + units_of(c)).alias("n")))["text"]
+    other = lambda config: convert(spark, kept, config, slots) != kept
+    return F.when(kept == "", 0).when(other("t2s"), 1).when(other("s2t"), 2).otherwise(0)
+
+
 #: Quotation marks of the simplified and the traditional script.
 QUOTES = {"“": "「", "”": "」", "‘": "『", "’": "』"}
 

@@ -43,6 +43,12 @@ def config_name(text: str | None) -> str:
     return name
 
 
+def config_or_default(text: str | None) -> str:
+    """As `config_name`, but unknown names and none mean the default."""
+    name = (text or "").strip().lower()
+    return name if name in ROUNDS else DEFAULT
+
+
 @dataclass
 class Round:
     """One pass of longest-match replacement."""

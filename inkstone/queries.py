@@ -186,6 +186,66 @@ SELECT doc_id, CASE WHEN before > 0 THEN 'FOUND' WHEN last > 0 THEN 'WRAPPED' EL
 """
 
 
+def find_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From place 60: a word of three letters from t on, and backwards a run of full stops, or the end."""
+    found = search.find_match(F.col("text"), r"(?<![a-z])t\w\w(?!\w)", 60, regex=True)
+    before = search.find_match(F.col("text"), r"[.]+|\z", 60, backwards=True, regex=True)
+    told = [(r[c] if c == "outcome" else r[c].cast("long")).alias(f"{n}_{c}") for n, r in (("next", found), ("previous", before)) for c in ("outcome", "start", "end")]
+    return docs(spark, sf_dir).select("doc_id", *told)
+
+
+MATCH_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(text, '') AS c, least(60, length(text)) AS caret, length(text) AS n FROM documents),
+w AS (SELECT *, list_transform(c, lambda x: regexp_matches(x, '[0-9A-Za-z_]')) AS w FROM d),
+p AS (SELECT *, list_filter(range(1, n - 1), lambda i: c[i] = 't' AND (i = 1 OR NOT c[i - 1] BETWEEN 'a' AND 'z') AND w[i + 1] AND w[i + 2] AND (i + 3 > n OR NOT w[i + 3])) AS p,
+        list_filter(range(1, n + 1), lambda i: c[i] = '.' AND (i = n OR c[i + 1] <> '.')) AS stops,
+        list_filter(range(1, n + 1), lambda i: c[i] = '.' AND (i = 1 OR c[i - 1] <> '.')) AS heads FROM w),
+b AS (SELECT *, list_filter(p, lambda i: i > caret)[1] AS after, p[1] AS first, list_filter(stops, lambda i: i <= caret)[-1] AS stop FROM p)
+SELECT doc_id, CASE WHEN after IS NOT NULL THEN 'FOUND' WHEN first IS NOT NULL THEN 'WRAPPED' ELSE 'NO_MATCH' END AS next_outcome,
+  coalesce(after, first, 0)::BIGINT - 1 AS next_start, coalesce(after + 2, first + 2, -1)::BIGINT AS next_end,
+  CASE WHEN stop IS NOT NULL THEN 'FOUND' ELSE 'WRAPPED' END AS previous_outcome,
+  coalesce(list_filter(heads, lambda i: i <= stop)[-1] - 1, n)::BIGINT AS previous_start, coalesce(stop, n)::BIGINT AS previous_end FROM b
+"""
+
+
+def quote_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the same texts as `dialog_quote_issues`."""
+    text = F.translate(F.concat(F.lit("「"), F.replace("text", F.lit("\n"), F.lit("\n“"))), ".", "”")
+    return docs(spark, sf_dir).select("doc_id", quotes.summary(quotes.quote_issues(text)).alias("summary"))
+
+
+SUMMARY_SQL = ISSUES_SQL.replace("SELECT doc_id, len(bad)::BIGINT AS n_issues, bad[1]::BIGINT AS first_line FROM n", r"""
+SELECT doc_id, CASE WHEN len(bad) = 0 THEN 'No suspicious dialog quote issues found.' ELSE 'Found ' || len(bad) || ' suspicious dialog quote line(s).' || chr(10) || chr(10) || 'Hint:' || chr(10)
+  || 'The actual typo is often a missing, extra, reversed, or mixed dialog quote.' || chr(10) || 'It may appear on the reported line or a few lines above it.' || chr(10)
+  || 'Fix the source text and validate again.' END AS summary FROM n""")
+
+
+def script_check_converting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters become simplified, traditional or neutral characters, by the document."""
+    text = F.when(F.col("doc_id") % 3 == 0, F.translate("text", "ae", "汉马")).when(F.col("doc_id") % 3 == 1, F.translate("text", "ae", "漢馬")).otherwise(F.translate("text", "ae", "中文"))
+    return docs(spark, sf_dir).select("doc_id", conversion.script_check_converting(spark, text, OWN_SLOTS).alias("script"))
+
+
+CONVERTING_SQL = r"""
+WITH t AS (SELECT doc_id, translate(text, 'ae', CASE doc_id % 3 WHEN 0 THEN '汉马' WHEN 1 THEN '漢馬' ELSE '中文' END) AS t FROM documents),
+s AS (SELECT doc_id, substr(regexp_replace(t, '[!-/:-@\[-`{-~\t\n\x0B\f\r 0-9A-Za-z_著]', '', 'g'), 1, 50) AS told FROM t)
+SELECT doc_id, CASE WHEN told = '' OR told IS NULL THEN 0 WHEN regexp_matches(told, '[漢馬]') THEN 1 WHEN regexp_matches(told, '[汉马]') THEN 2 ELSE 0 END AS script FROM s
+"""
+
+
+def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources of the documents, every third one as a PDF file, in the order of the documents."""
+    name = F.concat("source", F.when(F.col("doc_id") % 3 == 0, ".pdf").otherwise(".txt"))
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select(name.alias("path"), F.col("doc_id").alias("added"))
+    return documents.order_files(files).select("path", F.col("position").cast("long").alias("position"))
+
+
+ORDER_SQL = """
+WITH f AS (SELECT source || CASE WHEN doc_id % 3 = 0 THEN '.pdf' ELSE '.txt' END AS path, min(doc_id) AS added FROM documents WHERE source IS NOT NULL GROUP BY 1)
+SELECT path, (row_number() OVER (ORDER BY path LIKE '%.pdf', CASE WHEN path LIKE '%.pdf' THEN '' ELSE path END, added) - 1)::BIGINT AS position FROM f
+"""
+
+
 def utf16_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", search.utf16_length(F.translate("text", "e", "𠀾")).cast("long").alias("n_units"))
 
@@ -218,6 +278,17 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", documents.html_text(F.col("html")).alias("text"))
 
 
+PAGE_SQL = r"""
+WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->', '', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?is)<head\b[^>]*>.*?</head\s*>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?is)<svg\b[^>]*>.*?</svg\s*>', '', 'g'), '(?is)<math\b[^>]*>.*?</math\s*>', '', 'g'), '(?is)<noscript\b[^>]*>.*?</noscript\s*>', '', 'g') AS t FROM b),
+d AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)</?(p|div|section|article|h[1-6]|li|tr|blockquote|br)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM c),
+e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') AS t FROM d),
+f AS (SELECT page_id, replace(replace(t, chr(160), ' '), chr(173), '') AS t FROM e)
+SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \t\r]*\n[ \t\r]*', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) AS text FROM f
+"""
+
+
 def replace_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The selection is the first `the`, or one character beside it."""
     at = F.instr("text", "the") - 1 + F.col("doc_id") % 2
@@ -255,11 +326,15 @@ for _f, _sql in (
     (find_and_replace, FIND_SQL),
     (find_previous, PREVIOUS_SQL),
     (replace_current, CURRENT_SQL),
+    (find_match, MATCH_SQL),
+    (quote_summary, SUMMARY_SQL),
+    (script_check_converting, CONVERTING_SQL),
+    (order_files, ORDER_SQL),
     (reflow_paragraphs, None),
     (utf16_length, "SELECT doc_id, length(text) + length(text) - length(replace(text, 'e', '')) AS n_units FROM documents"),
     (go_to_line, GO_SQL),
     (assemble_pages, PAGES_SQL),
-    (page_text, None),
+    (page_text, PAGE_SQL),
 ):
     QUERIES[_f.__name__] = _f
     if _sql:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -95,6 +95,15 @@ class CustomSpec:
     paths: tuple[str, ...] = ()
     pairs: tuple[tuple[str, str], ...] = ()
 
+    def __post_init__(self):
+        slot_name(self.slot)
+        if self.mode not in ("append", "override"):
+            raise ValueError(f"append or override expected, not {self.mode!r}")
+        if not self.paths and not self.pairs:
+            raise ValueError("a spec needs paths or pairs")
+        if not all(p.strip() for p in self.paths):
+            raise ValueError("a path is empty")
+
     @classmethod
     def parse(cls, text: str) -> CustomSpec:
         """`<slot>:<append|override>:<path>`; the path may have colons."""
@@ -106,6 +115,15 @@ class CustomSpec:
             raise ValueError(f"append or override expected, not {parts[1]!r}")
         return cls(slot_name(parts[0]), mode, (parts[2].strip(),))
 
+    @classmethod
+    def from_files(cls, slot: str, paths: Sequence[str | Path], mode: str = "append") -> CustomSpec:
+        """Files that are read in order; later ones win. Whether they exist is seen when the spec is applied."""
+        return cls(slot_name(slot), mode, tuple(str(p).strip() for p in paths))
+
+    @classmethod
+    def from_file(cls, slot: str, path: str | Path, mode: str = "append") -> CustomSpec:
+        return cls.from_files(slot, [path], mode)
+
     @classmethod
     def from_pairs(cls, slot: str, pairs: Mapping[str, str], mode: str = "append") -> CustomSpec:
         if not pairs or not all(pairs):
@@ -152,6 +170,32 @@ def example_slots() -> dict[str, dict[str, str]]:
     return {slot: dict(split(p) for p in text.split()) for slot, text in EXAMPLES.items()}
 
 
-def load_folder(path: str | Path, files: Mapping[str, str]) -> dict[str, dict[str, str]]:
-    """Slots from the text files of a folder; `files` says which file is which slot's."""
-    return {slot_name(slot): read_text(Path(path) / name) for slot, name in files.items()}
+#: Slots whose file may be missing; they are empty then.
+OPTIONAL_FILES = ("hk_phrases", "hk_phrases_rev")
+BUNDLE = "dictionary_maxlength.json"
+
+
+def file_name(slot: str) -> str:
+    """The usual name of a slot's text file, such as TWVariantsRev.txt of tw_variants_rev."""
+    group, *rest = slot_name(slot).split("_")
+    return ("JPShinjitai" if group == "jps" else group.upper()) + "".join(map(str.capitalize, rest)) + ".txt"
+
+
+def load_folder(path: str | Path, files: Mapping[str, str] | None = None) -> dict[str, dict[str, str]]:
+    """Slots from the text files of a folder; `files` says which file is which slot's, without it all have their usual names.
+
+    Missing files are an error that names them, but for slots that may be missing."""
+    where = {slot_name(s): Path(path) / n for s, n in (files if files is not None else {s: file_name(s) for s in SLOTS}).items()}
+    missing = [f"{s} ({p})" for s, p in where.items() if s not in OPTIONAL_FILES and not p.exists()]
+    if missing:
+        raise FileNotFoundError(f"dictionary files are missing: {', '.join(missing)}")
+    return {s: read_text(p) if p.exists() else {} for s, p in where.items()}
+
+
+def load_default(path: str | Path | None = None) -> dict[str, dict[str, str]]:
+    """Slots of a JSON bundle, or of a folder: its bundle if it has one, else its text files. The example set without a path."""
+    if path is None:
+        return example_slots()
+    path = Path(path)
+    bundle = path / BUNDLE if path.is_dir() else path
+    return read_bundle(bundle.read_text("utf-8")) if bundle.exists() else load_folder(path)

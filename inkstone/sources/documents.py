@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def assemble_pages(pages: Column, header: bool = False) -> Column:
@@ -16,6 +16,17 @@ def assemble_pages(pages: Column, header: bool = False) -> Column:
     return F.array_join(F.transform(pages, one), "")
 
 
+def order_files(files: DataFrame, path: str = "path", added: str = "added") -> DataFrame:
+    """(path, position from 0) of a list of files, each once: PDF files last, in the order in which they were first
+    added, before them the others by path in UTF-8 order. Rows without a path are left out.
+
+    The positions are counted in a window over the whole list, which is a list that a user made."""
+    pdf = F.col(path).rlike(r"(?i)\.pdf$")
+    once = files.where(F.col(path).isNotNull()).groupBy(path).agg(F.min(added).alias("first"))
+    order = (F.when(pdf, 1).otherwise(0), F.when(~pdf, F.col(path)), F.col("first"), F.col(path))
+    return once.select(F.col(path).alias("path"), (F.row_number().over(Window.orderBy(*order)) - 1).alias("position"))
+
+
 def is_pdf(content: Column) -> Column:
     """Whether `%PDF-` stands in the first 1024 bytes."""
     return F.instr(F.decode(F.substring(content, 1, 1024), "ISO-8859-1"), "%PDF-") > 0
