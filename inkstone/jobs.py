@@ -15,10 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from inkstone.functions.reflow import reflow_paragraphs
-from inkstone.operators.convert import convert
+from inkstone.operators.convert import LEVELS, convert, convert_text, parse_compatibility, parse_rare
 from inkstone.plans.conversion import config_name
 from inkstone.sources.containers import charset
-from inkstone.sources.dictionaries import CustomSpec, apply_specs, example_slots, load_folder, read_bundle, write_bundle
+from inkstone.sources.dictionaries import SLOTS, CustomSpec, apply_specs, file_name, load_default, load_folder, read_text, write_bundle
 from inkstone.sources.documents import assemble_pages, is_pdf, sniff_text
 from inkstone.sources.office import FORMATS, rewrite_office
 
@@ -78,8 +78,29 @@ def page_documents(spark: SparkSession, rows: DataFrame, config: str | None, slo
 
 
 def _slots(args: argparse.Namespace) -> Slots:
-    base = read_bundle(Path(args.dictionary).read_text("utf-8")) if args.dictionary else example_slots()
-    return apply_specs(base, [CustomSpec.parse(s) for many in args.custom_dict for s in many.split(",")])
+    return apply_specs(load_default(args.dictionary), [CustomSpec.parse(s) for many in args.custom_dict for s in many.split(",")])
+
+
+def _level(text: str) -> str:
+    """A level of `replace_rare`, or a ValueError."""
+    name = text.strip().upper()
+    if name != "ALL" and name.removeprefix("EXT") not in tuple(LEVELS):
+        raise ValueError(f"unknown level: {text!r}")
+    return name
+
+
+def _lines(path: str) -> list[str]:
+    return Path(path).read_text("utf-8").split("\n")
+
+
+def _chain(spark: SparkSession, text: Column, args: argparse.Namespace, slots: Slots) -> Column:
+    """The conversion with what the options put before and after it."""
+    compatibility = parse_compatibility(_lines(args.norm_compat)) if args.norm_compat else None
+    if not args.detofu:
+        return convert_text(spark, text, args.config, slots, args.punct, compatibility)
+    rare = parse_rare(_lines(args.detofu_table)) if args.detofu_table else []
+    own = read_text(args.detofu_file) if args.detofu_file else None
+    return convert_text(spark, text, args.config, slots, args.punct, compatibility, rare, args.detofu, own)
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -91,10 +112,15 @@ def _parser() -> argparse.ArgumentParser:
         job.add_argument("-o", "--output", required=True)
         job.add_argument("-c", "--config", type=config_name, required=name != "pages")
         job.add_argument("-p", "--punct", action="store_true")
-        job.add_argument("-d", "--dictionary", help="JSON bundle; the example set without it")
+        job.add_argument("-d", "--dictionary", help="JSON bundle or folder of text dictionaries; the example set without it")
         job.add_argument("-D", "--custom-dict", action="append", default=[], help="slot:append|override:path, repeated or with commas")
         job.add_argument("--in-enc")
         job.add_argument("--out-enc")
+        if name == "convert":
+            job.add_argument("-n", "--norm-compat", metavar="TABLE", help="compatibility ideographs first, by this table")
+            job.add_argument("--detofu", type=_level, metavar="LEVEL", help="rare ideographs of this extension (ExtB to ExtI) and later ones last, or all")
+            job.add_argument("--detofu-table", metavar="TABLE", help="rare, fallback, extension")
+            job.add_argument("--detofu-file", metavar="PAIRS", help="pairs that are put over the table's at every level")
         if name == "files":
             job.add_argument("-k", "--keep-font", action="store_true")
         if name == "pages":
@@ -103,7 +129,7 @@ def _parser() -> argparse.ArgumentParser:
             job.add_argument("-C", "--compact", action="store_true")
             job.add_argument("-e", "--extract", action="store_true", help="no conversion")
     job = jobs.add_parser("dictgen")
-    job.add_argument("-f", "--folder", required=True, help="text dictionaries named <slot>.txt")
+    job.add_argument("-f", "--folder", required=True, help="text dictionaries with their usual names, or named <slot>.txt")
     job.add_argument("-o", "--output", required=True)
     job.add_argument("-c", "--compact", action="store_true")
     job.add_argument("-s", "--sort", action="store_true")
@@ -115,9 +141,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     parser = _parser()
     args = parser.parse_args(argv)
     if args.job == "dictgen":
-        slots = load_folder(args.folder, {p.stem: p.name for p in sorted(Path(args.folder).glob("*.txt"))})
+        usual = {file_name(s) for s in SLOTS}
+        found = sorted(Path(args.folder).glob("*.txt"))
+        slots = load_folder(args.folder) if any(p.name in usual for p in found) else load_folder(args.folder, {p.stem: p.name for p in found})
         Path(args.output).write_text(write_bundle(slots, pretty=not args.compact, sort=args.sort or not args.compact), "utf-8")
         return
+    if args.job == "convert" and not args.detofu and (args.detofu_table or args.detofu_file):
+        parser.error("--detofu says from which extension on")
     if args.job == "pages" and not args.extract and not args.config:
         parser.error("a configuration is needed unless only extracting")
     spark, slots = spark or SparkSession.builder.appName("inkstone").getOrCreate(), _slots(args)
@@ -127,7 +157,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         return
     files = spark.read.format("binaryFile").load(args.input).select("path", "content")
     if args.job == "convert":
-        text = convert(spark, decode(F.col("content"), args.in_enc), args.config, slots, args.punct)
+        text = _chain(spark, decode(F.col("content"), args.in_enc), args, slots)
         files.select("path", encode(text, args.out_enc).alias("data")).write.parquet(args.output)
     else:
         convert_files(spark, files, args.config, slots, args.punct, args.keep_font, args.in_enc, args.out_enc).write.parquet(args.output)

@@ -42,3 +42,32 @@ def test_dictgen_job(tmp_path):
     (tmp_path / "tw_variants.txt").write_text("# no\n喫\t吃\n", "utf-8")
     jobs.main(["dictgen", "-f", str(tmp_path), "-o", str(tmp_path / "out.json"), "-c"])
     assert read_bundle((tmp_path / "out.json").read_text("utf-8")) == {"tw_variants": {"喫": "吃"}} and "tw_variants" in example_slots()
+
+
+def test_convert_chain_and_usual_names(spark, tmp_path):
+    """The options before and after a conversion, and dictionaries of a folder."""
+    import json
+
+    import pytest
+
+    from inkstone import jobs
+    from inkstone.sources.dictionaries import OPTIONAL_FILES, SLOTS, file_name
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("豈丁q", "utf-8")
+    (tmp_path / "dicts").mkdir()
+    for s in SLOTS:
+        if s not in OPTIONAL_FILES:
+            (tmp_path / "dicts" / file_name(s)).write_text("丁\t\U0002003e\n" if s == "tw_variants" else "", "utf-8")
+    for name, text in (("compat", "豈\t丁\n"), ("rare", "\U0002003e\tz\tExtB\n"), ("own", "q\tr\n")):
+        (tmp_path / name).write_text(text, "utf-8")
+    path = lambda n: str(tmp_path / n)
+    base = ["convert", "-i", path("in"), "-c", "t2tw", "-d", path("dicts")]
+    for k, (options, expected) in enumerate((([], "豈\U0002003eq"), (["-n", path("compat")], "\U0002003e\U0002003eq"), (["-n", path("compat"), "--detofu", "all", "--detofu-table", path("rare"), "--detofu-file", path("own")], "zzr"), (["--detofu", "ExtC", "--detofu-table", path("rare")], "豈\U0002003eq"))):
+        jobs.main([*base, *options, "-o", path(f"out{k}")], spark)
+        assert spark.read.parquet(path(f"out{k}")).first()["data"].decode() == expected
+    for bad in (["--detofu", "ExtZ"], ["--detofu-file", path("own")]):
+        with pytest.raises(SystemExit):
+            jobs.main([*base, *bad, "-o", path("none")], spark)
+    jobs.main(["dictgen", "-f", path("dicts"), "-o", path("bundle.json")])
+    assert json.loads((tmp_path / "bundle.json").read_text("utf-8"))["tw_variants"][0] == {"丁": "\U0002003e"}
