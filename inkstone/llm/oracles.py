@@ -103,7 +103,50 @@ FROM c GROUP BY conv_id
 """
 
 
+#: CRC-32 of the decimal digits of a number, byte by byte and bit by bit.
+CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+  lambda r, b: list_reduce(list_prepend(xor(r, b), range(8)), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)), 4294967295::BIGINT)"""
+
+OP13 = rf"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+keyed AS (SELECT conv_id, turn, sha256(length(role) || ':' || role || text) AS key, len(regexp_extract_all(text, {SPACED})) AS words FROM said),
+t AS (SELECT conv_id, key, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS pos FROM keyed),
+ids AS (SELECT conv_id AS c, conv_id - conv_id % 20 AS base, {CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+head AS (SELECT c, pos AS d, key, words FROM ids JOIN t ON t.conv_id = base AND pos <= h),
+given AS (SELECT c, h, count(d) AS m FROM ids LEFT JOIN head USING (c) GROUP BY c, h),
+r AS (SELECT * FROM head UNION ALL SELECT c, m + pos - h, key, words FROM given JOIN t ON t.conv_id = c AND pos > h),
+p AS (SELECT c, d, words, string_agg(key, '') OVER (PARTITION BY c ORDER BY d) AS path FROM r UNION ALL SELECT c, 0, 0, '' FROM ids),
+n AS (SELECT path, any_value(d) AS d, min(c) AS conv_id, count(*) AS n_convs, max(words) AS words FROM p GROUP BY path),
+kids AS (SELECT left(path, length(path) - 64) AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+ends AS (SELECT path, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, max(d) AS d FROM p GROUP BY c) JOIN p USING (c, d) GROUP BY path),
+w AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * words AS saved FROM n LEFT JOIN kids USING (path)),
+sub AS (SELECT p.path, sum((w.n_children = 0)::INT) AS n_leaves, sum(w.saved) AS saved_tokens FROM w JOIN p ON p.c = w.conv_id AND p.d <= w.d GROUP BY p.path)
+SELECT w.conv_id, w.d::BIGINT AS depth, up.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ends.ids, '')) AS ends_sha256
+FROM w JOIN sub USING (path) LEFT JOIN ends USING (path) LEFT JOIN w up ON w.d > 0 AND up.path = left(w.path, length(w.path) - 64)
+"""
+
+
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({ASCII_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+w AS (SELECT doc, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n_lang FROM w GROUP BY lang, term HAVING count(DISTINCT doc) >= 30),
+langs AS (SELECT lang, count(*) AS size, sum(n_lang) AS lang_total FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+total AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 5) // (coalesce(total, 0) + 5 * size) AS p, 1 + 1000000000::HUGEINT * (n_lang + 5) // (lang_total + 5 * size) AS q
+      FROM g JOIN kept USING (lang) JOIN langs USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term LEFT JOIN total ON total.lang = g.lang AND total.source = g.source),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(any_value(v), 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN (SELECT x.lang, x.source AS s, y.source AS t, sum(abs(x.p - y.p)) AS v FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL) f ON f.lang = a.lang AND f.s = a.source AND f.t = b.source GROUP BY ALL),
+every AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
 ORACLES = {
+    "op12_source_divergence_audit": OP12,
+    "op13_conversation_prefix_trie": OP13,
     "op3_chat_format": _op3(),
     "op1_decontamination": OP1,
     "op4_license_scan": _op4(),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, classifier, decontaminate, jaccard, licenses, oracles, packing, pii, quality_rules, toxicity, urls
+from . import bpe, chat, classifier, decontaminate, divergence, jaccard, licenses, oracles, packing, pii, quality_rules, toxicity, trie, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,19 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, table(spark, sf_dir, "labels"), keep_text=False).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), with_ids=False)
+
+
+def op12_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return trie.prefix_trie(rows, with_text=False, rebuild=trie.with_shared_heads)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -87,6 +100,9 @@ QUERIES = {
         op8_quality_rules,
         op9_best_fit_packing,
         op10_quality_classifier,
+        op11_bpe_encode_decode,
+        op12_source_divergence_audit,
+        op13_conversation_prefix_trie,
     )
 }
 ORACLES = oracles.ORACLES
