@@ -1,18 +1,22 @@
 """Text conversion as column functions: rounds of longest-match replacement, and code point maps.
 
-A round whose keys are single code points is Spark's `translate`, within whole-stage code. Other rounds run in an
-Arrow-batched function over a broadcast of their pairs. No conversion shuffles; they run alike on streams.
+All rounds of a configuration run in one Arrow function over a broadcast of their pairs, on the buffers of a whole batch (see
+`matching`); text goes to Python and back once. Small maps of code points, which stand among other built-in functions, are
+Spark's `translate`. No conversion shuffles; they run alike on streams.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from collections.abc import Callable, Iterable, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession, functions as F
 
-from inkstone.plans.conversion import DELIMITERS, Round, config_or_default, plan
+from inkstone.operators.matching import matchers, replace_all
+from inkstone.plans.conversion import DELIMITERS, config_or_default, plan
 from inkstone.sources.dictionaries import units
 
 #: What an empty input becomes where `strict_empty` is asked for.
@@ -20,7 +24,7 @@ EMPTY_MESSAGE = "Input text is null or empty"
 
 
 def replacer(pairs: Mapping[str, str]) -> Callable[[str], str]:
-    """A function that replaces, from left to right, the longest key at each place.
+    """A function that replaces, from left to right, the longest key at each place of one text; `Matcher` does it for many.
 
     Only first characters of keys of several characters are stopped at; what lies between matches of those has single code
     points to replace at most, and is translated in one go.
@@ -53,42 +57,33 @@ def replacer(pairs: Mapping[str, str]) -> Callable[[str], str]:
 
 
 def translate(column: Column, pairs: Mapping[str, str]) -> Column:
-    """`column` with keys replaced: Spark's own `translate` where all are code points for code points, else as in `replacer`."""
+    """`column` with keys replaced: Spark's own `translate` where all are code points for code points, else by a `Matcher`."""
     pairs = {k: v for k, v in pairs.items() if k and not (len(k) == 1 and k == v)}
     if any(len(k) != 1 or len(v) != 1 for k, v in pairs.items()):
-        return _matching(lambda: pairs)(column)
+        return _matching([pairs], lambda: [pairs])(column)
     return F.translate(column, "".join(pairs), "".join(pairs.values())) if pairs else column
 
 
-def _native(r: Round) -> bool:
-    return r.single and all(len(v) == 1 for v in r.pairs.values())
+def _matching(rounds: list[Mapping[str, str]], shared: Callable[[], list[Mapping[str, str]]], lone: frozenset[str] = frozenset()):
+    """All rounds one after another as an Arrow function; `shared` gives the rounds in a task."""
+    key = hashlib.sha256(json.dumps([[list(r.items()) for r in rounds], sorted(lone)]).encode()).hexdigest()
 
-
-def _matching(pairs: Callable[[], Mapping[str, str]]):
-    made: list[Callable[[str], str]] = []  # once in a task
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        if not made:
-            made.append(replacer(pairs()))
-        return texts.map(made[0], na_action="ignore")
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return replace_all(texts, matchers(key, shared, lone))
 
     return run
 
 
-def _matcher(spark: SparkSession, r: Round):
-    shared = spark.sparkContext.broadcast(r.pairs)
-    return _matching(lambda: shared.value)
+def _broadcast(spark: SparkSession, rounds: list[Mapping[str, str]], lone: frozenset[str] = frozenset()):
+    shared = spark.sparkContext.broadcast(rounds)
+    return _matching(rounds, lambda: shared.value, lone)
 
 
 def convert(spark: SparkSession, column: Column, config: str, slots: Mapping[str, Mapping[str, str]], punctuation: bool = False, strict_empty: bool = False) -> Column:
     """`column` in the script of `config`. Null stays null and empty stays empty, unless `strict_empty`."""
-    out = column
-    for r in plan(config, slots, punctuation):
-        if _native(r):
-            out = translate(out, r.pairs)
-            continue
-        out = _matcher(spark, r)(out)
+    rounds = [r.pairs for r in plan(config, slots, punctuation)]
+    out = _broadcast(spark, rounds)(column) if rounds else column
     if strict_empty:
         out = F.when(column.isNull() | (column == ""), F.lit(EMPTY_MESSAGE)).otherwise(out)
     return out
@@ -100,9 +95,6 @@ def convert_once(spark: SparkSession, column: Column, config: str | None, slots:
     return convert(spark, column, config_or_default(config), slots, strict_empty=True)
 
 
-_SEGMENT = re.compile("[^{0}]*[{0}]|[^{0}]+".format(re.escape("".join(sorted(DELIMITERS)))))
-
-
 def replace_greedy(spark: SparkSession, column: Column, dictionaries: list[Mapping[str, str]], longest: int) -> Column:
     """The longest key of any dictionary at each place, the earlier dictionary's on a tie, without regard to slots.
 
@@ -113,14 +105,8 @@ def replace_greedy(spark: SparkSession, column: Column, dictionaries: list[Mappi
         for key, value in entries.items():
             if key and units(key) <= longest:
                 pairs.setdefault(key, value)
-    shared = spark.sparkContext.broadcast(pairs)
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        replace = replacer(shared.value)
-        return texts.map(lambda t: "".join(s if s in DELIMITERS else replace(s) for s in _SEGMENT.findall(t)), na_action="ignore")
-
-    return run(column)
+    pairs = {k: v for k, v in pairs.items() if not DELIMITERS & set(k[:-1])}
+    return _broadcast(spark, [pairs], DELIMITERS)(column)
 
 
 def by_character(column: Column, pairs: Mapping[str, str]) -> Column:
