@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from inkstone.functions import quotes, reflow, search
 from inkstone.operators import convert as conversion
 from inkstone.plans.conversion import ROUNDS, plan
-from inkstone.sources import documents
+from inkstone.sources import containers, documents
+from inkstone.sources.archives import pack_archives
 from inkstone.sources.dictionaries import CustomSpec, apply_specs, example_slots
 
 SLOTS = example_slots()
@@ -304,6 +305,50 @@ SELECT doc_id, CASE WHEN hit THEN 'FOUND' ELSE 'NOT_COMPLETE_MATCH' END AS outco
 """
 
 
+def files_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): each document as a DOCX, an ODT or an EPUB file, by its id; commas of DOCX and ODT files are tabs."""
+    member = lambda name, *parts: F.struct(F.lit(name).alias("member"), F.encode(F.concat(*parts), "UTF-8").alias("content"))
+    escaped = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&#60;"))
+    lines = F.split(escaped, "\n")
+    each = lambda head, tail, tab=None: F.array_join(F.transform(lines, lambda x: F.concat(F.lit(head), x if tab is None else F.replace(x, F.lit(","), F.lit(tab)), F.lit(tail))), "")
+    docx = F.array(
+        member("[Content_Types].xml", F.lit("<Types/>")),
+        member("word/document.xml", F.lit('<w:document xmlns:w="w"><w:body>'), each('<w:p><w:pPr><w:tabs><w:tab w:val="left"/></w:tabs></w:pPr><w:r><w:t xml:space="preserve">', "</w:t></w:r></w:p>", '</w:t><w:tab/><w:t xml:space="preserve">'), F.lit("</w:body></w:document>")),
+        member("word/header1.xml", F.lit('<w:hdr xmlns:w="w"><w:tbl><w:tr><w:tc><w:p><w:r><w:t>'), F.col("doc_id").cast("string"), F.lit("</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>n</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:hdr>")),
+    )
+    odt = F.array(
+        member("mimetype", F.lit(containers.ODT_TYPE)),
+        member("content.xml", F.lit('<o xmlns:text="t">'), each("<text:p>", "</text:p>", "<text:tab/>"), F.lit("</o>")),
+    )
+    epub = F.array(
+        member("mimetype", F.lit("application/epub+zip")),
+        member("META-INF/container.xml", F.lit('<container><rootfiles><rootfile full-path="OPS/a.opf"/></rootfiles></container>')),
+        member("OPS/b.xhtml", F.lit("<html><head><title>no</title></head><body>"), each("<p>", "</p>"), F.lit("</body></html>")),
+        member("OPS/a.xhtml", F.lit("<html><body><h1>"), F.col("doc_id").cast("string"), F.lit("</h1></body></html>")),
+        member("OPS/a.opf", F.lit('<package><manifest><item id="b" href="b.xhtml" media-type="application/xhtml+xml"/><item id="a" href="./a.xhtml" media-type="application/xhtml+xml"/></manifest><spine><itemref idref="a"/><itemref idref="b"/></spine></package>')),
+    )
+    kind = F.col("doc_id") % 3
+    ending = F.when(kind == 0, ".docx").when(kind == 1, ".odt").otherwise(".epub")
+    rows = docs(spark, sf_dir).select(F.concat(F.col("doc_id").cast("string"), ending).alias("path"), F.when(kind == 0, docx).when(kind == 1, odt).otherwise(epub).alias("members"))
+    return pack_archives(rows)
+
+
+def container_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of the files that `files_of_documents` makes."""
+    return containers.container_texts(files_of_documents(spark, sf_dir))
+
+
+CONTAINER_SQL = r"""
+WITH d AS (SELECT doc_id, doc_id % 3 AS k, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+e AS (SELECT *, list_filter(list_transform(lines, lambda x: trim(regexp_replace(x, '[ \t\r\n\x0B\f]+', ' ', 'g'), ' ')), lambda x: x <> '') AS blocks FROM d)
+SELECT doc_id || CASE k WHEN 0 THEN '.docx' WHEN 1 THEN '.odt' ELSE '.epub' END AS path, CASE k WHEN 0 THEN 'docx' WHEN 1 THEN 'odt' ELSE 'epub' END AS kind,
+  CASE k WHEN 0 THEN array_to_string(list_transform(lines, lambda x: replace(x, ',', chr(9)) || chr(10)), '') || doc_id || chr(9) || 'n' || chr(10)
+    WHEN 1 THEN array_to_string(list_transform(lines, lambda x: replace(x, ',', chr(9)) || chr(10)), '')
+    ELSE replace(replace(array_to_string(list_transform(list_prepend(doc_id::VARCHAR, blocks), lambda x: x || chr(10) || chr(10)), ''), chr(160), ' '), chr(173), '') END AS text,
+  NULL::VARCHAR AS error FROM e
+"""
+
+
 def reflow_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Han text cut into lines of 40 characters or at its full stops."""
     text = F.translate(han(F.col("text"), "t2hkp", SLOTS), ".", "。")
@@ -335,6 +380,7 @@ for _f, _sql in (
     (go_to_line, GO_SQL),
     (assemble_pages, PAGES_SQL),
     (page_text, PAGE_SQL),
+    (container_texts, CONTAINER_SQL),
 ):
     QUERIES[_f.__name__] = _f
     if _sql:

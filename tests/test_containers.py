@@ -4,7 +4,8 @@ import zipfile
 from pyspark.sql import functions as F
 
 from inkstone.functions.search import find_previous
-from inkstone.sources.containers import charset, container_kind, container_text, read_container
+from inkstone.sources.archives import archive_members
+from inkstone.sources.containers import charset, container_texts, unescape
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
@@ -35,22 +36,60 @@ EPUB = packed(**{
 })
 
 
-def test_texts():
-    assert read_container(DOCX, "docx") == "漢\t字\n\na\tb\nnote\nhead\n"
-    assert read_container(DOCX, "docx", headings=True).startswith("=== word/document.xml ===\n漢")
-    assert read_container(ODT, "odt") == "甲\nx   y\tz\n\n1\t2\n"
-    assert read_container(EPUB, "epub") == "One\n\nab c\nd\n\ne\n\n".replace("ab", "a b")
+def texts(spark, *files, **more):
+    df = spark.createDataFrame(list(files), "path string, content binary")
+    return {r.path: (r.kind, r.text, r.error) for r in container_texts(df, **more).collect()}
 
 
-def test_columns_isolate_errors(spark):
-    rows = [("a.DOCX", DOCX), ("b.odt", ODT), ("c.epub", EPUB), ("d.epub", b"no zip"), ("e.txt", DOCX), ("f.odt", None), (None, ODT), ("g.docx", packed(word__document_D_xml="<"))]
-    df = spark.createDataFrame(rows, "path string, content binary").withColumn("kind", container_kind(F.col("path"), F.col("content")))
-    got = df.select("path", "kind", container_text(F.col("kind"), F.col("content")).alias("r")).collect()
-    kinds = {r["path"]: r["kind"] for r in got}
-    assert kinds == {"a.DOCX": "docx", "b.odt": "odt", "c.epub": "epub", "d.epub": None, "e.txt": None, "f.odt": None, None: None, "g.docx": "docx"}
-    bad = next(r["r"] for r in got if r["path"] == "g.docx")
-    assert bad["text"] is None and bad["error"].startswith("ParseError")
-    assert next(r["r"] for r in got if r["path"] == "b.odt")["text"].startswith("甲\n")
+def test_texts(spark):
+    got = texts(spark, ("a.docx", DOCX), ("b.odt", ODT), ("c.epub", EPUB))
+    assert got["a.docx"] == ("docx", "漢\t字\n\na\tb\nnote\nhead\n", None)
+    assert got["b.odt"] == ("odt", "甲\nx   y\tz\n\n1\t2\n", None)
+    assert got["c.epub"] == ("epub", "One\n\nab c\nd\n\ne\n\n".replace("ab", "a b"), None)
+    assert texts(spark, ("a.docx", DOCX), headings=True)["a.docx"][1].startswith("=== word/document.xml ===\n漢")
+
+
+def test_errors_stay_with_their_files(spark):
+    cut = bytearray(ODT)
+    cut[60] ^= 0xFF  # within the member's data, so that its checksum is wrong
+    no_root = packed(**{"META-INF__container_D_xml": "<container/>"})
+    rows = [("a.DOCX", DOCX), ("b.odt", ODT), ("c.epub", EPUB), ("d.epub", b"no zip"), ("e.txt", DOCX), ("f.odt", None), (None, ODT), ("g.docx", packed(word__document_D_xml="<")), ("h.odt", bytes(cut)), ("i.epub", no_root)]
+    got = texts(spark, *rows)
+    kinds = {k: v[0] for k, v in got.items()}
+    assert kinds == {"a.DOCX": "docx", "b.odt": "odt", "c.epub": "epub", "d.epub": None, "e.txt": None, "f.odt": None, None: None, "g.docx": "docx", "h.odt": "odt", "i.epub": "epub"}
+    assert got["g.docx"][1:] == (None, "not well formed: word/document.xml")
+    assert got["b.odt"][1].startswith("甲\n")
+    assert got["d.epub"][2].startswith("BadZipFile") and got["h.odt"][1] is None and got["h.odt"][2] and got["i.epub"][1:] == (None, "no rootfile")
+    assert got["e.txt"] == (None, None, None)
+
+
+def test_members_keep_their_order(spark):
+    names = [f"m{k * 7 % 10}.xml" for k in range(10)] + ["m3.xml"]
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w") as file:
+        for k, n in enumerate(names):
+            file.writestr(n, str(k))
+        file.writestr("folder/", "")
+    df = spark.createDataFrame([("x.zip", body.getvalue())], "path string, content binary")
+    got = archive_members(df, r"\.xml$").collect()
+    assert [r.member for r in sorted(got, key=lambda r: r.ordinal)] == names and all(r.error is None for r in got)
+    assert [bytes(r.content).decode() for r in sorted(got, key=lambda r: r.ordinal)[:3]] == ["0", "1", "2"]
+
+
+def test_nested_tables_and_markup(spark):
+    inner = "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>i1</w:t></w:r></w:p></w:tc><w:tc/></w:tr></w:tbl>"
+    xml = f'<?xml version="1.0"?><w:document {W}><w:body><!-- <w:t>no</w:t> --><w:tbl><w:tr><w:tc><w:p><w:t>x &gt; y&#x6F22;&amp;lt;</w:t></w:p>{inner}<w:p/></w:tc><w:tc><w:p><w:t xml:space="preserve"> z </w:t></w:p></w:tc></w:tr><w:tr/></w:tbl><w:p><w:t><![CDATA[<a>&amp;]]></w:t><w:cr/></w:p></w:body></w:document>'
+    got = texts(spark, ("a.docx", packed(word__document_D_xml=xml, word__Header1_D_XML="<x><t>H</t></x>")))
+    assert got["a.docx"] == ("docx", "x > y漢&lt;\ni1\t\t z \n\n<a>&amp;\n\nH\n", None)
+    odt = packed(content_D_xml='<?xml version="1.0"?>\n<o xmlns:text="t" xmlns:table="b"><table:table-row>\n <table:table-cell/> <table:table-cell><text:p>a</text:p>\n</table:table-cell>\n</table:table-row><text:p>&#128512;<text:s/>&nope;&#0;</text:p></o>'.replace("&nope;", ""), mimetype="application/vnd.oasis.opendocument.text")
+    assert texts(spark, ("b.odt", odt))["b.odt"][0] == "odt"
+    wrong = packed(content_D_xml="<o/>", mimetype="application/zip")
+    assert texts(spark, ("b.odt", wrong))["b.odt"] == (None, None, None)
+
+
+def test_references(spark):
+    df = spark.createDataFrame([("a &amp;lt; &#65;&#x1F600; &eacute;&unknown; & &#1114112; &#xD800;",), ("none",)], "t string")
+    assert [r[0] for r in df.select(unescape(F.col("t"))).collect()] == ["a &lt; A\U0001f600 é&unknown; & &#1114112; &#xD800;", "none"]
 
 
 def test_charset():
