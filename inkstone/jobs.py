@@ -14,7 +14,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from inkstone.functions.reflow import reflow_paragraphs
+from inkstone.functions.reflow import reflow_texts
 from inkstone.operators.convert import LEVELS, convert, convert_text, parse_compatibility, parse_rare
 from inkstone.plans.conversion import config_name
 from inkstone.sources.containers import charset
@@ -71,10 +71,10 @@ def convert_files(spark: SparkSession, files: DataFrame, config: str, slots: Slo
 
 def page_documents(spark: SparkSession, rows: DataFrame, config: str | None, slots: Slots, pages: str = "pages", punctuation: bool = False, header: bool = False, reflow: bool = False, compact: bool = False) -> DataFrame:
     """`rows` with `text` from an array of page texts: put together, reflowed and converted as asked; no config: as it is."""
-    text = assemble_pages(F.col(pages), header)
+    rows = rows.withColumn("text", assemble_pages(F.col(pages), header))
     if reflow:
-        text = reflow_paragraphs(text, header, compact)
-    return rows.withColumn("text", convert(spark, text, config, slots, punctuation) if config else text)
+        rows = reflow_texts(rows, "text", header, compact)
+    return rows.withColumn("text", convert(spark, F.col("text"), config, slots, punctuation)) if config else rows
 
 
 def _slots(args: argparse.Namespace) -> Slots:

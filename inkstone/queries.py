@@ -353,7 +353,7 @@ def reflow_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Han text cut into lines of 40 characters or at its full stops."""
     text = F.translate(han(F.col("text"), "t2hkp", SLOTS), ".", "。")
     cut = F.regexp_replace(text, r"([^\n]{40})", "$1\n")
-    return docs(spark, sf_dir).select("doc_id", reflow.reflow_paragraphs(cut).alias("text"))
+    return reflow.reflow_texts(docs(spark, sf_dir).select("doc_id", cut.alias("text")))
 
 
 QUERIES: dict = {"convert_t2hkp_by_lang": convert_t2hkp_by_lang}

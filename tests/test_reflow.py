@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkstone.functions import search
-from inkstone.functions.reflow import collapse, is_heading, is_metadata, reflow, reflow_paragraphs
+from inkstone.functions.reflow import collapse, is_heading, is_metadata, reflow_lines, reflow_texts
+from plain_reflow import reflow as plain
 from inkstone.sources.office import rewrite, rewrite_office
 
 
@@ -30,30 +31,63 @@ from inkstone.sources.office import rewrite, rewrite_office
         ("這一行的文字沒有任何標點符號\n　　下一行是有縮進的另外一個段落", ["這一行的文字沒有任何標點符號", "　　下一行是有縮進的另外一個段落"]),
     ],
 )
-def test_reflow(lines, expected):
-    assert reflow(lines) == "\n\n".join(expected)
-    assert reflow(lines, compact=True) == "\n".join(expected)
-    assert reflow(lines.replace("\n", "\r\n")) == "\n\n".join(expected)
+def test_reflow(spark, lines, expected):
+    texts = [(1, lines), (2, lines.replace("\n", "\r\n"))]
+    df = spark.createDataFrame(texts, "k int, text string")
+    assert [r.text for r in reflow_texts(df).collect()] == ["\n\n".join(expected)] * 2
+    assert [r.text for r in reflow_texts(df, compact=True).collect()] == ["\n".join(expected)] * 2
 
 
-def test_reflow_of_blank_and_long_texts():
-    assert reflow("") == reflow(" \n\t\n ") == ""
-    assert reflow("甲乙丙丁戊己庚辛壬癸，\n\n子丑", page_headers=True) == "甲乙丙丁戊己庚辛壬癸，\n\n子丑"
+def test_reflow_of_blank_and_long_texts(spark):
     long = "\n".join(["word after word without an end, and so on,"] * 20000)
-    assert reflow(long) == long.replace("\n", "")
+    df = spark.createDataFrame([("",), (" \n\t\n ",), (None,), (long,)], "text string")
+    assert sorted((r.text for r in reflow_texts(df).collect()), key=lambda t: (t is not None, t)) == [None, "", "", long.replace("\n", "")]
+    df = spark.createDataFrame([("甲乙丙丁戊己庚辛壬癸，\n\n子丑",)], "text string")
+    assert reflow_texts(df, page_headers=True).first().text == "甲乙丙丁戊己庚辛壬癸，\n\n子丑"
 
 
-def test_collapse_and_kinds_of_lines():
-    assert collapse("甲乙 甲乙 甲乙  丙") == "甲乙 丙" and collapse("a b a b a b") == "a b" and collapse("a a b") == "a a b"
-    assert collapse("abcdabcdabcd") == "abcd" and collapse("哈哈哈哈哈哈") == "哈哈哈哈哈哈"
-    assert is_metadata("書名：某書") and is_metadata("ISBN: 123") and not is_metadata("前言：「他說」") and not is_metadata("他說：好")
-    for line, yes in (("2024", True), ("Part One", True), ("楔子之前", True), ("走了，", False), ("他走了。", False), ("（完", False), ("物品準備：", True), ("【作者的話】", True)):
-        assert is_heading(line) is yes, line
+def column(spark, f, *texts):
+    return [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(f(F.col("t"))).collect()]
 
 
-def test_reflow_column(spark):
-    df = spark.createDataFrame([(1, "甲，\n乙。"), (2, None), (3, "")], "k int, t string")
-    assert [r[1] for r in df.select("k", reflow_paragraphs(F.col("t"))).orderBy("k").collect()] == ["甲，乙。", None, ""]
+def test_collapse_and_kinds_of_lines(spark):
+    cases = {"甲乙 甲乙 甲乙  丙": "甲乙 丙", "a b a b a b": "a b", "a a b": "a a b", "x a b a b a b a b c a a a": "x a b c a a a", "abcdabcdabcd": "abcd", "哈哈哈哈哈哈": "哈哈哈哈哈哈", "": "", "a a a a": "a"}
+    assert column(spark, collapse, *cases) == list(cases.values())
+    assert column(spark, is_metadata, "書名：某書", "ISBN: 123", "前言：「他說」", "他說：好", "作者：") == [True, True, False, False, False]
+    kinds = {"2024": True, "Part One": True, "楔子之前": True, "走了，": False, "他走了。": False, "（完": False, "物品準備：": True, "【作者的話】": True}
+    assert column(spark, is_heading, *kinds) == list(kinds.values())
+
+
+def random_text(r):
+    """Lines of pieces that the rules look at, cut anywhere."""
+    pieces = ["他走進了房間", "信", "，", "。", "！", "：", "…", "..", "「", "」", "『", "』", "“", "”", "（", "）", "(", ")", "【", "】", "《", "》", "<", "a", "word ", "Part 2", "12", "第一章 ", "第三回的", "卷二", "前言", "目录", "作者：", "ISBN: 1", "1、", "2) ", "（三）", "• ", "3.漢", "───", "* * *", "=== [Page 1/2] ===", " ", "\t", "\u3000\u3000", "甲乙 甲乙 甲乙", "abcdabcdabcd", "雨夜", "章", "回」", "、", ",", "﹁", "﹂", "沒有任何標點符號的一行文字" * 3]
+    return "".join(r.choice(pieces) if r.random() < 0.72 else r.choice(["\n", "\n", "\n\n", "\r\n", "\r"]) for _ in range(r.randrange(1, 60)))
+
+
+@pytest.mark.parametrize("headers", [False, True])
+def test_against_the_plain_rules(spark, headers):
+    import random
+
+    r = random.Random(11 + headers)
+    texts = [random_text(r) for _ in range(1500)]
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "k int, text string, first string").repartition(3)
+    for row in reflow_texts(df, page_headers=headers, compact=True).collect():
+        assert row.text == plain(texts[row.k], headers, True), texts[row.k]
+        assert row.first == "x"
+
+
+def test_lines_of_documents(spark):
+    import random
+    import re
+
+    r = random.Random(5)
+    texts = [random_text(r) for _ in range(60)]
+    lines = [(d, k, t) for d, text in enumerate(texts) for k, t in enumerate(re.split("\r\n|\r|\n", text))]
+    r.shuffle(lines)
+    rows = reflow_lines(spark.createDataFrame(lines, "doc int, line int, text string").repartition(7)).collect()
+    for d, text in enumerate(texts):
+        got = [x.text for x in sorted(rows, key=lambda x: (x.doc, x.paragraph)) if x.doc == d]
+        assert "\n".join(got) == plain(text, compact=True)
 
 
 def test_replace_current(spark):
