@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 #: Opening marks with their closing ones, curly and corner, of the outer and the inner level.
@@ -13,62 +10,47 @@ INNER = {"‘": "’", "『": "』"}
 OPENERS, CLOSERS = "“‘「『", "”’」』"
 
 
-class _Level:
-    """One nesting level: which mark would close what is open."""
-
-    def __init__(self, pairs: dict[str, str]):
-        self.pairs, self.closers, self.due = pairs, set(pairs.values()), None
-        self.default = next(iter(pairs))
-
-    def see(self, mark: str) -> None:
-        if mark in self.pairs:
-            self.due = self.pairs[mark]
-        elif mark in self.closers:
-            self.due = None
-
-    def plain(self) -> str:
-        """What a plain mark stands for here: the closing mark that is due, else a curly opening one."""
-        if self.due:
-            out, self.due = self.due, None
-            return out
-        self.due = self.pairs[self.default]
-        return self.default
-
-
-_MARKS = re.compile("[\"'“”「」‘’『』]")
-_LATIN = re.compile("[A-Za-z]")
-
-
-def repair(text: str, keep_apostrophes: bool = True) -> str:
-    """`text` with plain quotation marks turned into the marks of the dialog that they belong to.
-
-    Single marks between ASCII letters stay, and change nothing, if `keep_apostrophes`.
-    """
-    outer, inner = _Level(OUTER), _Level(INNER)
-
-    def one(m: re.Match) -> str:
-        mark, a, b = m[0], m.start(), m.end()
-        if keep_apostrophes and mark in "'‘’" and a and _LATIN.match(text[a - 1]) and _LATIN.match(text[b : b + 1]):
-            return mark
-        if mark == '"':
-            return outer.plain()
-        if mark == "'":
-            return inner.plain()
-        outer.see(mark)
-        inner.see(mark)
-        return mark
-
-    return _MARKS.sub(one, text)
+#: Marks that one step of the outer fold takes.
+RUN = 256
 
 
 def repair_quotes(column: Column, keep_apostrophes: bool = True) -> Column:
-    """Repaired texts, in Arrow batches; null stays null."""
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: repair(t, keep_apostrophes), na_action="ignore")
+    """Texts with plain quotation marks turned into the marks of the dialog that they belong to. Null stays null.
 
-    return run(column)
+    A level's state is the closing mark that is due, or none: an opening mark makes its partner due, a closing one clears
+    it, and a plain one is the one due, or else a curly opening mark. Both levels are one fold over the marks of a
+    text, in runs of a bounded size; what lies between the marks isn't touched. Single marks between ASCII letters stay, and
+    change nothing, if `keep_apostrophes`.
+    """
+    passed = r"(?<![A-Za-z])['‘’]|['‘’](?![A-Za-z])" if keep_apostrophes else "['‘’]"
+    mark = rf"[\"“”「」『』]|{passed}"
+    marks, gaps = F.regexp_extract_all(column, F.lit(mark), F.lit(0)), F.split(column, mark)
+    partner = F.create_map(*(F.lit(x) for pair in (OUTER | INNER).items() for x in pair))
+    curly = {"\"": next(iter(OUTER)), "'": next(iter(INNER))}
+
+    def step(s: Column, m: Column) -> Column:
+        due = F.when(m == "\"", s["outer"]).otherwise(s["inner"])
+        plain = m.isin(*curly)
+        said = F.when(plain & (due != ""), due).when(m == "\"", curly["\""]).when(m == "'", curly["'"]).otherwise(m)
+        opens = F.contains(F.lit(OPENERS), said)
+        after = F.when(opens, F.try_element_at(partner, said)).otherwise("")
+        is_outer = F.contains(F.lit("".join(OUTER) + "".join(OUTER.values())), said)
+        return F.struct(
+            F.when(is_outer, after).otherwise(s["outer"]).alias("outer"), F.when(is_outer, s["inner"]).otherwise(after).alias("inner"), F.concat(s["out"], said).alias("out")
+        )
+
+    empty = F.struct(F.lit("").alias("outer"), F.lit("").alias("inner"), F.lit("").alias("out"))
+    again = lambda s: F.struct(s["outer"].alias("outer"), s["inner"].alias("inner"), F.lit("").alias("out"))
+    runs = F.sequence(F.lit(0), F.floor((F.size(marks) - 1) / RUN).cast("int"))
+
+    def run(s: Column, k: Column) -> Column:
+        one = F.aggregate(F.slice(marks, k * RUN + 1, F.lit(RUN)), again(s["now"]), step)
+        return F.struct(one.alias("now"), F.array_append(s["all"], one["out"]).alias("all"))
+
+    start = F.struct(empty.alias("now"), F.array().cast("array<string>").alias("all"))
+    said = F.split(F.array_join(F.aggregate(runs, start, run)["all"], ""), "")
+    joined = F.array_join(F.zip_with(gaps, said, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
+    return F.when(F.size(marks) > 0, joined).otherwise(column)
 
 
 #: White space that a line may have at its ends.

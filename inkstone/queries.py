@@ -147,6 +147,41 @@ SELECT doc_id, array_to_string(list_transform(parts, lambda x, i: CASE WHEN i =
 """
 
 
+def repair_nested_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain, single and corner marks of both levels, in place of some letters and stops."""
+    text = F.translate("text", ".,qzxv", "\"'「』”‘")
+    return docs(spark, sf_dir).select("doc_id", quotes.repair_quotes(text, keep_apostrophes=False).alias("text"))
+
+
+#: The state is a string: the mark due of the outer level, of the inner one, then all marks so far.
+NESTED_SQL = """
+WITH d AS (SELECT doc_id, translate(text, '.,qzxv', '"''「』”‘') AS t FROM documents),
+m AS (SELECT doc_id, t, regexp_extract_all(t, '["''「』”‘’“」『]') AS marks, string_split_regex(t, '["''「』”‘’“」『]') AS gaps FROM d),
+f AS (SELECT *, list_reduce(list_prepend('00', marks), lambda s, m: (
+    CASE WHEN m IN ('“', '「') OR (m = '"' AND s[1] = '0') THEN CASE WHEN m = '「' THEN '」' ELSE '”' END WHEN m IN ('"', '”', '」') THEN '0' ELSE s[1] END
+    || CASE WHEN m IN ('‘', '『') OR (m = '''' AND s[2] = '0') THEN CASE WHEN m = '『' THEN '』' ELSE '’' END WHEN m IN ('''', '’', '』') THEN '0' ELSE s[2] END
+    || s[3:] || CASE WHEN m = '"' THEN CASE s[1] WHEN '0' THEN '“' ELSE s[1] END WHEN m = '''' THEN CASE s[2] WHEN '0' THEN '‘' ELSE s[2] END ELSE m END))[3:] AS said FROM m)
+SELECT doc_id, array_to_string(list_transform(gaps, lambda g, i: g || said[i:i]), '') AS text FROM f
+"""
+
+
+def open_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether brackets and dialog marks, in place of some letters, are left open."""
+    text = F.translate("text", "qzxvkj", "「」（）《》")
+    return docs(spark, sf_dir).select("doc_id", reflow.open_bracket(text).alias("bracket"), reflow.open_quote(text).alias("quote"))
+
+
+OPEN_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'qzxvkj', '「」（）《》'), '[「」『』“”‘’﹁﹂﹃﹄]') AS q,
+             regexp_extract_all(translate(text, 'qzxvkj', '「」（）《》'), '[（）()\[\]［］{}｛｝<>＜＞〈〉【】《》〔〕〖〗]') AS b FROM documents),
+e AS (SELECT doc_id, list_reduce(list_prepend('', b), lambda s, m: CASE
+    WHEN m IN ('（', '(', '[', '［', '{', '｛', '<', '＜', '〈', '【', '《', '〔', '〖') THEN s || translate(m, '（([［{｛<＜〈【《〔〖', '）)]］}｝>＞〉】》〕〗')
+    WHEN right(s, 1) = m THEN left(s, length(s) - 1) ELSE '!' || left(s, greatest(length(s) - 1, 0)) END) <> '' AS bracket,
+  len(list_filter(['「」', '『』', '“”', '‘’', '﹁﹂', '﹃﹄'], lambda p: list_reduce(list_prepend(0, list_transform(q, lambda x: CASE WHEN x = p[1] THEN 1 WHEN x = p[2] THEN -1 ELSE 0 END)), lambda a, x: CASE WHEN a < 0 THEN a ELSE a + x END) <> 0)) > 0 AS quote FROM d)
+SELECT doc_id, bracket, quote FROM e
+"""
+
+
 def dialog_quote_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with wrong pairs, where a line begins with an opening mark and its full stops are closing ones."""
     text = F.translate(F.concat(F.lit("「"), F.replace("text", F.lit("\n"), F.lit("\n“"))), ".", "”")
@@ -367,6 +402,8 @@ for _f, _sql in (
     (script_check, _script_sql()),
     (convert_quotation_marks, "SELECT doc_id, translate(translate(text, '.,', '“”'), '“”‘’', '「」『』') AS text FROM documents"),
     (repair_dialog_quotes, REPAIR_SQL),
+    (repair_nested_quotes, NESTED_SQL),
+    (open_marks, OPEN_SQL),
     (dialog_quote_issues, ISSUES_SQL),
     (find_and_replace, FIND_SQL),
     (find_previous, PREVIOUS_SQL),

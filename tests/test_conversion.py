@@ -70,8 +70,8 @@ def test_script_and_rare(spark):
 
 
 def test_quotes(spark):
-    assert quotes.repair("\"甲\"「\"'乙'") == "“甲”「」‘乙’"
-    assert quotes.repair("don't 'x'") == "don't ‘x’" and quotes.repair("don't", False) == "don‘t"
+    assert one(spark, quotes.repair_quotes, "\"甲\"「\"'乙'", "don't 'x'", None, "") == ["“甲”「」‘乙’", "don't ‘x’", None, ""]
+    assert one(spark, lambda c: quotes.repair_quotes(c, False), "don't") == ["don‘t"]
     issues = one(spark, quotes.quote_issues, "“ok”\n”no“\r\n「x”", None)
     assert [tuple(x) for x in issues[0]] == [(2, "”no“"), (3, "「x”")] and issues[1] == []
 
