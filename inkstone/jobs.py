@@ -51,22 +51,25 @@ def encode(text: Column, name: str | None) -> Column:
     return run(text)
 
 
+def _converted_name(path: Column, config: str) -> Column:
+    """`<base>_<config><extension>` of a path's last step."""
+    return F.regexp_replace(F.regexp_extract(path, "[^/]*$", 0), r"^(.*?)(\.[^.]*)?$", f"$1_{config_name(config)}$2")
+
+
 def convert_files(spark: SparkSession, files: DataFrame, config: str, slots: Slots, punctuation: bool = False, keep_fonts: bool = False, in_charset: str | None = None, out_charset: str | None = None) -> DataFrame:
     """(path, name, success, message, data) of rows (path, content): Office and EPUB files rewritten, text files converted.
 
     `name` is `<base>_<config><extension>`. PDF files and other binary files are told as no success, with null data.
     """
-    base = F.element_at(F.split("path", "/"), -1)
-    ending = F.regexp_extract(base, r"(\.[^.]*)$", 1)
-    kind = F.lower(F.substring(ending, 2, 16))
-    rows = files.select("path", "content", F.concat(F.regexp_replace(base, r"\.[^.]*$", ""), F.lit(f"_{config_name(config)}"), ending).alias("name"), kind.alias("kind"))
-    office = rows.where(F.col("kind").isin(*FORMATS)).withColumn("done", rewrite_office(spark, F.col("kind"), F.col("content"), config, slots, punctuation, keep_fonts))
+    kind = F.lower(F.regexp_extract("path", r"\.([^./]{0,16})[^./]*$", 1))
+    rows = files.select("path", "content", _converted_name(F.col("path"), config).alias("name"), kind.alias("kind"))
+    # Of a file's path and its name only the path goes through the rewriting; the name is made of it again.
+    office = rewrite_office(spark, rows.where(F.col("kind").isin(*FORMATS)), config, slots, punctuation, keep_fonts).withColumn("name", _converted_name(F.col("path"), config))
     told = F.when(is_pdf(F.col("content")) | (F.col("kind") == "pdf"), "PDF text isn't read").when(sniff_text(F.col("content")).isNull(), "Not a text file")
     plain = rows.where(~F.col("kind").isin(*FORMATS)).withColumn("message", told)
     text = F.when(F.col("message").isNull(), F.regexp_replace(decode(F.col("content"), in_charset), "^﻿", ""))
     plain = plain.withColumn("data", encode(convert(spark, text, config, slots, punctuation), out_charset))
-    columns = [F.col("done")[c].alias(c) for c in ("success", "message", "data")]
-    return office.select("path", "name", *columns).unionByName(plain.select("path", "name", F.col("message").isNull().alias("success"), "message", "data"))
+    return office.select("path", "name", "success", "message", "data").unionByName(plain.select("path", "name", F.col("message").isNull().alias("success"), "message", "data"))
 
 
 def page_documents(spark: SparkSession, rows: DataFrame, config: str | None, slots: Slots, pages: str = "pages", punctuation: bool = False, header: bool = False, reflow: bool = False, compact: bool = False) -> DataFrame:

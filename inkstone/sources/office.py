@@ -1,101 +1,91 @@
-"""Conversion of Office and EPUB files in place: bytes in, bytes out, as an Arrow-batched function over `binaryFile` rows.
+"""Conversion of Office and EPUB files in place: members of archives as rows, their markup converted as a column, and the members
+of a file put back together by one aggregate.
 
-A file is opened and written again in memory inside the task that read it; a bad one gives a result that says so. Other
-members keep their bytes and their order. Members whose names lead out of the archive are left out.
+What must stay (names of fonts, cells that aren't text) is cut out of a member before the conversion, with a mark in its place
+that no key of a dictionary can match over, and put back after it. Other members keep their bytes; all keep their order.
+Members whose names lead out of the archive are left out. A bad file gives a result that says so.
 """
 
 from __future__ import annotations
 
-import io
-import posixpath
-import re
-import zipfile
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from inkstone.operators.convert import replacer
-from inkstone.plans.conversion import plan
+from inkstone.operators.convert import convert
+from inkstone.sources.archives import archive_members, pack_archives
 
-#: Formats, the members that hold text, and declarations of fonts.
+#: Formats, and the attributes that name fonts.
 FORMATS = ("docx", "xlsx", "pptx", "odt", "ods", "odp", "epub")
-MEMBERS = {
-    "docx": re.compile(r"word/document\.xml"),
-    "xlsx": re.compile(r"xl/(?:sharedStrings\.xml|worksheets/.*\.xml)", re.S),
-    "pptx": re.compile(r"ppt/(?:.*/)?(?:slide[^/]*|[^/]*(?:notesSlide|slideMaster|slideLayout|comment)[^/]*)\.xml", re.S),
-    "odt": re.compile(r"content\.xml"),
-    "ods": re.compile(r"content\.xml"),
-    "odp": re.compile(r"content\.xml"),
-    "epub": re.compile(r".*\.(?:xhtml|html|opf|ncx)", re.S | re.I),
-}
-_OPEN_DOCUMENT = r"((?:style:font-name(?:-asian|-complex)?|svg:font-family|style:name)=[\"'])([^\"']+)([\"'])"
-FONTS = {
-    "docx": r'(w:(?:eastAsia|ascii|hAnsi|cs)=")(.*?)(")',
-    "xlsx": r'(val=")(.*?)(")',
-    "pptx": r'(typeface=")(.*?)(")',
-    "odt": _OPEN_DOCUMENT,
-    "ods": _OPEN_DOCUMENT,
-    "odp": _OPEN_DOCUMENT,
-    "epub": r"(font-family\s*:\s*)([^;\"']+)([;\"'])?",
-}
-INLINE_CELL = re.compile(r"<c\b(?=[^>]*\bt=(?:\"inlineStr\"|'inlineStr'))[^>]*>.*?</c>", re.S)
-CELL_TEXT = re.compile(r"(<t\b[^>]*>)(.*?)(</t>)", re.S)
-
-
-def _text(xml: str, member: str, kind: str, change: Callable[[str], str], keep_fonts: bool) -> str:
-    """The member with its text changed; the names of fonts stay if asked for."""
-    if kind == "xlsx" and member.startswith("xl/worksheets/"):
-        return INLINE_CELL.sub(lambda cell: CELL_TEXT.sub(lambda t: t[1] + change(t[2]) + t[3], cell[0]), xml)
-    if not keep_fonts:
-        return change(xml)
-    out, done = [], 0
-    for m in re.finditer(FONTS[kind], xml):
-        out += (change(xml[done : m.start(2)]), m[2])
-        done = m.end(2)
-    return "".join(out) + change(xml[done:])
-
-
-def rewrite(content: bytes, kind: str, change: Callable[[str], str], keep_fonts: bool = False) -> tuple[bool, str, bytes | None]:
-    """(success, message, data) of one file."""
-    if kind not in FORMATS:
-        return False, f"Unsupported or invalid format: {kind}", None
-    try:
-        with zipfile.ZipFile(io.BytesIO(content)) as file:
-            inside = [i for i in file.infolist() if not i.is_dir() and not posixpath.normpath(i.filename).startswith(("/", ".."))]
-            if kind == "epub":
-                if not any(i.filename == "mimetype" for i in inside):
-                    return False, "'mimetype' file is missing. EPUB requires this.", None
-                inside.sort(key=lambda i: i.filename != "mimetype")
-            target, changed = io.BytesIO(), 0
-            with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as new:
-                for i in inside:
-                    data = file.read(i)
-                    if MEMBERS[kind].fullmatch(i.filename):
-                        data, changed = _text(data.decode("utf-8", "replace"), i.filename, kind, change, keep_fonts).encode(), changed + 1
-                    stored = kind == "epub" and i.filename == "mimetype"
-                    new.writestr(zipfile.ZipInfo(i.filename, i.date_time), data, zipfile.ZIP_STORED if stored else zipfile.ZIP_DEFLATED)
-    except Exception as e:  # noqa: BLE001 - a bad file must not end the job
-        return False, f"Conversion failed: {e}", None
-    if not changed:
-        return False, f"No valid XML fragments found in format: {kind}", None
-    return True, f"Successfully converted {changed} fragment(s) in {kind} document.", target.getvalue()
-
-
-def rewrite_office(spark: SparkSession, kind: Column, content: Column, config: str, slots: Mapping[str, Mapping[str, str]], punctuation: bool = False, keep_fonts: bool = False) -> Column:
-    """struct<success, message, data> of files of `kind`, converted by `config`. Null content is no success."""
-    rounds = spark.sparkContext.broadcast([r.pairs for r in plan(config, slots, punctuation)])
-
-    @F.pandas_udf("success boolean, message string, data binary")
-    def run(kinds: pd.Series, contents: pd.Series) -> pd.DataFrame:
-        steps = [replacer(pairs) for pairs in rounds.value]
-
-        def change(text: str) -> str:
-            for step in steps:
-                text = step(text)
-            return text
-
-        rows = [rewrite(c, (k or "").lower(), change, keep_fonts) if c is not None else (False, "Conversion failed: no content", None) for k, c in zip(kinds, contents, strict=True)]
-        return pd.DataFrame(rows, columns=["success", "message", "data"])
-
-    return run(kind, content)
+_OPEN_DOCUMENT = ("style:font-name", "style:font-name-asian", "style:font-name-complex", "svg:font-family", "style:name")
+FONT_ATTRIBUTES = {
+    "docx": ("w:eastAsia", "w:ascii", "w:hAnsi", "w:cs"), "xlsx": ("val",), "pptx": ("typeface",),
+    "odt": _OPEN_DOCUMENT, "ods": _OPEN_DOCUMENT, "odp": _OPEN_DOCUMENT,
+}
+#: Stands for what was cut out; a noncharacter, which texts don't have.
+CUT = "﷐"
+
+
+def _has_text(kind: Column, member: Column) -> Column:
+    """Whether a member of a file of a kind is converted."""
+    folder, name = F.regexp_extract(member, "^(.*/)?", 0), F.regexp_extract(member, "[^/]*$", 0)
+    slide = F.startswith(name, F.lit("slide")) | reduce(lambda a, w: a | F.contains(name, F.lit(w)), ("notesSlide", "slideMaster", "slideLayout", "comment"), F.lit(False))
+    xml = member.endswith(".xml")
+    return (
+        F.when(kind == "docx", member == "word/document.xml")
+        .when(kind == "xlsx", (member == "xl/sharedStrings.xml") | (member.startswith("xl/worksheets/") & xml))
+        .when(kind == "pptx", folder.startswith("ppt/") & slide & xml)
+        .when(kind == "epub", F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).isin("xhtml", "html", "opf", "ncx"))
+        .otherwise(member == "content.xml")
+    )
+
+
+def _cut(kind: Column, member: Column, xml: Column, keep_fonts: bool) -> Column:
+    """struct<text, kept>: the text to convert with marks in place of what is kept, and what is kept, in order."""
+    xml = F.translate(xml, CUT, "")
+
+    def by(pattern: str) -> Column:
+        # Group 1 goes before what is kept.
+        return F.struct(F.regexp_replace(xml, pattern, f"$1{CUT}").alias("text"), F.regexp_extract_all(xml, F.lit(pattern), F.lit(2)).alias("kept"))
+
+    # Of a worksheet only what is between <is> and </is> is text, the rest is one piece each between them.
+    cells = r"(?s)(?:^|(?<=</is>))()(.*?(?:<is>|<is\s[^>]*>|$))"
+    out = F.when((kind == "xlsx") & member.startswith("xl/worksheets/"), by(cells))
+    if keep_fonts:
+        for k, names in FONT_ATTRIBUTES.items():
+            out = out.when(kind == k, by(rf"((?<![\w:\-])(?:{'|'.join(names)})\s*=\s*[\"'])([^\"']*)"))
+        out = out.when(kind == "epub", by(r"(font-family\s*:\s*)([^;\"'}<]*)"))
+    return out.otherwise(F.struct(xml.alias("text"), F.array().cast("array<string>").alias("kept")))
+
+
+def _put_back(text: Column, kept: Column) -> Column:
+    pieces = F.split(text, CUT)
+    return F.array_join(F.transform(pieces, lambda x, k: F.concat(x, F.when(k < F.size(kept), F.get(kept, k)).otherwise(""))), "")
+
+
+def rewrite_office(spark: SparkSession, files: DataFrame, config: str, slots: Mapping[str, Mapping[str, str]], punctuation: bool = False, keep_fonts: bool = False) -> DataFrame:
+    """(path, success, message, data) of `files` (path, kind, content), whose paths differ, converted by `config`."""
+    known = F.lower("kind").isin(*FORMATS)
+    chosen = files.where(known & F.col("path").isNotNull()).select("path", F.lower("kind").alias("kind"), "content")
+    other = files.where(~(known & F.col("path").isNotNull()) | known.isNull()).select("path", F.lit(False).alias("success"), F.lit("the kind of the file isn't known").alias("message"), F.lit(None).cast("binary").alias("data"))
+    # The kind goes with the path, so that members needn't be joined with their files.
+    named = chosen.select(F.concat("kind", F.lit(":"), "path").alias("path"), "content")
+    members = archive_members(named).withColumns({"kind": F.substring_index("path", ":", 1), "path": F.expr("substring(path, instr(path, ':') + 1)")})
+    inside = F.aggregate(F.split(F.translate("member", "\\", "/"), "/"), F.lit(0), lambda d, x: F.when(d < 0, d).when(x.isin("", "."), d).when(x == "..", d - 1).otherwise(d + 1)) >= 0
+    members = members.where(F.col("member").isNull() | (inside & ~F.startswith("member", F.lit("/"))))
+    target = _has_text(F.col("kind"), F.col("member")) & F.col("error").isNull()
+    xml = F.when(target, F.make_valid_utf8(F.col("content").cast("string")))
+    cut = members.select("path", "kind", "ordinal", "member", "content", "error", F.inline(F.array(F.struct(target.alias("target"), _cut(F.col("kind"), F.col("member"), xml, keep_fonts).alias("cut")))))
+    done = cut.withColumn("text", convert(spark, F.col("cut.text"), config, slots, punctuation))
+    content = F.when(F.col("target"), F.encode(_put_back(F.col("text"), F.col("cut.kept")), "UTF-8")).otherwise(F.col("content"))
+    first = (F.col("kind") == "epub") & (F.col("member") == "mimetype")
+    row = F.when(F.col("member").isNotNull(), F.struct((~first).alias("later"), "ordinal", "member", content.alias("content")))
+    whole = done.groupBy("path").agg(F.array_sort(F.collect_list(row)).alias("members"), F.sum(F.coalesce(F.col("target"), F.lit(False)).cast("int")).alias("n"), F.max("error").alias("error"), F.max("kind").alias("kind"), F.coalesce(F.bool_or(first), F.lit(False)).alias("typed"))
+    why = F.when(F.col("error").isNotNull(), F.concat(F.lit("the archive can't be read: "), "error")).when((F.col("kind") == "epub") & ~F.col("typed"), "the archive has no member mimetype").when(F.col("n") == 0, "the archive has no member with text")
+    told = whole.select("path", F.transform("members", lambda m: F.struct(m["member"].alias("member"), m["content"].alias("content"))).alias("members"), why.alias("why"), F.concat(F.col("n").cast("string"), F.lit(" member(s) converted")).alias("said"))
+    # The message goes with the path through the packing, too.
+    packed = pack_archives(told.where("why is null").select(F.concat("said", F.lit(":"), "path").alias("path"), "members"))
+    good = packed.select(F.expr("substring(path, instr(path, ':') + 1)").alias("path"), F.lit(True).alias("success"), F.substring_index("path", ":", 1).alias("message"), F.col("content").alias("data"))
+    bad = told.where("why is not null").select("path", F.lit(False).alias("success"), F.col("why").alias("message"), F.lit(None).cast("binary").alias("data"))
+    return good.unionByName(bad).unionByName(other)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from inkstone.functions import search
 from inkstone.functions.reflow import collapse, is_heading, is_metadata, reflow_lines, reflow_texts
 from plain_reflow import reflow as plain
-from inkstone.sources.office import rewrite, rewrite_office
+from inkstone.sources.office import rewrite_office
 
 
 @pytest.mark.parametrize(
@@ -111,23 +111,34 @@ def members(data):
         return {i.filename: file.read(i).decode() for i in file.infolist()}, [i.compress_type for i in file.infolist()]
 
 
-def test_rewrite_office():
-    swap = lambda t: t.replace("甲", "乙")
-    ok, said, data = rewrite(packed({"word/document.xml": '<w w:ascii="甲">甲</w>', "word/other.xml": "甲", "../out": "x"}), "docx", swap, keep_fonts=True)
-    assert ok and "1 fragment" in said and members(data)[0] == {"word/document.xml": '<w w:ascii="甲">乙</w>', "word/other.xml": "甲"}
-    sheet = '<c t="inlineStr"><is><t>甲</t></is></c><c t="s"><v>甲</v></c><c t="inlineStr"><is><t></t></is></c>'
-    assert members(rewrite(packed({"xl/worksheets/a.xml": sheet, "xl/sharedStrings.xml": "甲"}), "xlsx", swap)[2])[0] == {"xl/worksheets/a.xml": sheet.replace("<t>甲", "<t>乙"), "xl/sharedStrings.xml": "乙"}
-    slides = {"ppt/slides/slide1.xml": "甲", "ppt/notesSlides/notesSlide1.xml": "甲", "ppt/theme/theme1.xml": "甲"}
-    assert [t for t in members(rewrite(packed(slides), "pptx", swap)[2])[0].values()] == ["乙", "乙", "甲"]
-    book, kinds = members(rewrite(packed({"a.XHTML": "甲", "mimetype": "application/epub+zip"}), "epub", swap)[2])
-    assert list(book) == ["mimetype", "a.XHTML"] and book["a.XHTML"] == "乙" and kinds[0] == zipfile.ZIP_STORED
-    for data, kind in ((b"no", "docx"), (packed({"x": "y"}), "docx"), (packed({"a.html": "y"}), "epub"), (packed({"x": "y"}), "pdf")):
-        ok, said, out = rewrite(data, kind, swap)
-        assert not ok and said and out is None
-
-
-def test_rewrite_office_column(spark):
-    slots = {"tw_variants": {"喫": "吃"}, "tw_variants_phrases": {}}
-    df = spark.createDataFrame([(1, "odt", packed({"content.xml": "<p>喫</p>"})), (2, "odt", b"no"), (3, None, b""), (4, "odt", None)], "k int, kind string, content binary")
-    rows = [r[1] for r in df.select("k", rewrite_office(spark, F.col("kind"), F.col("content"), "t2tw", slots).alias("r")).orderBy("k").collect()]
-    assert [r["success"] for r in rows] == [True, False, False, False] and members(rows[0]["data"])[0]["content.xml"] == "<p>吃</p>"
+SLOTS = {"tw_variants": {"喫": "吃"}, "tw_variants_phrases": {}}
+
+
+def rewritten(spark, *files, **more):
+    df = spark.createDataFrame([(k, *f) for k, f in enumerate(files)], "k int, kind string, content binary").select(F.concat(F.lit("a:/b/"), F.col("k").cast("string")).alias("path"), "kind", "content")
+    rows = {r.path: r for r in rewrite_office(spark, df, "t2tw", SLOTS, **more).collect()}
+    assert len(rows) == len(files)
+    return [rows[f"a:/b/{k}"] for k in range(len(files))]
+
+
+def test_rewrite_office(spark):
+    doc = packed({"word/document.xml": '<w w:ascii="喫" w:x="喫">喫</w>', "word/other.xml": "喫", "../out": "x", "/abs": "x", "a/../../b": "x"})
+    (kept,), (plain_,) = rewritten(spark, ("docx", doc), keep_fonts=True), rewritten(spark, ("DOCX", doc))
+    assert kept.success and kept.message == "1 member(s) converted" and members(kept.data)[0] == {"word/document.xml": '<w w:ascii="喫" w:x="吃">吃</w>', "word/other.xml": "喫"}
+    assert members(plain_.data)[0]["word/document.xml"] == '<w w:ascii="吃" w:x="吃">吃</w>'
+    sheet = '<c t="inlineStr"><is><t>喫</t></is></c><c t="s"><v>喫</v></c><c t="inlineStr"><is><t></t></is></c><c><is ><t>a喫</t></is></c>喫'
+    slides = {"ppt/slides/slide1.xml": "喫", "ppt/notesSlides/notesSlide1.xml": "喫", "ppt/theme/theme1.xml": "喫", "x/slide1.xml": "喫"}
+    book = {"a.XHTML": "<p style=\"font-family: 喫;\">喫</p>", "mimetype": "application/epub+zip", "b.css": "喫"}
+    odt = {"content.xml": '<s style:font-name="喫" x:style:name="喫">喫</s>', "styles.xml": "喫"}
+    got = rewritten(spark, ("xlsx", packed({"xl/worksheets/a.xml": sheet, "xl/sharedStrings.xml": "喫"})), ("pptx", packed(slides)), ("epub", packed(book)), ("ods", packed(odt)), keep_fonts=True)
+    assert members(got[0].data)[0] == {"xl/worksheets/a.xml": sheet.replace("<t>喫", "<t>吃").replace("a喫", "a吃"), "xl/sharedStrings.xml": "吃"}
+    assert list(members(got[1].data)[0].values()) == ["吃", "吃", "喫", "喫"]
+    made, kinds = members(got[2].data)
+    assert list(made.items()) == [("mimetype", "application/epub+zip"), ("a.XHTML", "<p style=\"font-family: 喫;\">吃</p>"), ("b.css", "喫")] and kinds[0] == zipfile.ZIP_STORED
+    assert members(got[3].data)[0] == {"content.xml": '<s style:font-name="喫" x:style:name="吃">吃</s>', "styles.xml": "喫"}
+
+
+def test_rewrite_of_bad_files(spark):
+    got = rewritten(spark, ("docx", b"no"), ("docx", packed({"x": "y"})), ("epub", packed({"a.html": "y"})), ("pdf", packed({"x": "y"})), ("odt", None), (None, b""), ("odt", packed({"content.xml": "<p>喫</p>"})))
+    assert [r.success for r in got] == [False] * 6 + [True] and all(r.data is None and r.message for r in got[:6])
+    assert members(got[6].data)[0]["content.xml"] == "<p>吃</p>"
