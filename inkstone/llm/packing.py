@@ -1,12 +1,17 @@
-"""Best-fit decreasing packing of tokenised documents into sequences of a fixed length.
+"""Best-fit decreasing packing of tokenised documents into sequences of a fixed length, one packing of the whole table.
 
-Documents become pieces of at most `size` tokens; only longer documents are cut, with any shorter piece first. Pieces
-are dealt into groups of a bounded size; in a group the longest come first, and each goes to the tightest open
-sequence that holds it, which a segment tree over the remaining capacities finds in logarithmic time. A group leaves
-about one sequence unfilled, so the loss against one group of all pieces is about one sequence in `group_pieces`.
+Documents become pieces of at most `size` tokens; only longer documents are cut, with any shorter piece first. The longest
+come first, and each goes to the tightest open sequence that holds it. Where pieces go depends on their lengths alone, so the
+packing is made from how many pieces have each length, at most `size` numbers: equal pieces are placed in runs, into ranges
+of sequences that have the same capacity left, and a segment tree over the capacities finds the tightest in logarithmic
+time. A piece finds its run by its rank among the pieces of its length. Ranks are counted in each partition, and moved by what
+the partitions before have.
 
-Edge cases: a null or empty text is the end token alone; repeated rows and null ids are documents of their own; an empty
-table gives no pieces.
+Memory: the driver has the lengths' counts and the runs, whose number depends on `size` and not on the table; the runs are
+broadcast. No pieces are brought together.
+
+Edge cases: a null or empty text is the end token alone; repeated rows and null ids are documents of their own, and ids of any
+type go through unchanged; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -15,25 +20,25 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .encode import encoder
+from .scratch import Scratch
 
 SIZE = 1024
 END = 2
-GROUP_PIECES = 40_000
 
 
 class Capacities:
-    """How many open sequences have each remaining capacity from 0 to `size`: a segment tree of counts, with a stack
-    of sequences at each leaf."""
+    """How many open sequences, or ranges of them, have each remaining capacity from 0 to `size`: a segment tree of counts,
+    with a stack at each leaf."""
 
     def __init__(self, size: int):
         self.leaves = 1 << (size + 1 - 1).bit_length()
         self.count = [0] * (2 * self.leaves)
-        self.stacks: list[list[int]] = [[] for _ in range(size + 1)]
+        self.stacks: list[list] = [[] for _ in range(size + 1)]
 
     def _add(self, capacity: int, by: int) -> None:
         k = self.leaves + capacity
@@ -41,7 +46,7 @@ class Capacities:
             self.count[k] += by
             k >>= 1
 
-    def push(self, capacity: int, sequence: int) -> None:
+    def push(self, capacity: int, sequence) -> None:
         self.stacks[capacity].append(sequence)
         self._add(capacity, 1)
 
@@ -59,13 +64,13 @@ class Capacities:
             k >>= 1
         return None
 
-    def pop(self, capacity: int) -> int:
+    def pop(self, capacity: int):
         self._add(capacity, -1)
         return self.stacks[capacity].pop()
 
 
 def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sequence and offset of each piece, and the number of sequences."""
+    """Sequence and offset of each piece, and the number of sequences, piece by piece."""
     sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     free, n = Capacities(size), 0
     order = np.argsort(-lengths, kind="stable")
@@ -81,6 +86,35 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.
     return sequence, offset, n
 
 
+def best_fit_runs(counts: dict[int, int], size: int) -> tuple[np.ndarray, int]:
+    """Runs (length, first rank, first sequence, pieces a sequence, offset of its first one) of the best-fit decreasing packing
+    of `counts[length]` pieces of each length, by length and rank; and the number of sequences.
+
+    A sequence that takes a piece stays the tightest one for the next equal piece as long as that fits, so each sequence of a
+    range takes as many as it holds before the next one gets any."""
+    free, n, runs = Capacities(size), 0, []
+    for length in sorted(counts, reverse=True):
+        rank, total = 0, counts[length]
+        while rank < total:
+            capacity = free.tightest(length)
+            if capacity is None:  # as many new ones as the rest needs
+                capacity, first = size, n
+                many = -(-(total - rank) // (size // length))
+                n += many
+            else:
+                first, many = free.pop(capacity)
+            each = capacity // length
+            used, left = divmod(total - rank, each)
+            runs.append((length, rank, first, each, size - capacity))
+            if used >= many:
+                used, left = many, 0
+            for begin, count, taken in ((first, used, each), (first + used, left > 0, left), (first + used + (left > 0), many - used - (left > 0), 0)):
+                if count and capacity - taken * length:
+                    free.push(capacity - taken * length, (begin, int(count)))
+            rank += used * each + left
+    return np.array(sorted(runs), np.int64).reshape(-1, 5), n
+
+
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of each piece; `tokenizer` is a file of a byte-level BPE tokenizer
     that every executor has."""
@@ -111,28 +145,49 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, do
     return docs.select(doc_id, F.col(text).cast("string").alias(text)).mapInArrow(cut, schema)
 
 
-def pack(pieced: DataFrame, size: int = SIZE, group_pieces: int = GROUP_PIECES, n_pieces: int | None = None) -> DataFrame:
-    """`pieced` with sequence_id and offset. `n_pieces`: how many rows it has, counted here if it isn't given.
+def pack(pieced: DataFrame, size: int = SIZE) -> DataFrame:
+    """`pieced` (with a column `length` of 1 to `size`) with sequence_id and offset.
 
-    The pieces are written once to the shared folder with a number for each row. The groups are dealt by a hash of that
-    number, so that they are alike whatever rows repeat, and come out the same after a lost executor.
+    The pieces are written once to the shared folder with their partition and their rank in it, so that ranks come out the
+    same after a lost executor.
     """
-    from .scratch import Scratch
+    spark, names = pieced.sparkSession, pieced.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieced.schema.fields)
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieced.schema.fields)
-    numbered = Scratch(pieced.sparkSession).table("pieces", pieced.withColumn("_p_row", F.monotonically_increasing_id()))
-    groups = max(1, round((numbered.count() if n_pieces is None else n_pieces) / group_pieces))
-
-    def place(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "doc_id", "piece", "ids_crc32", "_p_row"], ascending=False, kind="stable")
-        sequence, offset, _ = best_fit_decreasing(frame["length"].to_numpy(), size)
-        frame = frame.assign(sequence_id=sequence * groups + frame["_p_group"].to_numpy(), offset=offset)
-        return frame.drop(columns=["_p_group", "_p_row"])
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, part = np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
+        for batch in batches:
+            length = batch.column("length").to_numpy().astype(np.int64)
+            order = np.argsort(length, kind="stable")
+            begin = np.searchsorted(length[order], length, side="left")
+            place = np.empty(len(length), np.int64)
+            place[order] = np.arange(len(length))
+            rank = seen[length] + place - begin
+            seen += np.bincount(length, minlength=size + 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part, np.int32)), pa.array(rank)], [*batch.schema.names, "_p_part", "_p_rank"])
+
+    numbered = Scratch(spark).table("pieces", pieced.mapInArrow(ranked, f"{fields}, _p_part int, _p_rank bigint"))
+    parts = numbered.groupBy("length", "_p_part").agg(F.count("*").alias("n"))
+    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    runs = spark.sparkContext.broadcast(best_fit_runs(counts, size)[0])
+    before = Window.partitionBy("length").orderBy("_p_part").rowsBetween(Window.unboundedPreceding, -1)
+    moved = parts.select("length", "_p_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_p_before"))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run_length, run_rank, first, each, offset = runs.value.T
+        # A key for (length, rank): ranks are below 2^52.
+        keys = (run_length << 52) | run_rank
+        for batch in batches:
+            length, rank = (batch.column(c).to_numpy().astype(np.int64) for c in ("length", "_p_rank"))
+            rank = rank + batch.column("_p_before").to_numpy()
+            k = np.searchsorted(keys, (length << 52) | rank, side="right") - 1
+            within = rank - run_rank[k]
+            columns = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(first[k] + within // each[k]), pa.array(offset[k] + within % each[k] * length)], [*names, "sequence_id", "offset"])
 
-    dealt = numbered.withColumn("_p_group", F.pmod(F.xxhash64("_p_row"), F.lit(groups)))
-    return dealt.groupBy("_p_group").applyInPandas(place, f"{fields}, sequence_id bigint, offset bigint")
+    return numbered.join(moved, ["length", "_p_part"]).select(*(f"`{c}`" for c in names), "_p_rank", "_p_before").mapInArrow(placed, f"{fields}, sequence_id bigint, offset bigint")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, with_ids: bool = True, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, with_ids: bool = True) -> DataFrame:
     """Documents tokenised, cut and packed; `pack` writes the pieces, with their ids if `with_ids`."""
-    return pack(pieces(docs, tokenizer, size, end, with_ids=with_ids), size, group_pieces)
+    return pack(pieces(docs, tokenizer, size, end, with_ids=with_ids), size)

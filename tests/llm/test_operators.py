@@ -112,7 +112,7 @@ def test_packing(spark):
     odd = ["".join(rng.choices(list("ab'strevm  \n\t!１²é　ß文й’\x1c_-"), k=rng.randrange(60))) for _ in range(400)] + ["<|endoftext|>", "don't I'll 'sx", "a" * 5000]
     assert all(x.tolist() == encoder.whole(t).tolist() for t, x in zip(odd, encoder.encode(pa.array(odd)), strict=True))
     docs = [(k, text(rng, rng.randrange(1, 900), 500)) for k in range(60)] + [(None, None), (7, ""), (7, "")]
-    rows = packing.pack_documents(spark.createDataFrame(docs, DOCS).withColumn("length", F.lit("x")), path, group_pieces=50).toPandas()
+    rows = packing.pack_documents(spark.createDataFrame(docs, DOCS).withColumn("length", F.lit("x")), path).toPandas()
     tokens = {k: [*encoder.whole(t or "").tolist(), 2] for k, t in docs[:60]}
     for k, own in rows[rows.doc_id < 60].groupby("doc_id"):
         if k == 7:
@@ -126,13 +126,46 @@ def test_packing(spark):
     assert packing.pack_documents(spark.createDataFrame([], DOCS), path).count() == 0
 
 
-def test_packing_groups_are_bounded(spark):
-    """Rows that repeat don't all fall into one group."""
-    columns = ["cast(null as bigint) doc_id", "0 piece", "cast(0 as bigint) start", "cast(1 as bigint) length", "cast(5 as bigint) ids_crc32"]
-    rows = packing.pack(spark.range(3000).selectExpr(*columns), 8, group_pieces=100).toPandas()
-    n = (rows.sequence_id % 30).value_counts()
-    assert len(rows) == 3000 and len(n) == 30 and n.max() < 200
-    assert rows.groupby("sequence_id").length.sum().max() == 8 and not rows.duplicated(["sequence_id", "offset"]).any()
+@pytest.mark.parametrize("size", [8, 100, 1024])
+def test_runs_are_best_fit_decreasing(size):
+    """The packing from counts is the one of piece by piece: in the sequences' number and in what lies in each."""
+    rng = np.random.default_rng(size)
+    for n in (1, 2, 30, 700):
+        lengths = rng.integers(1, (size if n % 2 else size // 2) + 1, n)
+        sequence, _, total = packing.best_fit_decreasing(lengths, size)
+        runs, found = packing.best_fit_runs(dict(zip(*np.unique(lengths, return_counts=True), strict=True)), size)
+        assert found == total
+        held = {}
+        for length in np.unique(lengths):
+            for rank in range(int((lengths == length).sum())):
+                _, first_rank, first, each, offset = runs[(runs[:, 0] == length) & (runs[:, 1] <= rank)][-1]
+                held.setdefault(first + (rank - first_rank) // each, []).append((offset + (rank - first_rank) % each * length, length))
+        for own in held.values():
+            own.sort()
+            assert [o for o, _ in own] == np.cumsum([0, *(x for _, x in own)])[:-1].tolist() and sum(x for _, x in own) <= size
+        contents = {}
+        for k, x in zip(sequence.tolist(), lengths.tolist(), strict=True):
+            contents.setdefault(k, []).append(x)
+        assert sorted(sorted(x) for x in contents.values()) == sorted(sorted(int(x) for _, x in own) for own in held.values())
+
+
+@pytest.mark.parametrize("parts", [1, 13])
+def test_packing_of_the_whole_table(spark, parts):
+    """As many sequences as one packing of all pieces needs, however they are dealt; ids of any size stay as they are."""
+    rng = np.random.default_rng(parts)
+    lengths = rng.integers(1, 1025, 40_000)
+    ids = [None if k % 1000 == 7 else 2**53 + 1 + k for k in range(len(lengths))]
+    table = spark.createDataFrame([(i, 0, 0, int(x), 0) for i, x in zip(ids, lengths, strict=True)], "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint").repartition(parts)
+    rows = packing.pack(table).collect()
+    assert len(rows) == len(ids) and {r.doc_id for r in rows} == set(ids)
+    assert sorted((r.doc_id, r.length) for r in rows if r.doc_id) == sorted((i, x) for i, x in zip(ids, lengths.tolist(), strict=True) if i)
+    held = {}
+    for r in rows:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(held) == packing.best_fit_decreasing(lengths, 1024)[2]
+    for own in held.values():
+        own.sort()
+        assert [o for o, _ in own] == np.cumsum([0, *(x for _, x in own)])[:-1].tolist() and sum(x for _, x in own) <= 1024
 
 
 def test_best_fit_is_tightest():
