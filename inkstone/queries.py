@@ -165,7 +165,7 @@ SELECT doc_id, array_to_string(list_transform(gaps, lambda g, i: g || said[i:i])
 """
 
 
-def open_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def unclosed_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether brackets and dialog marks, in place of some letters, are left open."""
     text = F.translate("text", "qzxvkj", "「」（）《》")
     return docs(spark, sf_dir).select("doc_id", reflow.open_bracket(text).alias("bracket"), reflow.open_quote(text).alias("quote"))
@@ -403,7 +403,7 @@ for _f, _sql in (
     (convert_quotation_marks, "SELECT doc_id, translate(translate(text, '.,', '“”'), '“”‘’', '「」『』') AS text FROM documents"),
     (repair_dialog_quotes, REPAIR_SQL),
     (repair_nested_quotes, NESTED_SQL),
-    (open_marks, OPEN_SQL),
+    (unclosed_marks, OPEN_SQL),
     (dialog_quote_issues, ISSUES_SQL),
     (find_and_replace, FIND_SQL),
     (find_previous, PREVIOUS_SQL),
