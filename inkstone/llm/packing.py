@@ -115,12 +115,32 @@ def best_fit_runs(counts: dict[int, int], size: int) -> tuple[np.ndarray, int]:
     return np.array(sorted(runs), np.int64).reshape(-1, 5), n
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+RANKS = "_p_part int, _p_rank bigint"
+
+
+class Ranks:
+    """Numbers the pieces of each length in a task."""
+
+    def __init__(self, size: int):
+        self.seen, self.part = np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
+
+    def added(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The batch with its partition and the rank of each piece among those of its length in it."""
+        length = batch.column("length").to_numpy().astype(np.int64)
+        order = np.argsort(length, kind="stable")
+        place = np.empty(len(length), np.int64)
+        place[order] = np.arange(len(length))
+        rank = self.seen[length] + place - np.searchsorted(length[order], length, side="left")
+        self.seen += np.bincount(length, minlength=len(self.seen))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), self.part, np.int32)), pa.array(rank)], [*batch.schema.names, "_p_part", "_p_rank"])
+
+
+def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True, with_ranks: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of each piece; `tokenizer` is a file of a byte-level BPE tokenizer
-    that every executor has."""
+    that every executor has. `with_ranks` adds what `pack` would add itself, in the same Python workers."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_encoder = encoder(tokenizer)
+        own_encoder, ranks = encoder(tokenizer), Ranks(size) if with_ranks else None
         for batch in batches:
             rows: list[tuple] = []
             of, kept = [], []
@@ -137,11 +157,12 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, do
             columns += [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
             if with_ids:
                 columns.append(pa.array(kept, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(columns, names)
+            out = pa.RecordBatch.from_arrays(columns, names)
+            yield out if ranks is None else ranks.added(out)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
+    schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids + f", {RANKS}" * with_ranks
     return docs.select(doc_id, F.col(text).cast("string").alias(text)).mapInArrow(cut, schema)
 
 
@@ -152,21 +173,17 @@ def pack(pieced: DataFrame, size: int = SIZE) -> DataFrame:
     same after a lost executor.
     """
     spark, names = pieced.sparkSession, pieced.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieced.schema.fields)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieced.schema.fields if f.name not in ("_p_part", "_p_rank"))
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, part = np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
+        ranks = Ranks(size)
         for batch in batches:
-            length = batch.column("length").to_numpy().astype(np.int64)
-            order = np.argsort(length, kind="stable")
-            begin = np.searchsorted(length[order], length, side="left")
-            place = np.empty(len(length), np.int64)
-            place[order] = np.arange(len(length))
-            rank = seen[length] + place - begin
-            seen += np.bincount(length, minlength=size + 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part, np.int32)), pa.array(rank)], [*batch.schema.names, "_p_part", "_p_rank"])
-
-    numbered = Scratch(spark).table("pieces", pieced.mapInArrow(ranked, f"{fields}, _p_part int, _p_rank bigint"))
+            yield ranks.added(batch)
+
+    if "_p_rank" not in names:
+        pieced = pieced.mapInArrow(ranked, f"{fields}, {RANKS}")
+    names = [c for c in names if c not in ("_p_part", "_p_rank")]
+    numbered = Scratch(spark).table("pieces", pieced)
     parts = numbered.groupBy("length", "_p_part").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs = spark.sparkContext.broadcast(best_fit_runs(counts, size)[0])
@@ -190,4 +207,4 @@ def pack(pieced: DataFrame, size: int = SIZE) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, with_ids: bool = True) -> DataFrame:
     """Documents tokenised, cut and packed; `pack` writes the pieces, with their ids if `with_ids`."""
-    return pack(pieces(docs, tokenizer, size, end, with_ids=with_ids), size)
+    return pack(pieces(docs, tokenizer, size, end, with_ids=with_ids, with_ranks=True), size)
