@@ -16,8 +16,8 @@ import pyarrow as pa
 
 from .scan import _BASE, _BASE_INVERSE, U, chunks, mix
 
-KEPT_SEGMENTS = 600_000
-CHUNK_BYTES = 2 << 20
+KEPT_SEGMENTS = 200_000
+CHUNK_BYTES = 1 << 19
 OTHER, LETTER, NUMBER, SPACE, UNSURE = range(5)
 
 
