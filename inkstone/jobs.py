@@ -15,10 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from inkstone.functions.reflow import reflow_texts
-from inkstone.operators.convert import LEVELS, convert, convert_text, parse_compatibility, parse_rare
+from inkstone.operators.convert import LEVELS, convert, convert_text, parse_compatibility, parse_custom_rare, parse_rare
 from inkstone.plans.conversion import config_name
 from inkstone.sources.containers import charset
-from inkstone.sources.dictionaries import SLOTS, CustomSpec, apply_specs, file_name, load_default, load_folder, read_text, write_bundle
+from inkstone.sources.dictionaries import SLOTS, CustomSpec, apply_specs, file_name, load_default, load_folder, write_bundle
 from inkstone.sources.documents import assemble_pages, is_pdf, sniff_text
 from inkstone.sources.office import FORMATS, rewrite_office
 
@@ -102,8 +102,8 @@ def _chain(spark: SparkSession, text: Column, args: argparse.Namespace, slots: S
     if not args.detofu:
         return convert_text(spark, text, args.config, slots, args.punct, compatibility)
     rare = parse_rare(_lines(args.detofu_table)) if args.detofu_table else []
-    own = read_text(args.detofu_file) if args.detofu_file else None
-    return convert_text(spark, text, args.config, slots, args.punct, compatibility, rare, args.detofu, own)
+    more, own = parse_custom_rare(_lines(args.detofu_file)) if args.detofu_file else ([], None)
+    return convert_text(spark, text, args.config, slots, args.punct, compatibility, rare + more, args.detofu, own)
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -123,7 +123,7 @@ def _parser() -> argparse.ArgumentParser:
             job.add_argument("-n", "--norm-compat", metavar="TABLE", help="compatibility ideographs first, by this table")
             job.add_argument("--detofu", type=_level, metavar="LEVEL", help="rare ideographs of this extension (ExtB to ExtI) and later ones last, or all")
             job.add_argument("--detofu-table", metavar="TABLE", help="rare, fallback, extension")
-            job.add_argument("--detofu-file", metavar="PAIRS", help="pairs that are put over the table's at every level")
+            job.add_argument("--detofu-file", metavar="TABLE", help="a table that is put over the other: rare, fallback, extension, which count by the level; or pairs, which always count")
         if name == "files":
             job.add_argument("-k", "--keep-font", action="store_true")
         if name == "pages":

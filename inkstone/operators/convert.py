@@ -171,18 +171,21 @@ def convert_text(spark: SparkSession, column: Column, config: str, slots: Mappin
     return replace_rare(out, rare or [], level, custom_rare) if rare is not None or custom_rare is not None else out
 
 
-def parse_compatibility(lines: Iterable[str]) -> dict[str, str]:
-    """Pairs of a compatibility table: code point, tab, code point; blank lines and those that begin with # are comments.
+def parse_compatibility(lines: Iterable[str], strict: bool = True) -> dict[str, str]:
+    """Pairs of a compatibility table: code point, tab, code point, blanks around each aside; blank lines and those that begin
+    with # are comments, and a later pair wins.
 
-    Anything but one code point on a side is an error that names the line."""
+    Anything but two sides of one code point is an error that names the line, or is passed over unless `strict`."""
     out: dict[str, str] = {}
     for number, line in enumerate(lines, 1):
-        parts = line.lstrip("\ufeff").strip().split("\t")
-        if parts == [""] or parts[0].startswith("#"):
+        bare = line.lstrip("\ufeff").strip(" \t\r\n")
+        if not bare or bare.startswith("#"):
             continue
-        if len(parts) < 2 or len(parts[0]) != 1 or len(parts[1]) != 1:
+        sides = [x.strip() for x in bare.split("\t")]
+        if list(map(len, sides)) == [1, 1]:
+            out[sides[0]] = sides[1]
+        elif strict:
             raise ValueError(f"line {number}: one code point, tab, one code point expected: {line!r}")
-        out[parts[0]] = parts[1]
     return out
 
 
@@ -198,3 +201,16 @@ def parse_rare(lines: Iterable[str]) -> list[tuple[str, str, str]]:
             raise ValueError(f"line {number}: rare, tab, fallback, tab, extension expected: {line!r}")
         out.append((parts[0], parts[1], ext))
     return out
+
+
+def parse_custom_rare(lines: Iterable[str]) -> tuple[list[tuple[str, str, str]], dict[str, str]]:
+    """A user's own table of rare ideographs: entries of three columns as of `parse_rare`, which count by their extension,
+    and pairs of two columns, which count at every level."""
+    entries, pairs = [], {}
+    for line in lines:
+        parts = [x.strip() for x in line.lstrip("\ufeff").strip().split("\t")]
+        if len(parts) == 2 and all(parts) and not parts[0].startswith("#"):
+            pairs[parts[0]] = parts[1]
+        else:
+            entries.append(line)
+    return parse_rare(entries), pairs

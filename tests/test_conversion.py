@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkstone.functions import quotes, search
-from inkstone.operators.convert import EMPTY_MESSAGE, convert, convert_text, normalise_compatibility, parse_compatibility, parse_rare, replace_greedy, replace_rare, replacer, script_check, translate
+from inkstone.operators.convert import EMPTY_MESSAGE, convert, convert_text, normalise_compatibility, parse_compatibility, parse_custom_rare, parse_rare, replace_greedy, replace_rare, replacer, script_check, translate
 from inkstone.plans.conversion import build_round, config_name, plan
 from inkstone.sources.dictionaries import CustomSpec, apply_specs, bounds, example_slots, parse_text, read_bundle, write_bundle
 
@@ -136,3 +136,19 @@ def test_chain_and_tables(spark):
 
 def test_blanks_before_a_value():
     assert parse_text(["c\t d e", "f\t\tg", "h\t "]) == {"c": "d", "f": "g"}
+
+
+def test_strict_and_own_tables(spark):
+    """A compatibility table has exactly two sides; a table of one's own is filtered by level where it names extensions."""
+    assert parse_compatibility([" \u8c48 \t \u5c82 ", "\u8c48\t\u66f4"]) == {"\u8c48": "\u66f4"}
+    for bad in ("a\tb\tc", "a\t\tb", "ab\tc", "a"):
+        with pytest.raises(ValueError, match="line 1"):
+            parse_compatibility([bad])
+        assert parse_compatibility([bad, "x\ty"], strict=False) == {"x": "y"}
+    entries, pairs = parse_custom_rare(["# own", "", "\U0002003e\tb\tExtB", "\U0002b740\td\tD", "q\tr"])
+    assert pairs == {"q": "r"}
+    built_in = [("\U0002003e", "x", "B"), ("\U0002b740", "y", "D")]
+    for level, expected in (("all", "bdr"), ("C", "\U0002003edr"), ("E", "\U0002003e\U0002b740r")):
+        assert one(spark, lambda c: replace_rare(c, built_in + entries, level, pairs), "\U0002003e\U0002b740q") == [expected]
+    with pytest.raises(ValueError):
+        parse_custom_rare(["a\tb\tZ"])
