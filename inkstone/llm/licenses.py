@@ -3,10 +3,12 @@
 A sentence ends at an empty line or at `.`, `!`, `?` or `;` before white space; a line without letters and digits, as in
 a comment, is empty too. A single line end may end it or be white space within it, so both hard-wrapped sentences and
 single lines without punctuation are known. The normal form has small letters and digits with single spaces. Known sentences
-are found from left to right as whole runs of lines, of several at one place the longest. Unknown sentences don't count, so
+are found from left to right as whole runs of lines, of several at one place the longest. A known sentence with such an end inside,
+as "v. 2.0" has, is cut there as a text is, and may go on at once or in the next sentence. Unknown sentences don't count, so
 a rule's sentences may stand at any distance. The rules are tried in order on a document's identifiers, and each takes the
 runs that it matches, so that a later, shorter rule doesn't count words of an earlier one; what stood on both sides of a
-taken run doesn't become neighbours. Identifiers that no rule takes are reported too. The plan has one fold over the rules
+taken run doesn't become neighbours. Licences named in `weak` count only where no other one does, as most licences stand below a
+line that reserves all rights; the query names those of `WEAK`. Identifiers that no rule takes are reported too. The plan has one fold over the rules
 and one pattern of the sentences, so it grows in proportion to both.
 
 Edge cases: a null or empty text has no sentences; repeated rows, null ids and extra columns pass through (result
@@ -15,6 +17,7 @@ columns replace columns of the same name); an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -112,6 +115,8 @@ RULES = (
     ("CC-BY-4.0", ("CcByWork",)),
     ("Public-Domain", ("PublicDomain",)),
 )
+#: Licences that count only where no other does.
+WEAK = ("Proprietary",)
 #: Marks in normal text, which has no capitals otherwise: the end of a sentence, and of a line that may not end one.
 END, LINE = "S", "L"
 #: Stands among identifiers where a rule took a run.
@@ -126,10 +131,16 @@ def normalise(text: Column) -> Column:
     return F.regexp_replace(out, f"[{END}{LINE}]{{2,}}", END)
 
 
-def pattern(normal: Iterable[str]) -> str:
-    """A pattern of whole normal sentences, wrapped anywhere; longer ones first."""
-    wrapped = (s.replace(" ", f"[ {LINE}]") for s in sorted(normal, key=len, reverse=True))
-    return f"(?<=[{END}{LINE}])(?:{'|'.join(wrapped)})(?=[{END}{LINE}])"
+def parts(sentence: str) -> list[str]:
+    """The normal parts of an ASCII sentence, cut where `normalise` ends a sentence; for tables made in the driver."""
+    cut = (normal_text(x) for x in re.split(r"(?<=[.!?;])[\x20\x09-\x0D]+", sentence))
+    return [x for x in cut if x]
+
+
+def pattern(sentences: Iterable[str], inside: str = f"[{LINE} ]", between: str = f"[{END}{LINE} ]") -> str:
+    """Whole sentences in normal text, longer ones first; `inside` stands for a blank, `between` for an end inside a sentence."""
+    longest_first = sorted({tuple(p) for s in sentences if (p := parts(s))}, key=lambda p: (-sum(map(len, p)) - len(p), p))
+    return "|".join(between.join(x.replace(" ", inside) for x in p) for p in longest_first)
 
 
 def normal_text(sentence: str) -> str:
@@ -137,18 +148,19 @@ def normal_text(sentence: str) -> str:
     return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in sentence.lower()).split())
 
 
-def scan(docs: DataFrame, sentences: Mapping[str, str] = SENTENCES, rules: Sequence[tuple[str, Sequence[str]]] = RULES, text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, sentences: Mapping[str, str] = SENTENCES, rules: Sequence[tuple[str, Sequence[str]]] = RULES, text: str = "text", weak: Sequence[str] = ()) -> DataFrame:
     """`docs` with sentence_ids (array), licenses (array: distinct, sorted) and unmatched (array of identifiers).
 
     Only documents in which some sentence is known go through the lookup and the rules.
     """
     ids = {n: k for k, s in sentences.items() if (n := normal_text(s))}
+    whole = f"(?<=[{END}{LINE}])(?:{pattern(sentences.values())})(?=[{END}{LINE}])"
     lookup = F.create_map(*(F.lit(x) for pair in ids.items() for x in pair))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     # A text without the longest word of any sentence has none of them.
     may = reduce(Column.__or__, (F.lower(body).contains(w) for w in sorted({max(s.split(), key=len) for s in ids})), F.lit(False))
-    out = docs.withColumn("_l_found", F.when(may, F.regexp_extract_all(normalise(body), F.lit(pattern(ids)), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    found = F.transform("_l_found", lambda s: F.try_element_at(lookup, F.replace(s, F.lit(LINE), F.lit(" "))))
+    out = docs.withColumn("_l_found", F.when(may, F.regexp_extract_all(normalise(body), F.lit(whole), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    found = F.transform("_l_found", lambda s: F.try_element_at(lookup, F.translate(s, END + LINE, "  ")))
     out = out.withColumn("sentence_ids", F.when(F.size("_l_found") > 0, found).otherwise(F.array().cast("array<string>")))
     # Each identifier stands between commas of its own, so matches that touch each other all count; TAKEN stays where one was.
     rest = F.concat(F.lit(","), F.array_join(F.transform("sentence_ids", lambda k: F.concat(k, F.lit(","))), ","))
@@ -162,6 +174,8 @@ def scan(docs: DataFrame, sentences: Mapping[str, str] = SENTENCES, rules: Seque
 
     start = F.struct(rest.alias("rest"), none.alias("names"))
     out = out.withColumn("_l_state", F.when(F.size("sentence_ids") > 0, F.aggregate(table, start, step) if rules else start))
-    out = out.withColumn("licenses", F.coalesce(F.array_sort(F.array_distinct("_l_state.names")), none))
+    strong = F.filter("_l_state.names", lambda x: ~x.isin(*weak))
+    names = F.when(F.size(strong) > 0, strong).otherwise(F.col("_l_state.names"))
+    out = out.withColumn("licenses", F.coalesce(F.array_sort(F.array_distinct(names)), none))
     out = out.withColumn("unmatched", F.coalesce(F.filter(F.split("_l_state.rest", ","), lambda x: ~x.isin("", TAKEN)), none))
     return out.drop("_l_found", "_l_state")

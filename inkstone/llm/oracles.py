@@ -26,6 +26,9 @@ FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN items USING (doc_id)
 
 def _op4() -> str:
     ids = {licenses.normal_text(s): k for k, s in licenses.SENTENCES.items()}
+    weak = ", ".join(f"'{x}'" for x in licenses.WEAK)
+    # Each mark stands twice, so that sentences which follow each other have one each.
+    known = f"[SL]({licenses.pattern(licenses.SENTENCES.values())})[SL]"
     values = ", ".join(f"('{s}', '{k}')" for s, k in ids.items())
     # Rule by rule over positions: whatever a rule's sequence covers is marked as taken.
     steps = []
@@ -37,14 +40,16 @@ def _op4() -> str:
         steps.append(f"r{k + 1} AS (SELECT doc_id, every_id, {taken} AS ids, CASE WHEN {hit} THEN list_append(names, '{name}') ELSE names END AS names FROM r{k})")
     return rf"""
 WITH known(s, k) AS (VALUES {values}),
-cut AS (SELECT doc_id, unnest(list_transform(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?;])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')))) AS s,
-        unnest(range(1, 1 + len(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?;])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), '\n+')))) AS p FROM documents),
-found AS (SELECT doc_id, list(k ORDER BY p) AS ids FROM cut JOIN known USING (s) GROUP BY doc_id),
+marked AS (SELECT doc_id, 'S' || regexp_replace(replace(regexp_replace(lower(coalesce(text, '')), '([.!?;])[\x20\x09-\x0D]+', '\1S', 'g'), chr(10), 'L'), '[^a-z0-9SL]+', ' ', 'g') || 'S' AS t FROM documents),
+normal AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, ' ?([SL]) ?', '\1', 'g'), '[SL]{{2,}}', 'S', 'g'), '([SL])', '\1\1', 'g') AS t FROM marked),
+cut AS (SELECT doc_id, unnest(runs) AS run, unnest(range(1, len(runs) + 1)) AS p FROM (SELECT doc_id, regexp_extract_all(t, '{known}', 1) AS runs FROM normal)),
+found AS (SELECT doc_id, list(k ORDER BY p) AS ids FROM cut JOIN known ON s = translate(run, 'SL', '  ') GROUP BY doc_id),
 r0 AS (SELECT doc_id, ids AS every_id, ids, []::VARCHAR[] AS names FROM found),
-{(',' + chr(10)).join(steps)}
+{(',' + chr(10)).join(steps)},
+named AS (SELECT doc_id, every_id, ids, names, list_filter(names, lambda x: x NOT IN ({weak})) AS strong FROM r{len(licenses.RULES)})
 SELECT doc_id, coalesce(len(every_id), 0)::BIGINT AS n_known, coalesce(array_to_string(every_id, ','), '') AS sentence_ids,
-  coalesce(array_to_string(list_sort(list_distinct(names)), ','), '') AS licenses, coalesce(array_to_string(list_filter(ids, lambda x: x <> '|'), ','), '') AS unmatched
-FROM documents LEFT JOIN r{len(licenses.RULES)} USING (doc_id)
+  coalesce(array_to_string(list_sort(list_distinct(CASE WHEN len(strong) > 0 THEN strong ELSE names END)), ','), '') AS licenses, coalesce(array_to_string(list_filter(ids, lambda x: x <> '|'), ','), '') AS unmatched
+FROM documents LEFT JOIN named USING (doc_id)
 """
 
 

@@ -41,7 +41,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), weak=licenses.WEAK)
     joined = lambda c: F.array_join(c, ",").alias(c)
     return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_known"), joined("sentence_ids"), joined("licenses"), joined("unmatched"))
 

@@ -43,6 +43,28 @@ def test_conversations_of_any_id(spark):
     assert chat.format_conversations(odd.limit(0)).count() == 0
 
 
+def test_every_license_sentence_and_rule_is_found(spark):
+    """Each sentence in its own text, alone and wrapped in a comment, and each rule in a text of its sentences."""
+    import textwrap
+
+    s = licenses.SENTENCES
+    wrapped = lambda x: textwrap.fill(x, 40, initial_indent="// ", subsequent_indent="// ")
+    told = [(k, t) for k, x in s.items() for t in (x, wrapped(x), f"Some words first. {x}\n\nAnd after.")]
+    rows = licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(told)], DOCS)).collect()
+    assert {r["doc_id"]: r["sentence_ids"] for r in rows} == {i: [k] for i, (k, _) in enumerate(told)}
+    ruled = licenses.scan(spark.createDataFrame([(i, "\n".join(s[k] for k in ids)) for i, (_, ids) in enumerate(licenses.RULES)], DOCS)).collect()
+    assert {r["doc_id"]: (r["licenses"], r["unmatched"]) for r in ruled} == {i: ([name], []) for i, (name, _) in enumerate(licenses.RULES)}
+
+
+def test_weak_licenses(spark):
+    s = licenses.SENTENCES
+    bsd = "Copyright (c) 2020, A. " + "\n\n".join(s[k] for k in ("AllRights", "BsdRedistribution", "BsdSource", "BsdBinary", "BsdNeither"))
+    docs = spark.createDataFrame([(1, bsd), (2, s["AllRights"]), (3, None), (4, f"{s['AllRights']} {s['BsdSource']}")], DOCS)
+    weak = {r["doc_id"]: (r["licenses"], r["unmatched"]) for r in licenses.scan(docs, weak=licenses.WEAK).collect()}
+    assert weak == {1: (["BSD-3-Clause"], []), 2: (["Proprietary"], []), 3: ([], []), 4: (["Proprietary"], ["BsdSource"])}
+    assert licenses.scan(docs).where("doc_id = 1").first()["licenses"] == ["BSD-3-Clause", "Proprietary"]
+
+
 def test_interleaved_licenses(spark):
     s = licenses.SENTENCES
     said = lambda *ids: "\n\n".join(s[k] for k in ids)
