@@ -1,7 +1,7 @@
 """Jobs to run with spark-submit: `python -m inkstone.jobs convert|files|pages|dictgen ...`.
 
-Inputs are folders that Spark reads, outputs are Parquet or text folders that it writes; only dictionaries pass through
-the driver. Of errors in single files the rows tell, and the job goes on.
+Inputs are folders that Spark reads, outputs are Parquet that it writes or, with --as-files, single files; only dictionaries
+pass through the driver. Of errors in single files the rows tell, and the job goes on.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from inkstone.operators.convert import LEVELS, convert, convert_text, parse_comp
 from inkstone.plans.conversion import config_name
 from inkstone.sources.containers import charset
 from inkstone.sources.dictionaries import SLOTS, CustomSpec, apply_specs, file_name, load_default, load_folder, write_bundle
-from inkstone.sources.documents import assemble_pages, is_pdf, sniff_text
+from inkstone.sources.documents import assemble_pages, is_binary, is_pdf
+from inkstone.sources.files import write_files
 from inkstone.sources.office import FORMATS, rewrite_office
 
 Slots = Mapping[str, Mapping[str, str]]
@@ -65,7 +66,8 @@ def convert_files(spark: SparkSession, files: DataFrame, config: str, slots: Slo
     rows = files.select("path", "content", _converted_name(F.col("path"), config).alias("name"), kind.alias("kind"))
     # Of a file's path and its name only the path goes through the rewriting; the name is made of it again.
     office = rewrite_office(spark, rows.where(F.col("kind").isin(*FORMATS)), config, slots, punctuation, keep_fonts).withColumn("name", _converted_name(F.col("path"), config))
-    told = F.when(is_pdf(F.col("content")) | (F.col("kind") == "pdf"), "PDF text isn't read").when(sniff_text(F.col("content")).isNull(), "Not a text file")
+    wide = charset(in_charset).upper().startswith(("UTF-16", "UTF-32"))  # these have NULs in plain text
+    told = F.when(is_pdf(F.col("content")) | (F.col("kind") == "pdf"), "PDF text isn't read").when(F.col("content").isNull() | (is_binary(F.col("content")) & F.lit(not wide)), "Not a text file")
     plain = rows.where(~F.col("kind").isin(*FORMATS)).withColumn("message", told)
     text = F.when(F.col("message").isNull(), F.regexp_replace(decode(F.col("content"), in_charset), "^﻿", ""))
     plain = plain.withColumn("data", encode(convert(spark, text, config, slots, punctuation), out_charset))
@@ -119,6 +121,8 @@ def _parser() -> argparse.ArgumentParser:
         job.add_argument("-D", "--custom-dict", action="append", default=[], help="slot:append|override:path, repeated or with commas")
         job.add_argument("--in-enc")
         job.add_argument("--out-enc")
+        if name != "pages":
+            job.add_argument("--as-files", action="store_true", help="a file for each input, <base>_<config><extension>, instead of Parquet; what fails makes none")
         if name == "convert":
             job.add_argument("-n", "--norm-compat", metavar="TABLE", help="compatibility ideographs first, by this table")
             job.add_argument("--detofu", type=_level, metavar="LEVEL", help="rare ideographs of this extension (ExtB to ExtI) and later ones last, or all")
@@ -161,9 +165,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     files = spark.read.format("binaryFile").load(args.input).select("path", "content")
     if args.job == "convert":
         text = _chain(spark, decode(F.col("content"), args.in_enc), args, slots)
-        files.select("path", encode(text, args.out_enc).alias("data")).write.parquet(args.output)
+        out = files.select("path", encode(text, args.out_enc).alias("data"))
+        if args.as_files:
+            out = out.withColumn("name", _converted_name(F.col("path"), args.config))
     else:
-        convert_files(spark, files, args.config, slots, args.punct, args.keep_font, args.in_enc, args.out_enc).write.parquet(args.output)
+        out = convert_files(spark, files, args.config, slots, args.punct, args.keep_font, args.in_enc, args.out_enc)
+    if args.as_files:
+        write_files(out, args.output)
+    else:
+        out.write.parquet(args.output)
 
 
 if __name__ == "__main__":

@@ -32,10 +32,14 @@ def is_pdf(content: Column) -> Column:
     return F.instr(F.decode(F.substring(content, 1, 1024), "ISO-8859-1"), "%PDF-") > 0
 
 
+def is_binary(content: Column) -> Column:
+    """Whether there is a NUL in the first 4096 bytes."""
+    return F.instr(F.decode(F.substring(content, 1, 4096), "ISO-8859-1"), "\x00") > 0
+
+
 def sniff_text(content: Column) -> Column:
-    """Text of UTF-8 bytes without a byte order mark; null if there is a NUL in the first 4096 bytes."""
-    binary = F.instr(F.decode(F.substring(content, 1, 4096), "ISO-8859-1"), "\x00") > 0
-    return F.when(~binary, F.regexp_replace(F.decode(content, "UTF-8"), "^﻿", ""))
+    """Text of UTF-8 bytes without a byte order mark; null if they are binary."""
+    return F.when(~is_binary(content), F.regexp_replace(F.decode(content, "UTF-8"), "^﻿", ""))
 
 
 #: Elements whose text isn't read, and those that end a paragraph.
