@@ -10,10 +10,10 @@ from itertools import cycle, islice
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from inkstone.functions import quotes, reflow, search
+from inkstone.functions import quotes, reflow, search, sql
 from inkstone.operators import convert as conversion
 from inkstone.plans.conversion import ROUNDS, plan
-from inkstone.sources import containers, documents
+from inkstone.sources import containers, dictionary_tables, documents
 from inkstone.sources.archives import pack_archives
 from inkstone.sources.dictionaries import CustomSpec, apply_specs, example_slots
 
@@ -391,6 +391,61 @@ def reflow_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reflow.reflow_texts(docs(spark, sf_dir).select("doc_id", cut.alias("text")))
 
 
+def sql_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as pages of a document, converted and put together by SQL text alone."""
+    sql.register(spark, SLOTS)
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns.select("conv_id", "turn", "role", han(F.col("text"), "t2tw", SLOTS).alias("han")).createOrReplaceTempView("inkstone_turns")
+    return spark.sql("""
+        SELECT doc AS conv_id, position, start, piece
+        FROM inkstone_pages(TABLE(
+            SELECT conv_id AS doc, turn AS page, role, count(*) OVER (PARTITION BY conv_id) AS n_pages, inkstone_convert(han, ' T2TW ') AS text FROM inkstone_turns
+        ) PARTITION BY doc ORDER BY (page, role, text))""")
+
+
+SQL_PAGES_SQL = f"""
+WITH h AS (SELECT conv_id, turn, role, {han_sql('t2tw', SLOTS)} AS han FROM conversations),
+c AS (SELECT conv_id, turn, role, {convert_sql('han', 't2tw', SLOTS)} AS text FROM h),
+p AS (SELECT conv_id, row_number() OVER w AS position, count(*) OVER (PARTITION BY conv_id) AS n, coalesce(text, '') AS text FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)),
+s AS (SELECT conv_id, position, '=== [Page ' || position || '/' || n || '] ===' || chr(10) || chr(10) || text || chr(10) || chr(10) AS piece FROM p)
+SELECT conv_id, position::INT AS position, coalesce(sum(length(piece)) OVER (PARTITION BY conv_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, piece FROM s
+"""
+
+
+def _dictionary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as lines of dictionaries: of two slots, one unknown one and three files, of which the second overrides."""
+    lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
+    slot = F.element_at(F.array(F.lit("tw_phrases"), F.lit(" HK_Phrases "), F.lit("none")), (F.col("doc_id") % 3 + 1).cast("int"))
+    file = (F.col("doc_id") / 100 % 3).cast("int")
+    text = F.regexp_replace("raw", "^([^ ]+) ", "$1\t")
+    return lines.select(slot.alias("slot"), F.when(file == 1, "override").otherwise("append").alias("mode"), file.alias("file"), (F.col("doc_id") * 1_000_000 + F.col("at") + 2).alias("line"), text.alias("text"))
+
+
+def dictionary_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary_tables.merge_entries(dictionary_tables.parse_lines(_dictionary_lines(spark, sf_dir)))
+
+
+def dictionary_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary_tables.problems(dictionary_tables.parse_lines(_dictionary_lines(spark, sf_dir)))
+
+
+_LINES_SQL = r"""
+WITH e AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS nth FROM documents),
+l AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'tw_phrases' WHEN 1 THEN 'hk_phrases' ELSE 'none' END AS slot, (doc_id / 100 % 3)::DOUBLE AS f, doc_id * 1000000 + nth + 2 AS line, regexp_replace(raw, '^([^ ]+) ', '\1' || chr(9)) AS text FROM e),
+t AS (SELECT slot, floor(f)::INT AS file, line, text, trim(text, ' ' || chr(9) || chr(13)) AS s FROM l),
+k AS (SELECT *, string_split(s, chr(9)) AS parts, regexp_extract(s, '^[^\t]*\t[ \t]*([^ \t]*)', 1) AS value FROM t WHERE s <> '' AND NOT starts_with(s, '#') AND NOT starts_with(s, '//')),
+p AS (SELECT slot, file, line, text, parts[1] AS key, value, CASE WHEN slot = 'none' THEN 'unknown slot' WHEN len(parts) < 2 THEN 'no tab' WHEN parts[1] = '' OR value = '' THEN 'empty key or value' END AS problem FROM k)
+"""
+ENTRIES_SQL = _LINES_SQL + """
+, o AS (SELECT slot, max(file) FILTER (file = 1) AS since FROM p GROUP BY slot)
+SELECT slot, key, last(value ORDER BY file, line) AS value, count(*)::BIGINT AS n_lines FROM p JOIN o USING (slot) WHERE problem IS NULL AND file >= coalesce(since, 0) GROUP BY slot, key
+"""
+PROBLEMS_SQL = _LINES_SQL + """
+, a AS (SELECT *, count(*) OVER (PARTITION BY slot, file, key, problem IS NULL ORDER BY line ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM p)
+SELECT slot, file, line, text, coalesce(problem, 'replaced by a later line') AS problem FROM a WHERE problem IS NOT NULL OR later > 0
+"""
+
+
 QUERIES: dict = {"convert_t2hkp_by_lang": convert_t2hkp_by_lang}
 ORACLES: dict[str, str] = {"convert_t2hkp_by_lang": FLAGSHIP_SQL}
 for _config in COMPLETE:
@@ -418,6 +473,9 @@ for _f, _sql in (
     (assemble_pages, PAGES_SQL),
     (page_text, PAGE_SQL),
     (container_texts, CONTAINER_SQL),
+    (sql_pages, SQL_PAGES_SQL),
+    (dictionary_entries, ENTRIES_SQL),
+    (dictionary_problems, PROBLEMS_SQL),
 ):
     QUERIES[_f.__name__] = _f
     if _sql:
