@@ -7,12 +7,14 @@ A document's set has its distinct 5-word shingles as 64-bit hashes. Documents wi
    shingles' counters, rarest first, and then by hash. Counters are summed by Spark and have a fixed size, so what is
    broadcast doesn't grow; any order gives the same links, a good one gives short lists.
 2. Index. Two sets that link share a shingle of their prefixes, so lists hold prefixes only, and only shingles that
-   several classes have.
-3. Answers from similar sets. Each class of a list is compared with a few leaders of the list: the class at the earliest
-   position, which has the fewest shingles of its own and so is the likeliest to be similar to the others, and some
-   chosen by hash. Classes that are linked so form components, whose members need no comparison with each other: they
-   follow from the leader's. This is linear in the list, and is done ROUNDS times, each on the lists that still reach
-   several components.
+   several classes have. A posting is a shingle, half of its class's hash, a size and a position, nothing else: sketches are
+   fetched for the few pairs and lists that need them. That half must tell all classes, or the other half is taken. Lists
+   are sorted by size and cut where the next size is more than any entry so far can link with, by its size and position.
+3. Answers from similar sets. Each class is compared with the first class of its lists, if it meets it in TOGETHER of them;
+   the sorted lists name it as they are made. Classes that are linked so form components, whose members need no comparison with
+   each other: they follow from the leader's. The lists that still reach several components are compared up to ROUNDS times
+   more, with the class at the earliest position, which has the fewest shingles of its own, and with some chosen by hash.
+   All of this is linear in the list; pairs that meet in fewer lists are left to step 4.
 4. Skipping. What is left, the classes outside the component of a list's first leader, looks for its partners. An
    entry at position p of a set of size n can only link with sets of sizes in a range that narrows with p, so it is brought
    together with the blocks of that range only; later positions are skipped. Lists within one component are skipped whole.
@@ -21,8 +23,9 @@ A document's set has its distinct 5-word shingles as 64-bit hashes. Documents wi
 A pair comes out of steps 3 and 4 only if its parity sketches allow a link: bit i of a sketch tells whether an odd number
 of the set's shingles falls on it. The bits in which two sketches differ are at most the shingles in which the sets
 differ, and a link allows (a + b) / 9 of those, so more differing bits rule a link out for certain. It is the condition of
-the list joins, so such pairs are never rows. Lists have sketches of 512 bits, which tell little for sets of over a thousand
-shingles; pairs that come out are told by longer ones, of 2 to 4 bits a shingle, before their sets are brought together.
+the list joins of step 4, so such pairs are never rows. Those lists have sketches of 512 bits, which tell little for sets of
+over a thousand shingles; pairs that come out are told by longer ones, of 2 to 4 bits a shingle, before their sets are
+brought together.
 
 `link` therefore finds the links that join the components, not every link. `class_links` and `link_counts` give the
 whole join, from the same index with no pair left out as known.
@@ -47,22 +50,29 @@ from .scan import SPACED, U, chunks, mix, scan, shingle_sets
 from .scratch import Scratch
 
 WORDS = 5
-ROUNDS = 2
+#: Rounds of leaders after the first.
+ROUNDS = 1
 #: Leaders of a list that are chosen by hash, besides the first.
 LEADERS = 2
+#: Lists in which a class and a leader meet to be compared as such.
+TOGETHER = 2
 COUNTERS = 1 << 19
 #: Counters in a row of counts, and so the most that a task sums at a time.
 PART = 1 << 11
 SKETCH = 8
-#: Postings of shingles with a higher counter are dealt by class too.
+#: Postings of shingles whose counter is higher than this and twice the mean counter are dealt by class too. The mean is what
+#: rare shingles add up to on a counter, which grows with the input.
 FREQUENT = 500
 SALTS = 64
+#: Bits of a position in a posting, beside the size.
+PLACE = 24
 #: Classes that a task remembers as sent; what it forgets is sent again and dropped later.
 REMEMBERED = 1 << 17
 #: Rows of ids that may be broadcast: about 40 bytes each. Larger tables are joined by shuffling.
 SMALL_ROWS = 1_000_000
 
 SKETCHES = [f"s{k}" for k in range(SKETCH)]
+LED = ["leader", *(f"leader{k}" for k in range(LEADERS))]
 
 
 def _class(s: np.ndarray) -> bytes:
@@ -70,6 +80,23 @@ def _class(s: np.ndarray) -> bytes:
     return int(mix(s, 101).sum(dtype=np.uint64)).to_bytes(8, "big") + int((mix(s, 202) ^ (s >> U(7))).sum(dtype=np.uint64)).to_bytes(8, "big")
 
 
+def _key(cid: bytes, half: int) -> int:
+    return int.from_bytes(cid[8 * half : 8 * half + 8], "big", signed=True)
+
+
+def _keys(half: int) -> Column:
+    """`_key` of the column cid."""
+    return F.conv(F.hex(F.substring("cid", 1 + 8 * half, 8)), 16, -10).cast("bigint")
+
+
+def _telling_half(classes: DataFrame) -> int:
+    """The half of the class ids, 0 or 1, that no two classes share."""
+    for half in (0, 1):
+        if classes.groupBy(_keys(half).alias("key")).count().where("count > 1").isEmpty():
+            return half
+    raise ValueError("neither half of the class ids tells all classes")
+
+
 def _parity(s: np.ndarray, bits: int) -> np.ndarray:
     odd = np.bincount((mix(s, 303) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
@@ -135,8 +162,8 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "counts"])
 
 
-def _postings(batches: Iterator[pa.RecordBatch], words: int, counters: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The prefix of each set that is new to this task: (shingle, salt, class, size, position)."""
+def _postings(batches: Iterator[pa.RecordBatch], words: int, half: int, counters: np.ndarray, frequent: float) -> Iterator[pa.RecordBatch]:
+    """The prefix of each set that is new to this task: (salt, shingle, size and position, class)."""
     seen: set[bytes] = set()
     for batch in batches:
         out: list[tuple] = []
@@ -146,35 +173,48 @@ def _postings(batches: Iterator[pa.RecordBatch], words: int, counters: np.ndarra
             count = counters[(s & U(COUNTERS - 1)).astype(np.int64)]
             # A set of size n links only with sets that hold at least 4/5 of it.
             order = np.argsort(count, kind="stable")[: len(s) - (4 * len(s) + 4) // 5 + 1]
-            salt = np.where(count[order] > FREQUENT, 1 + cid[0] % SALTS, 0)
-            out.append((s[order], cid, len(s), salt))
+            salt = np.where(count[order] > frequent, 1 + cid[0] % SALTS, 0)
+            # A lower position than the true one skips less, so the bound on it loses nothing.
+            place = (len(s) << PLACE) + np.minimum(np.arange(len(order)), (1 << PLACE) - 1)
+            out.append((salt, s[order], place, np.full(len(order), _key(cid, half), np.int64)))
         if not out:
             continue
-        n = np.array([len(x[0]) for x in out])
-        cids = np.repeat(np.frombuffer(b"".join(x[1] for x in out), "V16"), n)
-        binary = pa.Array.from_buffers(pa.binary(), len(cids), [None, pa.py_buffer(np.arange(len(cids) + 1, dtype=np.int32) * 16), pa.py_buffer(cids.tobytes())])
-        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        columns = [np.concatenate([x[0] for x in out]).astype(np.int64), np.concatenate([x[3] for x in out]).astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), binary, pa.array(np.repeat(np.array([x[2] for x in out], np.int32), n)), pa.array(place.astype(np.int32))], ["token", "salt", "cid", "n", "pos"])
+        kinds = {"salt": np.int32, "token": np.int64, "place": np.int64, "key": np.int64}
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in zip(zip(*out), kinds.values(), strict=True)], list(kinds))
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token and class, those of tokens with more than one class, or with a salt; repeated rows once.
-
-    Only the first row of a list is held back from one batch to the next, however long the list."""
-    held: pa.RecordBatch | None = None  # the last row so far
-    told = False  # whether its list has more than one class, so that it went out
+    """Of rows sorted by token, salt, size and position, and class, those of lists with more than one class, or with a salt,
+    each with the first class of its list as `lead`; repeated rows once. A list ends where the next size is too large for a
+    link with any row so far (as in `_candidates`); it is told by its token and lead, by its token alone if it was dealt by class.
+
+    Only the last row is held back from one batch to the next, however long the list."""
+    names = ["salt", "token", "place", "key"]
+    held: list[np.ndarray] | None = None  # the last row so far
+    # Whether its list has more than one class, so that it went out; its list's first class; and the largest size in reach.
+    told, lead, far = False, 0, 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        joint = pa.Table.from_batches([held, batch] if held else [batch]).combine_chunks()
-        token, salt = joint["token"].to_numpy(), joint["salt"].to_numpy()
-        cid = np.frombuffer(b"".join(joint["cid"].to_pylist()), "V16").view("u8").reshape(-1, 2)
-        same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
-        again = same & (cid[1:] == cid[:-1]).all(axis=1)
+        rows = [batch.column(c).to_numpy() for c in names]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        salt, token, _, key = rows
+        again = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1]) & (key[1:] == key[:-1])
         keep = np.concatenate([[True], ~again])
-        joint, token, salt = joint.filter(pa.array(keep)), token[keep], salt[keep]
+        salt, token, place, key = rows = [x[keep] for x in rows]
+        n, pos = place >> PLACE, place & ((1 << PLACE) - 1)
         same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
+        reach = np.minimum(5 * n // 4, 9 * (n - pos) // 4 - n)
+        reach[0] = max(reach[0], far) if held is not None else reach[0]
+        # The running maximum within a token: each starts above all that the tokens before it reach.
+        step = np.concatenate([[0], np.cumsum(~same)]) * (int(reach.max()) + int(abs(reach.min())) + 1)
+        reach = np.maximum.accumulate(reach + step) - step
+        same &= reach[:-1] >= n[1:]
+        opens = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(token)), 0))
+        leads = key[opens]
+        if held is not None:
+            leads[opens == 0] = lead
         twin = salt > 0
         twin[1:] |= same
         twin[:-1] |= same
@@ -182,19 +222,20 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if told and held is not None:
             twin[0] = False
         if twin.any():
-            yield from joint.filter(pa.array(twin)).to_batches()
-        told, held = last, joint.slice(len(token) - 1).combine_chunks().to_batches()[0]
+            lists = np.where(salt > 0, token, mix(token.view(U) ^ mix(leads.view(U), 1)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(x[twin]) for x in (lists, key, n, pos, leads)], ["token", "key", "n", "pos", "lead"])
+        told, lead, far, held = last, leads[-1], reach[-1], [x[-1:] for x in rows]
 
 
-def _with_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _with_sets(batches: Iterator[pa.RecordBatch], words: int, half: int) -> Iterator[pa.RecordBatch]:
     seen: set[bytes] = set()
     for batch in batches:
-        ids, sets = [], []
+        keys, sets = [], []
         for s in _sets(batch.column("text"), words):
             if len(s) and _new(cid := _class(s), seen):
-                ids.append(cid)
+                keys.append(_key(cid, half))
                 sets.append(s.astype(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["cid", "set"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["key", "set"])
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -222,67 +263,84 @@ def _allows(a: str, b: str) -> Column:
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * differing <= n + m)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, scratch: Scratch, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, half: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (u, v) of classes whose sets have a Jaccard similarity of 0.8 or more, exactly."""
-    for k in "uv":
-        pairs = pairs.join(classes.select(F.col("cid").alias(k), F.col("n").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}")), k)
-    pairs = pairs.where(_may_link(F.col("sketch_u"), F.col("sketch_v"), F.col("size_u") + F.col("size_v"))).select("u", "v")
     pairs = scratch.table(f"{name}-pairs", pairs)
-    need = pairs.select(F.col("u").alias("cid")).union(pairs.select(F.col("v").alias("cid"))).distinct()
-    first = scratch.table(f"{name}-need", classes.join(need, "cid", "left_semi").select("cid", F.col("first_id").alias("_j_id")))
+    ends = lambda df: df.select(F.col("u").alias("key")).union(df.select(F.col("v").alias("key"))).distinct()
+    told = scratch.table(f"{name}-told", classes.join(_small(scratch.table(f"{name}-ends", ends(pairs))), "key", "left_semi").select("key", "n", "sketch", "first_id"))
+    for k in "uv":
+        pairs = pairs.join(told.select(F.col("key").alias(k), F.col("n").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}")), k)
+    n, m = F.col("size_u"), F.col("size_v")
+    pairs = pairs.where((5 * F.least(n, m) >= 4 * F.greatest(n, m)) & _may_link(F.col("sketch_u"), F.col("sketch_v"), n + m)).select("u", "v")
+    pairs = scratch.table(f"{name}-likely", pairs)
+    first = scratch.table(f"{name}-first", told.join(ends(pairs), "key", "left_semi").select("key", F.col("first_id").alias("_j_id")))
     texts = docs.join(_small(first).select("_j_id"), docs["doc_id"].eqNullSafe(F.col("_j_id")), "left_semi")
-    sets = texts.select("text").mapInArrow(lambda b: _with_sets(b, words), "cid binary, set array<bigint>")
-    sets = scratch.table(f"{name}-sets", sets.join(first.select("cid"), "cid", "left_semi"))
-    left, right = (sets.select(F.col("cid").alias(k), F.col("set").alias(f"set_{k}")) for k in "uv")
-    both = pairs.join(left, "u").join(right, "v")
+    sets = texts.select("text").mapInArrow(lambda b: _with_sets(b, words, half), "key bigint, set array<bigint>")
+    sets = scratch.table(f"{name}-sets", sets.join(_small(first).select("key"), "key", "left_semi"))
+    # The sets of u go to those of v, which are the fewer where they lead lists.
+    left = sets.select(F.col("key").alias("u"), F.col("set").alias("set_u")).join(_small(pairs), "u")
+    heads = _small(scratch.table(f"{name}-heads", pairs.select(F.col("v").alias("key")).distinct()))
+    right = sets.join(heads, "key", "left_semi").select(F.col("key").alias("v"), F.col("set").alias("set_v"))
     common = F.size(F.array_intersect("set_u", "set_v"))
-    linked = both.where(100 * common >= 80 * (F.size("set_u") + F.size("set_v") - common)).select("u", "v").distinct()
+    linked = left.join(right, "v").where(100 * common >= 80 * (F.size("set_u") + F.size("set_v") - common)).select("u", "v").distinct()
     out = scratch.table(f"{name}-links", linked)
-    scratch.drop(f"{name}-pairs", f"{name}-need", f"{name}-sets")
+    scratch.drop(*(f"{name}-{x}" for x in ("pairs", "ends", "told", "likely", "first", "heads", "sets")))
     return out
 
 
-def _open(lists: DataFrame, clusters: DataFrame | None, scratch: Scratch, name: str) -> DataFrame:
-    """The lists that reach more than one component, with each class's component and, as `_1`, the list's first leader.
+def _open(lists: DataFrame, clusters: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The lists (token, key, n, pos) that reach more than one component, with each class's component and the list's leaders.
 
-    That is the class at the earliest position; as a row it costs each list one minimum, combined before the shuffle."""
-    if clusters is not None:
-        known = _small(clusters.select(F.col("node").alias("cid"), F.col("component").alias("known")))
-        lists = lists.join(known, "cid", "left").withColumn("comp", F.coalesce("known", "comp")).drop("known")
-    leader = [F.min_by(F.struct("cid", "comp", "n", *SKETCHES), F.struct("pos", "n", "cid")).alias("leader")]
-    leader += [F.min_by(F.struct("cid", "comp", "n", *SKETCHES), F.xxhash64("cid", F.lit(f"{name}{k}"))).alias(f"leader{k}") for k in range(LEADERS)]
-    wide = lists.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), *leader).where("a < b").drop("a", "b")
-    return scratch.table(name, lists.join(wide, "token"))
+    `leader` is the class at the earliest position; as a row it costs each list one minimum, combined before the shuffle."""
+    known = _small(clusters.select(F.col("node").alias("key"), F.col("component").alias("known")))
+    lists = lists.select("token", "key", "n", "pos").join(known, "key", "left").select("token", "key", "n", "pos", F.coalesce("known", "key").alias("comp"))
+    wide = lists.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token")
+    lists = scratch.table(f"{name}-rows", lists.join(_small(scratch.table(f"{name}-wide", wide)), "token", "left_semi"))
+    leader = [F.min(F.struct("pos", "key", "comp")).alias("leader")]
+    leader += [F.min(F.struct(F.xxhash64("key", F.lit(f"{name}{k}")), "key", "comp")).alias(f"leader{k}") for k in range(LEADERS)]
+    led = lists.groupBy("token").agg(*leader).select("token", *(F.struct(f"{x}.key", f"{x}.comp").alias(x) for x in LED))
+    out = scratch.table(name, lists.join(led, "token"))
+    scratch.drop(f"{name}-rows", f"{name}-wide")
+    return out
+
+
+def _together(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("u", "v").count().where(F.col("count") >= TOGETHER).select("u", "v")
+
+
+def _first_followers(lists: DataFrame) -> DataFrame:
+    """Pairs (u, v) of a class and the first class of TOGETHER of its lists."""
+    return _together(lists.where("key <> lead").select(F.col("key").alias("u"), F.col("lead").alias("v")))
 
 
 def _followers(lists: DataFrame) -> DataFrame:
-    """Pairs (u, v) of a class and a leader of one of its lists in another component, where sizes and sketches allow a link."""
-    every = ["leader", *(f"leader{k}" for k in range(LEADERS))]
-    rows = lists.select("cid", "comp", "n", *SKETCHES, F.explode(F.array(*every)).alias("l"))
-    rows = rows.select("cid", "comp", "n", *SKETCHES, F.col("l.cid").alias("v"), F.col("l.comp").alias("comp_1"), *(F.col(f"l.{c}").alias(f"{c}_1") for c in ["n", *SKETCHES]))
-    return rows.where((F.col("comp") != F.col("comp_1")) & _allows("", "_1")).select(F.col("cid").alias("u"), "v").distinct()
+    """Pairs (u, v) of a class and a leader of TOGETHER of its lists in another component."""
+    rows = lists.select("key", "comp", F.explode(F.array(*LED)).alias("l"))
+    return _together(rows.where("comp <> l.comp").select(F.col("key").alias("u"), F.col("l.key").alias("v")))
 
 
-def _candidates(lists: DataFrame, every: bool) -> DataFrame:
+def _candidates(lists: DataFrame, classes: DataFrame, every: bool) -> DataFrame:
     """Pairs of classes of different components that share a prefix shingle, where sizes, positions and sketches allow a link.
 
     Classes of the component of a list's first leader don't look for partners, unless `every` pair is asked for; the others find them."""
     block = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(1.25))).cast("int")
     n, left = F.col("n"), F.col("n") - F.col("pos")
     main = F.lit(False) if every else F.col("comp") == F.col("leader.comp")
-    row = ["token", "cid", "comp", "n", left.alias("left"), main.alias("main"), *SKETCHES]
-    side = lambda df, end: df.withColumnsRenamed({c: f"{c}{end}" for c in ["cid", "comp", "n", "left", "main", *SKETCHES]})
+    lists = lists.select("token", "key", "n", "pos", (F.col("key") if every else F.col("comp")).alias("comp"), main.alias("main"))
+    lists = lists.join(classes.select("key", *SKETCHES), "key")
+    row = ["token", "key", "comp", "n", left.alias("left"), "main", *SKETCHES]
+    side = lambda df, end: df.withColumnsRenamed({c: f"{c}{end}" for c in ["key", "comp", "n", "left", "main", *SKETCHES]})
     index = side(lists.select(*row, block(n).alias("block")), "_v")
     # 4 n <= 5 m, 4 m <= 5 n, and 4 (n + m) <= 9 left, as what is common to both lies at its place or later.
     low, high = F.ceil(4 * n / 5), F.least(F.floor(5 * n / 4), F.floor(9 * left / 4) - n)
-    probe = side(lists.where((high >= low) & ~main).select(*row, F.explode(F.sequence(block(low), block(high))).alias("block")), "_u")
-    once = F.col("main_v") | (F.struct("n_u", "cid_u") > F.struct("n_v", "cid_v"))
+    probe = side(lists.where((high >= low) & ~F.col("main")).select(*row, F.explode(F.sequence(block(low), block(high))).alias("block")), "_u")
+    once = F.col("main_v") | (F.struct("n_u", "key_u") > F.struct("n_v", "key_v"))
     fits = 9 * F.least("left_u", "left_v") >= 4 * (F.col("n_u") + F.col("n_v"))
-    return probe.join(index, ["token", "block"]).where(once & fits & (F.col("comp_u") != F.col("comp_v")) & _allows("_u", "_v")).select(F.col("cid_u").alias("u"), F.col("cid_v").alias("v")).distinct()
+    return probe.join(index, ["token", "block"]).where(once & fits & (F.col("comp_u") != F.col("comp_v")) & _allows("_u", "_v")).select(F.col("key_u").alias("u"), F.col("key_v").alias("v")).distinct()
 
 
-def _read(docs: DataFrame, doc_id: str, text: str, words: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The documents' (doc_id, text), the written signatures, those of documents alone, and the written classes."""
+def _read(docs: DataFrame, doc_id: str, text: str, words: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
+    """The documents' (doc_id, text), the written signatures, those of documents alone, the classes, and the half of their ids that is their key."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketches = ", ".join(f"{s} bigint" for s in SKETCHES)
@@ -290,25 +348,24 @@ def _read(docs: DataFrame, doc_id: str, text: str, words: int, scratch: Scratch)
     signed = made.where("part is null").select("doc_id", "n", "cid")
     first_of = [F.first(c, ignorenulls=True).alias(c) for c in ("n", "sketch", *SKETCHES)]
     classes = made.where("part is null and n > 0").groupBy("cid").agg(F.min("doc_id").alias("first_id"), *first_of)
-    return docs, made, signed, scratch.table("classes", classes)
+    classes = scratch.table("classes", classes)
+    half = _telling_half(classes)
+    return docs, made, signed, classes.withColumn("key", _keys(half)), half
 
 
-def _lists(docs: DataFrame, made: DataFrame, classes: DataFrame, words: int, scratch: Scratch) -> DataFrame:
-    """The lists of the prefixes' shingles that several classes have: (token, cid, n, pos), the sketch and, as component, the class."""
+def _lists(docs: DataFrame, made: DataFrame, words: int, half: int, scratch: Scratch) -> DataFrame:
+    """The lists of the prefixes' shingles that several classes have: (token, key, n, pos, lead), with a token for each list."""
     spark = docs.sparkSession
     # COUNTERS / PART rows of 8 * PART bytes come to the driver, and 4 * COUNTERS bytes are broadcast, whatever the input.
     parts = made.where("part is not null").select("part", "counts").repartition("part").mapInArrow(_summed, "part int, counts binary").toArrow()
     counters = np.zeros(COUNTERS, np.int64)
     for part, counts in zip(parts["part"].to_pylist(), parts["counts"].to_pylist(), strict=True):
         counters[part * PART : (part + 1) * PART] = np.frombuffer(counts, "<i8")
+    frequent = FREQUENT + 2 * float(counters.mean())
     order = spark.sparkContext.broadcast(np.minimum(counters, 2**31 - 1).astype(np.int32))
-    lists = docs.select("text").mapInArrow(lambda b: _postings(b, words, order.value), "token bigint, salt int, cid binary, n int, pos int")
-    lists = lists.repartition("token", "salt").sortWithinPartitions("token", "salt", "cid").mapInArrow(_shared, lists.schema)
-    lists = scratch.table("prefixes", lists.drop("salt"))
-    lists = lists.join(classes.select("cid", *SKETCHES), "cid").withColumn("comp", F.col("cid"))
-    lists = scratch.table("lists", lists)
-    scratch.drop("prefixes")
-    return lists
+    lists = docs.select("text").mapInArrow(lambda b: _postings(b, words, half, order.value, frequent), "salt int, token bigint, place bigint, key bigint")
+    lists = lists.repartition("token", "salt").sortWithinPartitions("token", "salt", "place", "key").mapInArrow(_shared, "token bigint, key bigint, n bigint, pos bigint, lead bigint")
+    return scratch.table("lists", lists)
 
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
@@ -318,25 +375,26 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     by links, the document's own included.
     """
     scratch = Scratch(docs.sparkSession)
-    docs, made, signed, classes = _read(docs, doc_id, text, words, scratch)
-    lists = _open(_lists(docs, made, classes, words, scratch), None, scratch, "open")
-    scratch.drop("lists")
-    now, links, joined = "open", None, None
-    for k in range(ROUNDS):
-        found = _verified(_followers(lists), docs, classes, words, scratch, f"round{k}")
-        if joined is not None and found.isEmpty():
-            break
-        links = found if links is None else links.union(found)
-        joined = scratch.table(f"clusters{k}", components(links, scratch, f"steps{k}"))
-        leaders = [c for c in lists.columns if c.startswith("leader")]
-        lists = _open(lists.drop(*leaders), joined, scratch, f"open{k}")
+    docs, made, signed, classes, half = _read(docs, doc_id, text, words, scratch)
+    lists = _lists(docs, made, words, half, scratch)
+    links = _verified(_first_followers(lists), docs, classes, words, half, scratch, "first")
+    joined, now = scratch.table("clusters", components(links, scratch, "steps")), "lists"
+    for k in range(ROUNDS + 1):
+        lists = _open(lists, joined, scratch, f"open{k}")
         scratch.drop(now)
         now = f"open{k}"
-    far = _verified(_candidates(lists, every=False), docs, classes, words, scratch, "far")
+        if k == ROUNDS:
+            break
+        found = _verified(_followers(lists), docs, classes, words, half, scratch, f"round{k}")
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        joined = scratch.table(f"clusters{k}", components(links, scratch, f"steps{k}"))
+    far = _verified(_candidates(lists, classes, every=False), docs, classes, words, half, scratch, "far")
     scratch.drop(now)
     if not far.isEmpty():
         joined = components(links.union(far), scratch, "all-steps")
-    least = classes.select("cid", "first_id").join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    least = classes.select("cid", "key", "first_id").join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     roots = least.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = least.join(roots, "component").select("cid", "component_id")
     out = signed.join(named, "cid", "left")
@@ -344,12 +402,15 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
 
 
 def _all_links(docs: DataFrame, doc_id: str, text: str, words: int) -> tuple[DataFrame, DataFrame]:
-    """Every link (u, v) between two classes, once; and (doc_id, n, cid) of each document."""
+    """Every link (u, v) between two classes, once, by their ids; and (doc_id, n, cid) of each document."""
     scratch = Scratch(docs.sparkSession)
-    docs, made, signed, classes = _read(docs, doc_id, text, words, scratch)
-    lists = _lists(docs, made, classes, words, scratch)
+    docs, made, signed, classes, half = _read(docs, doc_id, text, words, scratch)
+    lists = _lists(docs, made, words, half, scratch)
     # Each class as a component of its own, so that no pair counts as known.
-    return _verified(_candidates(lists, every=True), docs, classes, words, scratch, "every"), signed
+    links = _verified(_candidates(lists, classes, every=True), docs, classes, words, half, scratch, "every")
+    for k in "uv":
+        links = links.join(classes.select(F.col("key").alias(k), F.col("cid").alias(f"cid_{k}")), k)
+    return links.select(F.col("cid_u").alias("u"), F.col("cid_v").alias("v")), signed
 
 
 def class_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +159,49 @@ def test_jaccard_long_text(spark):
     assert {r["doc_id"]: r["component_id"] for r in jaccard.link(spark.createDataFrame(rows, DOCS)).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
+def test_jaccard_shuffle(spark):
+    """Passages that many unlike documents share are common; what is shuffled stays within 4 x the input."""
+    rng = random.Random(7)
+    passages = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(8)) for _ in range(600)]
+    rows = [(k, " ".join(rng.choice(passages) if rng.random() < 0.5 else " ".join(f"w{rng.randrange(10**6)}" for _ in range(8)) for _ in range(50))) for k in range(2000)]
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = lambda: store.stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), None)
+    before = {(s.stageId(), s.attemptId()) for s in map(stages().apply, range(stages().size()))}
+    docs = spark.createDataFrame(rows, DOCS).repartition(2).localCheckpoint()
+    got = jaccard.link(docs).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {k: k for k, _ in rows}
+    now = stages()
+    moved = sum(s.shuffleWriteBytes() for s in map(now.apply, range(now.size())) if (s.stageId(), s.attemptId()) not in before)
+    size = sum(len(text) for _, text in rows)
+    print("shuffled", moved / size)
+    assert moved < 4 * size
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_jaccard_lists_lose_no_pair(size):
+    """Lists cut by sizes and positions hold every pair that these allow, whatever the batches; entries alone go."""
+    rng = np.random.default_rng(size)
+    rows = sorted({(0, int(t), (int(n) << jaccard.PLACE) + int(n * p), k) for k, (t, n, p) in enumerate(zip(rng.integers(0, 12, 90), rng.integers(10, 60, 90), rng.random(90) / 5, strict=True))}, key=lambda r: (r[1], r[2], r[3]))
+    rows = [r for r in rows for _ in range(1 + (r[3] % 3 == 0))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + size]), (pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["salt", "token", "place", "key"]) for k in range(0, len(rows), size)]
+    lists: dict[int, list] = {}
+    for r in pa.Table.from_batches(list(jaccard._shared(iter(batches)))).to_pylist():
+        lists.setdefault(r["token"], []).append((r["key"], r["lead"]))
+    assert all(len(x) > 1 and len({k for k, _ in x}) == len(x) and {lead for _, lead in x} == {x[0][0]} for x in lists.values())
+    together = {(a, b) for x in lists.values() for a, _ in x for b, _ in x}
+    entry = {k: (t, p >> jaccard.PLACE, (p >> jaccard.PLACE) - (p & ((1 << jaccard.PLACE) - 1))) for _, t, p, k in rows}
+    allowed = {(a, b) for a, (t, n, x) in entry.items() for b, (s, m, y) in entry.items() if a != b and t == s and 5 * min(n, m) >= 4 * max(n, m) and 9 * min(x, y) >= 4 * (n + m)}
+    assert allowed and allowed <= together
+
+
+def test_jaccard_half_of_the_ids(spark):
+    """The other half tells classes whose first halves are equal; a key is that half of the id."""
+    ids = [bytes([200] * 8 + [k] * 8) for k in (1, 255)]
+    classes = spark.createDataFrame([(x,) for x in ids], "cid binary")
+    assert jaccard._telling_half(classes) == 1 and jaccard._telling_half(classes.limit(1)) == 0
+    assert [[r[0] for r in classes.select(jaccard._keys(h)).collect()] for h in (0, 1)] == [[jaccard._key(x, h) for x in ids] for h in (0, 1)]
+
+
 def test_components_of_hubs_and_paths(spark):
     edges = [(0, k) for k in range(1, 200)] + [(k, k + 1) for k in range(300, 340)] + [(500, 500), (340, 300)]
     got = dict(components(spark.createDataFrame(edges, "u bigint, v bigint"), Scratch(spark), "steps").collect())
