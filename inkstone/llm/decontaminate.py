@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .scan import ALNUM, LOWER, Words, chunks, scan
+from .scan import ALNUM, LOWER, Words, chunks, scan, slices, tidy
 from .scratch import Scratch
 
 SIZE = 10
@@ -218,8 +218,9 @@ def _spans(hit: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[np.concatenate([[True], new])] if len(at) else at, at[np.concatenate([new, [True]])] + 1 if len(at) else at
 
 
+@tidy
 def _annotate(batches: Iterator[pa.RecordBatch], test: TestSet, text: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, text, SHARD_BYTES):
         n_words, n_hit, items, spans, longest = [], [], [], [], []
         for _, _, data, offsets in chunks(batch.column(text), SHARD_BYTES):
             w = scan(data, offsets, ALNUM)

@@ -154,7 +154,8 @@ class Encoder:
             kind = table[code]
             unsure = np.unique(np.searchsorted(edges, np.flatnonzero(kind == UNSURE), side="right") - 1)
             at = borders(code, kind, edges[:-1])
-            up, down = _code_powers(max(len(code), CHUNK_BYTES) + 1)
+            # Those of a longer text aren't kept.
+            up, down = _code_powers(CHUNK_BYTES + 1) if len(code) <= CHUNK_BYTES else _code_powers.__wrapped__(len(code) + 1)
             total = np.zeros(len(code) + 1, np.uint64)
             np.cumsum((code + U(1)) * up[: len(code)], out=total[1:])
             a, b = at[:-1], at[1:]

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .graph import components
-from .scan import SPACED, U, chunks, mix, scan, shingle_sets
+from .scan import SPACED, U, chunks, mix, scan, shingle_sets, slices, tidy
 from .scratch import Scratch
 
 WORDS = 5
@@ -121,12 +121,13 @@ def _new(cid: bytes, seen: set[bytes]) -> bool:
     return True
 
 
+@tidy
 def _signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """A row for each document, with the sketch of a class that is new to this task; and at the end, with a part, the task's counters."""
     seen: set[bytes] = set()
     counts = np.zeros(COUNTERS, np.int64)
     names, kind = ["part", "counts", "doc_id", "n", "cid", "sketch", *SKETCHES], None
-    for batch in batches:
+    for batch in slices(batches):
         sizes, ids, sketches, short, held = [], [], [], [], []
         for s in _sets(batch.column("text"), words):
             sizes.append(len(s))
@@ -162,10 +163,11 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "counts"])
 
 
+@tidy
 def _postings(batches: Iterator[pa.RecordBatch], words: int, half: int, counters: np.ndarray, frequent: float) -> Iterator[pa.RecordBatch]:
     """The prefix of each set that is new to this task: (salt, shingle, size and position, class)."""
     seen: set[bytes] = set()
-    for batch in batches:
+    for batch in slices(batches):
         out: list[tuple] = []
         for s in _sets(batch.column("text"), words):
             if not len(s) or not _new(cid := _class(s), seen):
@@ -183,6 +185,7 @@ def _postings(batches: Iterator[pa.RecordBatch], words: int, half: int, counters
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in zip(zip(*out), kinds.values(), strict=True)], list(kinds))
 
 
+@tidy
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by token, salt, size and position, and class, those of lists with more than one class, or with a salt,
     each with the first class of its list as `lead`; repeated rows once. A list ends where the next size is too large for a
@@ -227,9 +230,10 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told, lead, far, held = last, leads[-1], reach[-1], [x[-1:] for x in rows]
 
 
+@tidy
 def _with_sets(batches: Iterator[pa.RecordBatch], words: int, half: int) -> Iterator[pa.RecordBatch]:
     seen: set[bytes] = set()
-    for batch in batches:
+    for batch in slices(batches):
         keys, sets = [], []
         for s in _sets(batch.column("text"), words):
             if len(s) and _new(cid := _class(s), seen):

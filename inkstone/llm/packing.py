@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .encode import encoder
+from .scan import slices, tidy
 from .scratch import Scratch
 
 SIZE = 1024
@@ -139,9 +140,10 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, do
     """(doc_id, piece, start, length, ids_crc32[, ids]) of each piece; `tokenizer` is a file of a byte-level BPE tokenizer
     that every executor has. `with_ranks` adds what `pack` would add itself, in the same Python workers."""
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_encoder, ranks = encoder(tokenizer), Ranks(size) if with_ranks else None
-        for batch in batches:
+        for batch in slices(batches, text):
             rows: list[tuple] = []
             of, kept = [], []
             for k, body in enumerate(own_encoder.encode(batch.column(text))):

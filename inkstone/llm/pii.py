@@ -27,6 +27,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
+from .scan import slices, tidy
+
 ROUNDS = 8
 
 
@@ -293,9 +295,10 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", back: bool = F
     kept = [c for c in docs.columns if c != "pii_kinds"]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("pii_kinds", T.ArrayType(T.StringType()))])
 
+    @tidy
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Pseudonymiser(key)
-        for batch in batches:
+        for batch in slices(batches, text):
             texts = batch.column(text)
             done = [(None, []) if t is None else own.text(t, back) for t in texts.to_pylist()]
             new = {text: pa.array([t for t, _ in done], texts.type), "pii_kinds": pa.array([k for _, k in done], pa.list_(pa.string()))}

@@ -1,19 +1,25 @@
 """Vectorised word scanning over Arrow string columns, for use inside `mapInArrow` tasks.
 
 Texts are read as UTF-8 bytes, a bounded chunk of documents at a time, so memory does not depend on the size of a
-partition; one document longer than a chunk is a chunk of its own.
+partition; one document longer than a chunk is a chunk of its own. What a function makes of the rows that Spark sends at once
+goes out in slices, so it doesn't depend on their number either. At the end of a task its worker, which stays for others, gives
+the memory back that it doesn't hold any more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import sys
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
+SLICE_BYTES = 1 << 22
 
 U = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
@@ -42,12 +48,15 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, _BASE_INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        _powers = np.cumprod(up), np.cumprod(down)
-    return _powers[0][:n], _powers[1]
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1]
+    size = max(n, CHUNK_BYTES + 1)
+    up, down = np.full(size, _BASE, np.uint64), np.full(size, _BASE_INVERSE, np.uint64)
+    up[0] = down[0] = 1
+    up, down = np.cumprod(up, out=up), np.cumprod(down, out=down)
+    if size == CHUNK_BYTES + 1:  # those of a longer document aren't kept
+        _powers = up, down
+    return up[:n], down
 
 
 @dataclass
@@ -82,8 +91,52 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         a = b
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in order, in batches of at most `limit` bytes of text, or of one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, side="right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
+@cache
+def _trim() -> Callable[[int], int]:
+    """The C library's `malloc_trim`, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0) if sys.platform == "linux" else lambda _: 0
+
+
+def release() -> None:
+    """Gives freed memory back to the system, which allocators else keep for this process, idle or not."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def tidy(make: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """The generator function `make`, with `release` at its end."""
+
+    @wraps(make)
+    def out(*args):
+        yield from make(*args)
+        release()
+
+    return out
+
+
 def scan(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, lower: bool = True) -> Words:
-    """The words, runs of bytes in `member`, of documents that lie at `offsets` in `data`; A-Z count as a-z if `lower`."""
+    """The words, runs of bytes in `member`, of documents that lie at `offsets` in `data`; A-Z count as a-z if `lower`.
+
+    More than a chunk is scanned part by part."""
+    if len(data) > CHUNK_BYTES and len(offsets) > 2:
+        parts, a = [], 0
+        while a < len(offsets) - 1:
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK_BYTES, side="right")) - 1)
+            w = scan(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], member, lower)
+            parts.append((w.hash, w.doc + a, w.start + offsets[a], w.end + offsets[a]))
+            a = b
+        return Words(*(np.concatenate(x) for x in zip(*parts, strict=True)), len(offsets) - 1)
     n = len(data)
     if lower:
         data = LOWER[data]
