@@ -119,10 +119,12 @@ def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     ordered = keys[order]
     new = np.ones(len(keys), bool)
     np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    heads = np.flatnonzero(new)
+    distinct = ordered[heads]
+    del ordered
     rank = np.empty(len(keys), np.int64)
     rank[order] = np.cumsum(new)
-    heads = np.flatnonzero(new)
-    return ordered[heads], rank, order, np.append(heads, len(keys))
+    return distinct, rank, order, np.append(heads, len(keys))
 
 
 def suffix_array(w: Words, size: int = SIZE) -> SuffixArray:
@@ -138,6 +140,7 @@ def suffix_array(w: Words, size: int = SIZE) -> SuffixArray:
             if s < len(rank):
                 further[:-s] = np.where(w.doc[s:] == w.doc[:-s], rank[s:], 0)
             key = key << bits | further
+        rank = order = heads = further = None  # not held while the next ones are made
         keys, rank, order, heads = _ranks(key)
         levels.append((shifts, bits, keys))
         depth = deeper
